@@ -224,10 +224,10 @@ def field_visibility(values: DataFrame, submissions: DataFrame, fields: DataFram
     ``values (submission, field, value)`` are current values, ``submissions (submission, scheme)``,
     ``fields (scheme, field, trigger, condition_values)``. A field without condition shows; others
     show when any instance of the trigger has one of the values, or for ``NaN`` when the trigger
-    is empty. Instances are fields whose name starts with the trigger's (``#n`` removed).
+    itself is empty. Instances are fields whose name starts with the trigger's (``#n`` removed).
     """
     asked = fields.where("trigger IS NOT NULL AND size(condition_values) > 0").select(
-        "scheme", "field", F.regexp_replace("trigger", r"#[0-9]+$", "").alias("base"),
+        "scheme", "field", "trigger", F.regexp_replace("trigger", r"#[0-9]+$", "").alias("base"),
         F.explode("condition_values").alias("expected"),
     )
     lengths = sorted(r["n"] for r in asked.select(F.length("base").alias("n")).distinct().collect())
@@ -236,23 +236,22 @@ def field_visibility(values: DataFrame, submissions: DataFrame, fields: DataFram
         lambda n: F.substring(F.col("field"), F.lit(1), n),
     )
     triggers = small(asked.select("base").distinct())
-    # One row per submission and trigger value in use; repeated instances collapse here.
     given = (
         values.where(F.coalesce("value", F.lit("")) != "")
-        .select("submission", "value", F.explode(cuts).alias("base"))
+        .select("submission", F.col("field").alias("given"), "value", F.explode(cuts).alias("base"))
         .join(triggers, "base")
-        .distinct()
     )
     at = values.select("submission").distinct().join(submissions, "submission")
-    met = (
+    is_nan = F.col("expected") == "NaN"
+    meets = cells.value_matches("value", F.lower(cells.strip("expected")))
+    hits = (
         given.join(submissions, "submission")
         .join(small(asked), ["scheme", "base"])
-        .groupBy("submission", "field", "expected")
-        .agg(F.bool_or(cells.value_matches("value", F.lower(cells.strip("expected")))).alias("match"))
-    )
-    hits = met.groupBy("submission", "field").agg(
-        F.bool_or(F.col("match") & (F.col("expected") != "NaN")).alias("hit"),
-        F.bool_or(F.col("expected") == "NaN").alias("nan_given"),
+        .groupBy("submission", "field")
+        .agg(
+            F.bool_or(~is_nan & meets).alias("hit"),
+            F.bool_or(is_nan & (F.col("given") == F.col("trigger"))).alias("nan_given"),
+        )
     )
     has_nan = F.coalesce(F.array_contains("condition_values", "NaN"), F.lit(False))
     free = F.col("trigger").isNull() | (F.coalesce(F.size("condition_values"), F.lit(0)) < 1)

@@ -188,10 +188,15 @@ def collect_enum_options(defs: DataFrame, def_col: str, json_col: str) -> DataFr
 def template_columns(leaves: DataFrame) -> DataFrame:
     """Leaves -> template columns with entry type and read-only value."""
     options = enum_of(F.col("source"))
+    # A list of types counts as a number when it names one.
+    many = F.from_json("type", "array<string>")
+    kind = F.when(F.array_contains(many, "number"), F.lit("number")).when(
+        F.array_contains(many, "boolean"), F.lit("boolean")
+    ).otherwise(F.col("type"))
     return leaves.select(
         "def", "path", "title", "description",
         cells.map_entry_type(
-            F.col("const"), F.size(F.coalesce(options, F.array().cast("array<string>"))), F.col("type"), F.col("format")
+            F.col("const"), F.size(F.coalesce(options, F.array().cast("array<string>"))), kind, F.col("format")
         ).alias("ui_type"),
         "required", F.col("const").alias("readonly_value"), "parent_array", "pos", "ui_first", "ui_after",
     )
