@@ -15,7 +15,8 @@ _SPACE = " \t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".jo
 )
 _PLAIN_REF = r"^[a-zA-Z][a-zA-Z0-9]*:[a-zA-Z0-9_/.:-]+\z"
 _ANY_REF = r"^[a-zA-Z][a-zA-Z0-9_-]*:[a-zA-Z0-9_/.:-]+\z"
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+_HEX = r"^0[xX]([0-9a-fA-F]+)\z"
 
 
 def _col(c: Column | str) -> Column:
@@ -45,6 +46,11 @@ def is_http(c: Column) -> Column:
     return c.startswith("http://") | c.startswith("https://")
 
 
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def looks_like_uri(c: Column | str) -> Column:
     t = strip(c)
     return F.coalesce(is_http(t) | t.rlike(_PLAIN_REF), F.lit(False))
@@ -131,14 +137,17 @@ def parse_boolean(c: Column | str) -> Column:
 def parse_number(c: Column | str) -> Column:
     """Finite number from text or from a typed literal ``{"_value": ...}``; else null."""
     c = _col(c)
-    typed = strip(c).startswith("{")
-    t = strip(F.when(typed, F.get_json_object(c, "$._value")).otherwise(c))
-    number = F.when(t.rlike(_NUMBER), t.try_cast("double"))
-    from_hex = F.when(
-        t.rlike(r"^0[xX][0-9a-fA-F]+\z"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double")
-    )
-    value = F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(number, from_hex))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+    def read(t: Column) -> Column:
+        number = F.regexp_extract(t, _NUMBER, 0).try_cast("double")
+        from_hex = F.conv(F.nullif(F.regexp_extract(t, _HEX, 1), F.lit("")), 16, 10).try_cast("double")
+        return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(number, from_hex))
+
+    def finite(x: Column) -> Column:
+        return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+    literal = F.when(F.ltrim(c).startswith("{"), F.get_json_object(c, "$._value")).otherwise(c)
+    return once(once(strip(literal), read), finite)
 
 
 def normalize_condition_value(c: Column | str) -> Column:
@@ -213,8 +222,7 @@ def kebab(c: Column | str) -> Column:
 
 def sanitize_name(c: Column | str, n: int = 31) -> Column:
     kept = strip(F.regexp_replace(_col(c), "[^a-zA-Z0-9\\u00C0-\\u024F\\s_-]", ""))
-    cut = F.substring(kept, 1, n)
-    return F.when(cut == "", F.lit("Sheet")).otherwise(cut)
+    return F.regexp_replace(F.substring(kept, 1, n), r"^\z", "Sheet")
 
 
 def map_data_type(type_c: Column, has_parts: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import vocab
+from listwright.operators.grouping import SHORT, by_size
 from listwright.sources.storage import cut, table_of
 
 SPO = ("subject", "predicate", "object")
@@ -135,14 +136,38 @@ def apply_rules(triples: DataFrame, rules: Sequence[Rule], max_iter: int | None
     return known
 
 
-def related_components(edges: DataFrame, group_col: str) -> DataFrame:
+def related_components(edges: DataFrame, group_col: str, short: int = SHORT) -> DataFrame:
     """``(group, node, component)``: undirected components inside each sibling set.
 
-    ``edges (group, a, b)``. Every round links each node to the least neighbour it can see
-    (large star, then small star), so a long chain folds in about log(n) rounds. The
-    component is named by its least node.
+    ``edges (group, a, b)``. The component is named by its least node. Sibling sets with few
+    edges, the usual case, are merged inside one short array.
     """
     g = group_col
+    few, many = by_size(edges.select(g, "a", "b"), [g], short)
+    found = _short_components(few, g)
+    return found if many is None else found.unionByName(_long_components(many, g))
+
+
+def _short_components(edges: DataFrame, g: str) -> DataFrame:
+    """Edge by edge, the sets that hold one of its ends become one set."""
+    grouped = edges.groupBy(g).agg(F.collect_set(F.array("a", "b")).alias("_e"))
+
+    def join_sets(sets, edge):
+        def touched(s):
+            return F.arrays_overlap(s, edge)
+
+        merged = F.array_distinct(F.concat(edge, F.flatten(F.filter(sets, touched))))
+        return F.concat(F.filter(sets, lambda s: ~touched(s)), F.array(merged))
+
+    sets = F.aggregate("_e", F.slice("_e", 1, 0), join_sets)
+    return grouped.select(g, F.explode(sets).alias("_s")).select(
+        g, F.explode("_s").alias("node"), F.array_min("_s").alias("component")
+    )
+
+
+def _long_components(edges: DataFrame, g: str) -> DataFrame:
+    """Every round links each node to the least neighbour it can see (large star, then small
+    star), so a long chain folds in about log(n) rounds."""
     pairs = edges.select(g, F.col("a").alias("u"), F.col("b").alias("v"))
     nodes = pairs.select(g, F.col("u").alias("node")).unionByName(
         pairs.select(g, F.col("v").alias("node"))
@@ -156,17 +181,22 @@ def related_components(edges: DataFrame, group_col: str) -> DataFrame:
         hooked = e.where(keep).join(least, [g, "u"]).select(g, F.col("v").alias("u"), F.col("m").alias("v"))
         return hooked, least
 
+    def print_of(e: DataFrame):
+        """Equal edges have equal prints; different prints prove a change without a join."""
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(g, "u", "v").cast("decimal(38,0)"))).first()
+
     state = cut(pairs.where("u <> v").distinct())
+    seen = print_of(state)
     while True:
         large, _ = star(both_ways(state), F.col("v") > F.col("u"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         down = large.select(g, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small, least = star(down, F.col("v") < F.col("u"))
         to_least = least.select(g, "u", F.col("m").alias("v"))
         folded = cut(small.unionByName(to_least).where("u <> v").distinct())
-        unchanged = (
-            folded.count() == state.count() and folded.join(state, [g, "u", "v"], "left_anti").isEmpty()
-        )
+        now = print_of(folded)
+        unchanged = now == seen and folded.join(state, [g, "u", "v"], "left_anti").isEmpty()
+        seen = now
         state = folded
         if unchanged:
             break

@@ -5,15 +5,19 @@ available row with the least position, rows come in the order of this key: on th
 its root to the row, the positions greater than all later ones. Keys of a path's two halves
 combine, so jumps double each round and a chain of n rows takes about log2(n) rounds of
 equi-joins; no sibling group is gathered in one task.
+
+Groups counted to have few rows skip the rounds: they are ordered inside one short array.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwright.functions import cells
+from listwright.operators.grouping import SHORT, by_size
 from listwright.operators.ranking import sorted_numbers
 from listwright.sources.storage import cut
 
@@ -59,12 +63,110 @@ def _place(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return sorted_numbers(both, keys, ["section", "cyclic", "sort_key"], out).select(*keys, "id", out)
 
 
-def order_siblings(df: DataFrame, by: Sequence[str], out: str = "ord") -> DataFrame:
+def _ids(rows: Column, test=None) -> Column:
+    return F.transform(rows if test is None else F.filter(rows, test), lambda r: r["id"])
+
+
+def _sequence(rows: Column) -> Column:
+    """Ids in order; ``rows`` is an array of ``(section, pos, id, after)``.
+
+    A predecessor counts only inside the ordered section; what it never frees is a cycle and
+    closes that section.
+    """
+
+    def with_inner(sorted_rows: Column, inner: Column, inner_ids: Column) -> Column:
+        def free(done: Column) -> Column:
+            def ready(r: Column) -> Column:
+                waits = F.array_contains(inner_ids, r["after"]) & ~F.array_contains(done, r["after"])
+                return ~F.array_contains(done, r["id"]) & ~F.coalesce(waits, F.lit(False))
+
+            return _ids(F.slice(F.filter(inner, ready), 1, 1))
+
+        ordered = F.aggregate(inner, F.slice(inner_ids, 1, 0), lambda done, _: F.concat(done, free(done)))
+        return cells.once(
+            ordered,
+            lambda done: F.concat(
+                _ids(sorted_rows, lambda r: r["section"] == 0), done, F.array_except(inner_ids, done),
+                _ids(sorted_rows, lambda r: r["section"] == 2),
+            ),
+        )
+
+    return cells.once(
+        F.array_sort(rows),
+        lambda all_rows: cells.once(
+            F.filter(all_rows, lambda r: r["section"] == 1),
+            lambda inner: cells.once(_ids(inner), lambda inner_ids: with_inner(all_rows, inner, inner_ids)),
+        ),
+    )
+
+
+def _sectioned(section: Column, r: Column, after: Column) -> Column:
+    return F.struct(section.alias("section"), r["pos"].alias("pos"), r["id"].alias("id"), after.alias("after"))
+
+
+def _numbered(grouped: DataFrame, keys: Sequence[str], ids: Column, out: str) -> DataFrame:
+    return grouped.select(*keys, F.posexplode(ids).alias("_at", "id")).select(*keys, "id", (F.col("_at") + 1).alias(out))
+
+
+def _short_siblings(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    item = F.struct("pos", "id", "after", F.coalesce("first", F.lit(False)).alias("first"))
+    grouped = df.groupBy(*keys).agg(F.collect_list(item).alias("_g"))
+
+    def order(ids: Column) -> Column:
+        def row(r: Column) -> Column:
+            valid = F.coalesce(F.array_contains(ids, r["after"]), F.lit(False))
+            return _sectioned(F.when(r["first"], 0).when(valid, 1).otherwise(2), r, r["after"])
+
+        return _sequence(F.transform("_g", row))
+
+    return _numbered(grouped, keys, cells.once(_ids(F.col("_g")), order), out)
+
+
+def _short_columns(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    item = F.struct("pos", F.col("path").alias("id"), "title", "after", F.coalesce("first", F.lit(False)).alias("first"))
+    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_g"))
+
+    def resolved(r: Column) -> Column:
+        def hit(test) -> Column:
+            return F.try_element_at(_ids(F.col("_g"), test), F.lit(-1))
+
+        target = F.coalesce(
+            hit(lambda x: x["id"] == r["after"]),
+            hit(lambda x: F.substring(x["id"], 2, 1 << 20) == r["after"]),
+            hit(lambda x: x["title"] == r["after"]),
+        )
+        return F.struct(
+            r["pos"].alias("pos"), r["id"].alias("id"), r["first"].alias("first"),
+            F.when(r["after"].isNotNull(), target).alias("target"),
+        )
+
+    def order(rows: Column) -> Column:
+        others = F.filter(rows, lambda r: r["target"].isNotNull() & (r["target"] != r["id"]))
+
+        def with_refs(refs: Column) -> Column:
+            def row(r: Column) -> Column:
+                tied = r["target"].isNotNull() | F.array_contains(refs, r["id"])
+                return _sectioned(F.when(r["first"], 0).when(tied, 1).otherwise(2), r, r["target"])
+
+            return _sequence(F.transform(rows, row))
+
+        return cells.once(F.transform(others, lambda r: r["target"]), with_refs)
+
+    return _numbered(grouped, keys, cells.once(F.transform("_g", resolved), order), out)
+
+
+def order_siblings(df: DataFrame, by: Sequence[str], out: str = "ord", short: int = SHORT) -> DataFrame:
     """``(*by, id, ord)``: first-flagged rows, then rows after a valid sibling, then the rest.
 
     ``df (*by, id, pos, after, first)``, ids unique per group.
     """
     keys = list(by)
+    few, many = by_size(df, keys, short)
+    placed = _short_siblings(few, keys, out)
+    return placed if many is None else placed.unionByName(_long_siblings(many, keys, out))
+
+
+def _long_siblings(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     base = df.select(*keys, "id", "pos", "after", F.coalesce("first", F.lit(False)).alias("first"))
     targets = base.select(*keys, F.col("id").alias("after"), F.col("first").alias("_tfirst"), F.col("after").alias("_tafter"))
     hit = base.join(targets.withColumn("_hit", F.lit(True)), [*keys, "after"], "left")
@@ -79,12 +181,20 @@ def order_siblings(df: DataFrame, by: Sequence[str], out: str = "ord") -> DataFr
     return _place(rows, keys, out)
 
 
-def order_columns(df: DataFrame, by: Sequence[str], out: str = "ord") -> DataFrame:
+def order_columns(df: DataFrame, by: Sequence[str], out: str = "ord", short: int = SHORT) -> DataFrame:
     """``(*by, path, ord)``: as above, and a row others refer to joins the ordered block.
 
     ``df (*by, path, title, pos, after, first)``; ``after`` names a path, a bare name or a title.
     """
     keys = list(by)
+    few, many = by_size(df, keys, short)
+    placed = _short_columns(few, keys, out)
+    if many is not None:
+        placed = placed.unionByName(_long_columns(many, keys, out))
+    return placed.withColumnRenamed("id", "path")
+
+
+def _long_columns(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     base = df.select(*keys, F.col("path").alias("id"), "title", "pos", "after", F.coalesce("first", F.lit(False)).alias("first"))
     names = F.array(
         F.struct(F.col("id").alias("name"), F.lit(3).alias("rank")),
@@ -109,10 +219,10 @@ def order_columns(df: DataFrame, by: Sequence[str], out: str = "ord") -> DataFra
     rows = sectioned.join(inside, [*keys, "target"], "left").select(
         *keys, "id", "pos", "section", F.when(F.col("_inside"), F.col("target")).alias("pred")
     )
-    return _place(rows, keys, out).withColumnRenamed("id", "path")
+    return _place(rows, keys, out)
 
 
-def condition_last(df: DataFrame, by: Sequence[str], out: str = "ord") -> DataFrame:
+def condition_last(df: DataFrame, by: Sequence[str], out: str = "ord", short: int = SHORT) -> DataFrame:
     """``(*by, id, dependent, ord)``: rows that depend on a trigger come after the others.
 
     ``df (*by, id, pos, after, first, trigger, value)``. Both parts are ordered by themselves;
@@ -124,4 +234,4 @@ def condition_last(df: DataFrame, by: Sequence[str], out: str = "ord") -> DataFr
         .withColumn("_dep", F.lit(True))
     )
     split = df.join(triggers, [*keys, "trigger"], "left").withColumn("dependent", F.coalesce("_dep", F.lit(False)))
-    return order_siblings(split, [*keys, "dependent"], out)
+    return order_siblings(split, [*keys, "dependent"], out, short)

@@ -23,30 +23,35 @@ def _parsed(text: Column) -> Column:
     return F.from_json(text, _DEFINITION)
 
 
-def _effective(text: Column) -> Column:
-    """A definition with its composed blocks merged in: own values first, then block by block."""
-    own = _parsed(text)
-    blocks = F.transform(F.coalesce(own["allOf"], F.array().cast("array<string>")), _parsed)
-    all_defs = F.concat(F.array(own), blocks)
+def _with_effective(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds a definition with its composed blocks merged in: own values first, then block by block.
+
+    The text is parsed once; the steps are columns of their own so that no step is repeated.
+    """
+    strings = F.array().cast("array<string>")
+    entry = "array<struct<key:string,value:string>>"
+    parsed = df.withColumn("_own", _parsed(F.col(text)))
+    parsed = parsed.withColumn(
+        "_defs", F.concat(F.array("_own"), F.transform(F.coalesce("_own.allOf", strings), _parsed))
+    )
 
     def first(name: str) -> Column:
-        return F.get(F.filter(F.transform(all_defs, lambda d: d[name]), lambda x: x.isNotNull()), F.lit(0))
+        values = F.transform("_defs", lambda d: d[name])
+        return F.get(F.array_compact(values), F.lit(0))
 
-    entries = F.flatten(
-        F.transform(all_defs, lambda d: F.coalesce(F.map_entries(d["properties"]), F.array().cast("array<struct<key:string,value:string>>")))
-    )
-    names = F.transform(entries, lambda e: e["key"])
-    unique = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
-    required = F.array_distinct(
-        F.flatten(F.transform(all_defs, lambda d: F.coalesce(d["required"], F.array().cast("array<string>"))))
-    )
-    return F.struct(
-        *[first(n).alias(n) for n in _TEXTS],
-        first("enum").alias("enum"),
-        first("x-ui-first").alias("x-ui-first"),
-        unique.alias("properties"),
-        required.alias("required"),
+    entries = F.flatten(F.transform("_defs", lambda d: F.coalesce(F.map_entries(d["properties"]), F.array().cast(entry))))
+
+
+    def first_of_name(found: Column) -> Column:
+        names = F.transform(found, lambda e: e["key"])
+        return cells.once(names, lambda n: F.filter(found, lambda e, i: F.array_position(n, e["key"]) == i + 1))
+
+    unique = cells.once(entries, first_of_name)
+    required = F.array_distinct(F.flatten(F.transform("_defs", lambda d: F.coalesce(d["required"], strings))))
+    merged = F.struct(
+        *[first(n).alias(n) for n in _TEXTS], first("x-ui-first").alias("x-ui-first"), unique.alias("properties"), required.alias("required")
     )
+    return parsed.withColumn(out, merged).drop("_own", "_defs")
 
 
 def _is_leaf_type(kind: Column) -> Column:
@@ -60,30 +65,24 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
     Objects are opened, lists of objects too (their leaves carry the list's path); null and
     untyped members are skipped. One pass per nesting level over all definitions at once.
     """
-    root = _effective(F.col(json_col))
-    level = defs.select(
-        F.col(def_col).alias("def"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_array"),
-        F.array().cast("array<int>").alias("pos"), root.alias("e"),
+    start = defs.select(F.col(def_col).alias("def"), F.col(json_col).alias("json"))
+    level = _with_effective(start, "json", "e").select(
+        "def", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_array"),
+        F.array().cast("array<int>").alias("pos"), "e",
     )
+    is_object = (F.size("e.properties") > 0) & ~_is_leaf_type(F.col("e.type"))
+    is_list = ~is_object & (F.size("i.properties") > 0)
     leaves, depth = [], 0
     while True:
-        members = cut(
-            level.select("def", "path", "parent_array", "pos", "e.required", F.posexplode("e.properties").alias("at", "m"))
-            .select(
-                "def",
-                F.concat("path", F.lit("/"), "m.key").alias("path"),
-                F.col("m.key").alias("key"),
-                F.array_contains("required", F.col("m.key")).alias("is_required"),
-                "parent_array",
-                F.concat("pos", F.array("at")).alias("pos"),
-                _effective(F.col("m.value")).alias("e"),
-                F.col("m.value").alias("source"),
-            )
-            .where("e.type IS NOT NULL AND e.type <> 'null'")
+        named = level.select(
+            "def", "path", "parent_array", "pos", "e.required", F.posexplode("e.properties").alias("at", "m")
+        ).select(
+            "def", F.concat("path", F.lit("/"), "m.key").alias("path"), F.col("m.key").alias("key"),
+            F.array_contains("required", F.col("m.key")).alias("is_required"), "parent_array",
+            F.concat("pos", F.array("at")).alias("pos"), F.col("m.value").alias("source"),
         )
-        items = _effective(F.col("e.items"))
-        is_object = (F.size("e.properties") > 0) & ~_is_leaf_type(F.col("e.type"))
-        is_list = ~is_object & F.col("e.items").isNotNull() & (F.size(items["properties"]) > 0)
+        opened = _with_effective(_with_effective(named, "source", "e").withColumn("_items", F.col("e.items")), "_items", "i")
+        members = cut(opened.drop("_items")).where("e.type IS NOT NULL AND e.type <> 'null'")
         leaves.append(
             members.where(~is_object & ~is_list).select(
                 "def", "path", "key", F.col("e.type").alias("type"), F.coalesce("e.title", "key").alias("title"),
@@ -95,7 +94,7 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
         )
         depth += 1
         level = members.where(is_object).select("def", "path", "parent_array", "pos", "e").unionByName(
-            members.where(is_list).select("def", "path", F.col("path").alias("parent_array"), "pos", items.alias("e"))
+            members.where(is_list).select("def", "path", F.col("path").alias("parent_array"), "pos", F.col("i").alias("e"))
         )
         if (max_depth is not None and depth >= max_depth) or level.isEmpty():
             return reduce(DataFrame.unionByName, leaves)

@@ -12,9 +12,8 @@ from listwright.plans.registry import query
 
 def observations(events):
     """Events in the observation shape; gaps where values are low, units by the number in props."""
-    k = cells.parse_number(F.get_json_object("props", "$.k"))
-    value = F.col("value")
-    return events.select(
+    k, value = F.col("k"), F.col("value")
+    return events.withColumn("k", cells.parse_number(F.get_json_object("props", "$.k"))).select(
         "event_id",
         F.when(value >= 1, F.col("ts")).alias("resultTime"),
         F.col("event_type").alias("observedProperty"),

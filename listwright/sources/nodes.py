@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwright.functions import cells
 from listwright.sources.storage import cut
 
 _PERMISSIVE = {"mode": "PERMISSIVE"}
@@ -28,13 +29,15 @@ def _items(text: Column) -> Column:
 
 
 def _kind(v: Column) -> Column:
-    name = F.schema_of_variant(v)
-    return (
-        F.when(name.startswith("OBJECT"), F.lit("object"))
-        .when(name.startswith("ARRAY"), F.lit("array"))
-        .when(v.isNull() | (name == "VOID"), F.lit("null"))
-        .otherwise(F.lit("value"))
-    )
+    def named(name: Column) -> Column:
+        return (
+            F.when(name.startswith("OBJECT"), F.lit("object"))
+            .when(name.startswith("ARRAY"), F.lit("array"))
+            .when(name.isNull() | (name == "VOID"), F.lit("null"))
+            .otherwise(F.lit("value"))
+        )
+
+    return cells.once(F.schema_of_variant(v), named)
 
 
 def _node_id(members: Column) -> Column:
