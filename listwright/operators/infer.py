@@ -20,33 +20,42 @@ from listwright.sources.storage import cut, table_of
 SPO = ("subject", "predicate", "object")
 
 
-def _add(triples: DataFrame, *more: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, more, triples.select(*SPO)).distinct()
+def _add(triples: DataFrame, only_new: bool, *made: DataFrame) -> DataFrame:
+    """The given and the derived triples, each once; ``only_new`` gives the derived ones, unshuffled,
+    for a caller that puts several steps together and removes copies once."""
+    if only_new:
+        return reduce(DataFrame.unionByName, made)
+    return reduce(DataFrame.unionByName, made, triples.select(*SPO)).distinct()
 
 
 def infer_part_of(
-    triples: DataFrame, top_of: str = vocab.SKOS + "topConceptOf", part_of: str = vocab.DCT + "isPartOf"
+    triples: DataFrame, top_of: str = vocab.SKOS + "topConceptOf", part_of: str = vocab.DCT + "isPartOf",
+    only_new: bool = False,
 ) -> DataFrame:
     """Top concepts of a scheme that is part of a set are part of that set too."""
     tops = triples.where(F.col("predicate") == top_of).select("subject", F.col("object").alias("scheme"))
     sets = triples.where(F.col("predicate") == part_of).select(F.col("subject").alias("scheme"), "object")
     made = tops.join(sets, "scheme").select("subject", F.lit(part_of).alias("predicate"), "object")
-    return _add(triples, made)
+    return _add(triples, only_new, made)
 
 
-def infer_inverse(triples: DataFrame, pairs: Sequence[tuple[str, str]] = vocab.INVERSE_PAIRS) -> DataFrame:
+def infer_inverse(
+    triples: DataFrame, pairs: Sequence[tuple[str, str]] = vocab.INVERSE_PAIRS, only_new: bool = False
+) -> DataFrame:
     both = [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs]
     table = table_of(triples.sparkSession, both, "predicate string, inverse string")
     made = triples.join(table, "predicate").select(
         F.col("object").alias("subject"), F.col("inverse").alias("predicate"), F.col("subject").alias("object")
     )
-    return _add(triples, made)
+    return _add(triples, only_new, made)
 
 
-def infer_subproperty(triples: DataFrame, pairs: Sequence[tuple[str, str]] = vocab.SUBPROPERTY_PAIRS) -> DataFrame:
+def infer_subproperty(
+    triples: DataFrame, pairs: Sequence[tuple[str, str]] = vocab.SUBPROPERTY_PAIRS, only_new: bool = False
+) -> DataFrame:
     table = table_of(triples.sparkSession, list(pairs), "predicate string, wider string")
     made = triples.join(table, "predicate").select("subject", F.col("wider").alias("predicate"), "object")
-    return _add(triples, made)
+    return _add(triples, only_new, made)
 
 
 def infer_scheme_membership(
@@ -54,12 +63,13 @@ def infer_scheme_membership(
     top_of: str = vocab.SKOS + "topConceptOf",
     in_scheme: str = vocab.IN_SCHEME,
     concept: str = vocab.SKOS + "Concept",
+    only_new: bool = False,
 ) -> DataFrame:
     """Top concepts are in their scheme, and are concepts."""
     tops = triples.where(F.col("predicate") == top_of)
     member = tops.select("subject", F.lit(in_scheme).alias("predicate"), "object")
     typed = tops.select("subject", F.lit(vocab.RDF_TYPE).alias("predicate"), F.lit(concept).alias("object"))
-    return _add(triples, member, typed)
+    return _add(triples, only_new, member, typed)
 
 
 def transitive_closure(edges: DataFrame, max_iter: int | None = None) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from listwright.functions import cells, vocab
+from listwright.functions import vocab
 from listwright.operators.rules import last_wins_dedupe
+from listwright.operators.triples import Term, rows_to_triples
 
 VERSION = ("created", "modified", "is_version_of", "status")
 _TYPES = {"created": "string", "modified": "string", "is_version_of": "array<string>", "status": "string"}
@@ -173,5 +174,48 @@ def sort_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.select(id_col).orderBy(id_col)
 
 
-def is_withdrawn(c: Column) -> Column:
-    return cells.status_iri(c) == WITHDRAWN
+# Version columns as predicates.
+VERSION_TERMS = {
+    "created": Term(vocab.CREATED, datatype=vocab.XSD + "dateTime"),
+    "modified": Term(vocab.MODIFIED, datatype=vocab.XSD + "dateTime"),
+    "is_version_of": Term(vocab.IS_VERSION_OF, "iri"),
+    "status": Term(vocab.STATUS, "iri"),
+}
+
+
+def triple_nodes(triples: DataFrame) -> DataFrame:
+    """Triples -> one row per subject: a print of its content and its version columns.
+
+    The print is a count and two sums over the triples' hashes, so it does not depend on order
+    and a subject with very many triples is folded before the shuffle, never listed.
+    """
+    own = ~F.col("predicate").isin(*[t.predicate for t in VERSION_TERMS.values()])
+    parts = ["predicate", "object", "object_kind", "datatype", "lang"]
+    filled = [F.coalesce(p, F.lit("")) for p in parts]
+
+    def total(seed: str) -> Column:
+        return F.sum(F.when(own, F.xxhash64(F.lit(seed), *filled).cast("decimal(38,0)")))
+
+    def value(name: str) -> Column:
+        return F.max(F.when(F.col("predicate") == VERSION_TERMS[name].predicate, F.col("object")))
+
+    links = F.when(F.col("predicate") == vocab.IS_VERSION_OF, F.col("object"))
+    return triples.groupBy(F.col("subject").alias("id")).agg(
+        F.count_if(own).alias("n"), total("a").alias("print_a"), total("b").alias("print_b"),
+        value("created").alias("created"), value("modified").alias("modified"),
+        F.nullif(F.array_sort(F.collect_set(links)), F.array().cast("array<string>")).alias("is_version_of"),
+        value("status").alias("status"),
+    )
+
+
+def release_triples(
+    prev: DataFrame | None, curr: DataFrame, now: str, status: str = "active", accumulate: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """``(triples, diff)``: the current triples with version triples, and what changed per node."""
+    nodes = triple_nodes(curr)
+    before = nodes.limit(0) if prev is None else triple_nodes(prev)
+    stamped = apply_release(before, nodes, now, status=status, accumulate=accumulate)
+    versions = rows_to_triples(stamped, VERSION_TERMS, "id")
+    plain = curr.where(~F.col("predicate").isin(*[t.predicate for t in VERSION_TERMS.values()]))
+    cols = ["subject", "predicate", "object", "object_kind", "datatype", "lang"]
+    return plain.select(*cols).unionByName(versions.select(*cols)), stamped.select("id", "change")

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listwright.functions import vocab
 from listwright.operators import release as R
 from listwright.operators.rules import last_wins_dedupe
+from listwright.operators.triples import Term, rows_to_triples
 from listwright.plans.registry import query
 from listwright.sources.releases import release_load, release_write
 from listwright.sources.storage import scratch
@@ -163,3 +165,37 @@ def load_release(spark, t):
         release_write(frame.select("id", "label", "segment"), base, name)
     return release_load(spark, base).select("id", "label", "segment", "release")
 
+
+
+GRAPH = {"label": Term(vocab.PREF_LABEL, lang="nl"), "segment": Term("http://x.org/segment"), "nation": Term("http://x.org/nation")}
+VERSION = {k: R.VERSION_TERMS[k] for k in ("created", "status")}
+
+GRAPH_SQL = SQL + f""", stamped AS (SELECT id, change, CASE change WHEN 'added' THEN '{NOW}' WHEN 'deleted' THEN NULL ELSE '{BEFORE}' END AS created,
+    CASE WHEN change IN ('edited', 'deleted') THEN '{NOW}' END AS modified, CASE WHEN change = 'edited' THEN id END AS link,
+    CASE WHEN change = 'deleted' THEN '{R.WITHDRAWN}' ELSE '{ACTIVE}' END AS status FROM diff)
+"""
+
+
+def graph(rows, terms):
+    return rows_to_triples(rows, terms, "id").drop("pos")
+
+
+@query(
+    "release_triples",
+    GRAPH_SQL + f"""SELECT id AS subject, '{vocab.PREF_LABEL}' AS predicate, label AS object FROM curr
+      UNION ALL SELECT id, 'http://x.org/segment', segment FROM curr UNION ALL SELECT id, 'http://x.org/nation', cast(nation AS VARCHAR) FROM curr
+      UNION ALL SELECT id, '{vocab.CREATED}', created FROM stamped WHERE created IS NOT NULL
+      UNION ALL SELECT id, '{vocab.MODIFIED}', modified FROM stamped WHERE modified IS NOT NULL
+      UNION ALL SELECT id, '{vocab.IS_VERSION_OF}', link FROM stamped WHERE link IS NOT NULL
+      UNION ALL SELECT id, '{vocab.STATUS}', status FROM stamped""",
+)
+def release_graph(spark, t):
+    before = graph(previous(t), {**GRAPH, **VERSION})
+    triples, _ = R.release_triples(before, graph(current(t), GRAPH), NOW)
+    return triples.select("subject", "predicate", "object")
+
+
+@query("release_triples_diff", SQL + "SELECT id, change FROM diff")
+def release_graph_diff(spark, t):
+    _, diff = R.release_triples(graph(previous(t), {**GRAPH, **VERSION}), graph(current(t), GRAPH), NOW)
+    return diff
