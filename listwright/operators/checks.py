@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
 from listwright.operators.ranking import row_numbers
+from listwright.sources.storage import small
 
 _CURIE = r"^[a-zA-Z][a-zA-Z0-9_-]+:[a-zA-Z0-9_/.:-]+\z"
 
@@ -81,7 +82,10 @@ def dangling_reference_check(
     wanted = rows.withColumn("ref", F.explode(pieces)).where(
         ~cells.starts_with_any(F.col("ref"), skip_prefixes)
     )
-    return wanted.join(ids.select(F.col("id").alias("ref")), "ref", "left_anti")
+    # Each distinct reference is looked up once; the rows are only filtered by the few bad ones.
+    known = ids.select(F.col("id").alias("ref"))
+    bad = small(wanted.select("ref").distinct().join(known, "ref", "left_anti"))
+    return wanted.join(bad, "ref", "left_semi")
 
 
 def drop_excluded_subjects(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import vocab
 from listwright.operators.grouping import SHORT, by_size
-from listwright.sources.storage import cut, table_of
+from listwright.sources.storage import cut, grow, table_of
 
 SPO = ("subject", "predicate", "object")
 
@@ -86,8 +86,8 @@ def transitive_closure(edges: DataFrame, max_iter: int | None = None) -> DataFra
         delta = cut(longer.join(known, ["src", "dst"], "left_anti"))
         if delta.isEmpty():
             break
-        known = known.unionByName(delta)
         rounds += 1
+        known = grow(known, delta, rounds)
     return known
 
 
@@ -141,8 +141,8 @@ def apply_rules(triples: DataFrame, rules: Sequence[Rule], max_iter: int | None
         delta = cut(new.join(known, list(SPO), "left_anti"))
         if delta.isEmpty():
             break
-        known = known.unionByName(delta)
         rounds += 1
+        known = grow(known, delta, rounds)
     return known
 
 
@@ -260,7 +260,7 @@ def scheme_reachability(themes: DataFrame, links: DataFrame) -> DataFrame:
         )
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
+        found = grow(found, frontier, depth)
 
 
 def leaf_schemes(reached: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def bridge_schemes(reached: DataFrame, see_also: DataFrame, schemes: DataFrame)
         )
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
+        found = grow(found, frontier, rounds)
 
 
 def resolve_all_themes(

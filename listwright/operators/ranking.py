@@ -71,17 +71,24 @@ def row_numbers(
     sizes = pieced.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     # One row per group and piece: at most MAX_PIECES rows per group.
     earlier = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy("_piece")
-    starts = sizes.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)],
-        F.col("_piece").alias("_kp"),
-        (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"),
+    starts = sizes.select(*by, "_piece", (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"))
+    in_piece = Window.partitionBy(*by, "_piece").orderBy("_mark", *order)
+    so_far = in_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.first("_start", ignorenulls=True).over(so_far)
+    return (
+        _led(pieced, starts)
+        .withColumn(out, start + F.row_number().over(in_piece) - 1)
+        .where("_mark = 1")
+        .select(*df.columns, out)
+    )
+
+
+def _led(pieced: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Rows with one leading row per group and piece: what a piece must know of the pieces before
+    it arrives in the same shuffle as its rows, so the rows are moved once and never joined."""
+    return pieced.withColumn("_mark", F.lit(1)).unionByName(
+        leaders.withColumn("_mark", F.lit(0)), allowMissingColumns=True
     )
-    on = F.col("_piece") == F.col("_kp")
-    for i, k in enumerate(by):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    local = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order))
-    numbered = pieced.withColumn("_local", local).join(starts, on, "left")
-    return numbered.select(*df.columns, (F.col("_local") + F.col("_start")).alias(out))
 
 
 def previous_value(
@@ -100,24 +107,15 @@ def previous_value(
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumn(out, F.lag(value).over(w))
     pieced = df.withColumn("_piece", _piece_of(lead, splits))
-    in_piece = Window.partitionBy(*by, "_piece").orderBy(*order)
-    last = pieced.groupBy(*by, "_piece").agg(
-        F.max_by(value, F.struct(*order)).alias("_last")
-    )
-    across = Window.partitionBy(*by).orderBy("_piece")
-    edges = last.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)],
-        F.col("_piece").alias("_kp"),
-        F.lag("_last").over(across).alias("_before"),
-    )
-    on = F.col("_piece") == F.col("_kp")
-    for i, k in enumerate(by):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    looked = pieced.withColumn("_first", F.row_number().over(in_piece) == 1).withColumn(
-        "_lag", F.lag(value).over(in_piece)
-    )
-    return looked.join(edges, on, "left").select(
-        *df.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")).alias(out)
+    last = pieced.groupBy(*by, "_piece").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy("_piece")
+    before = last.select(*by, "_piece", F.lag("_last").over(across).alias("_value"))
+    in_piece = Window.partitionBy(*by, "_piece").orderBy("_mark", *order)
+    return (
+        _led(pieced.withColumn("_value", F.col(value)), before)
+        .withColumn(out, F.lag("_value").over(in_piece))
+        .where("_mark = 1")
+        .select(*df.columns, out)
     )
 
 

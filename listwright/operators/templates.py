@@ -48,10 +48,16 @@ def _with_effective(df: DataFrame, text: str, out: str) -> DataFrame:
 
     unique = cells.once(entries, first_of_name)
     required = F.array_distinct(F.flatten(F.transform("_defs", lambda d: F.coalesce(d["required"], strings))))
+    empty = F.array().cast(entry)
     merged = F.struct(
         *[first(n).alias(n) for n in _TEXTS], first("x-ui-first").alias("x-ui-first"), unique.alias("properties"), required.alias("required")
     )
-    return parsed.withColumn(out, merged).drop("_own", "_defs")
+    alone = F.struct(
+        *[F.col("_own")[n].alias(n) for n in (*_TEXTS, "x-ui-first")],
+        F.coalesce(F.map_entries("_own.properties"), empty).alias("properties"),
+        F.array_distinct(F.coalesce("_own.required", strings)).alias("required"),
+    )
+    return parsed.withColumn(out, F.when(F.col("_own.allOf").isNull(), alone).otherwise(merged)).drop("_own", "_defs")
 
 
 def _is_leaf_type(kind: Column) -> Column:
@@ -71,7 +77,6 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
         F.array().cast("array<int>").alias("pos"), "e",
     )
     is_object = (F.size("e.properties") > 0) & ~_is_leaf_type(F.col("e.type"))
-    is_list = ~is_object & (F.size("i.properties") > 0)
     leaves, depth = [], 0
     while True:
         named = level.select(
@@ -81,10 +86,14 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
             F.array_contains("required", F.col("m.key")).alias("is_required"), "parent_array",
             F.concat("pos", F.array("at")).alias("pos"), F.col("m.value").alias("source"),
         )
-        opened = _with_effective(_with_effective(named, "source", "e").withColumn("_items", F.col("e.items")), "_items", "i")
-        members = cut(opened.drop("_items")).where("e.type IS NOT NULL AND e.type <> 'null'")
+        members = cut(_with_effective(named, "source", "e")).where("e.type IS NOT NULL AND e.type <> 'null'")
+        with_items = ~is_object & F.col("e.items").isNotNull()
+        # Only members that have items are parsed a level further.
+        lists = _with_effective(members.where(with_items).withColumn("_items", F.col("e.items")), "_items", "i").drop("_items")
+        opens = F.size("i.properties") > 0
+        plain = members.where(~is_object & ~with_items).unionByName(lists.where(~opens).drop("i"))
         leaves.append(
-            members.where(~is_object & ~is_list).select(
+            plain.select(
                 "def", "path", "key", F.col("e.type").alias("type"), F.coalesce("e.title", "key").alias("title"),
                 F.col("e.description").alias("description"), F.col("e.format").alias("format"),
                 F.col("e.const").alias("const"), F.coalesce("is_required", F.lit(False)).alias("required"),
@@ -94,7 +103,7 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
         )
         depth += 1
         level = members.where(is_object).select("def", "path", "parent_array", "pos", "e").unionByName(
-            members.where(is_list).select("def", "path", F.col("path").alias("parent_array"), "pos", F.col("i").alias("e"))
+            lists.where(opens).select("def", "path", F.col("path").alias("parent_array"), "pos", F.col("i").alias("e"))
         )
         if (max_depth is not None and depth >= max_depth) or level.isEmpty():
             return reduce(DataFrame.unionByName, leaves)

@@ -15,10 +15,22 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Shuffle data one task should get; many start partitions, joined up to this size at run time.
+PARTITION_BYTES = 256 << 20
 
-def cluster_session(name: str = "listwright") -> SparkSession:
-    """Session on whatever master the submit command names."""
-    builder = SparkSession.builder.appName(name)
+
+def cluster_session(name: str = "listwright", shuffle_bytes: int = 10 << 40) -> SparkSession:
+    """Session on whatever master the submit command names, for shuffles of about ``shuffle_bytes``.
+
+    Set ``spark.checkpoint.dir`` to a folder all executors reach.
+    """
+    start = min(max(shuffle_bytes // PARTITION_BYTES, 200), 100_000)
+    builder = (
+        SparkSession.builder.appName(name)
+        .config("spark.sql.shuffle.partitions", str(start))
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES))
+        .config("spark.sql.files.maxPartitionBytes", str(PARTITION_BYTES))
+    )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grow(known: DataFrame, delta: DataFrame, rounds: int) -> DataFrame:
+    """``known`` with the rows of one more round; now and then written anew in the session's
+    number of partitions, so a long loop does not end in very many small ones."""
+    both = known.unionByName(delta)
+    if rounds % 4:
+        return both
+    return cut(both.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """A broadcast table if ``df`` has at most ``max_rows`` rows, else ``df`` itself.
 
