@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.functions import cells
+from listwright.functions import cells, vocab
 from listwright.operators import checks, infer, ordering, references, rules, shapes, templates
 from listwright.operators.checks import ViolationsFound
 from listwright.operators.ranking import sorted_numbers
@@ -16,7 +16,7 @@ from listwright.operators.release import change_counts, release_triples
 from listwright.operators.triples import Term, orphan_filter, rows_to_triples
 from listwright.sources.csvs import csv_union_with_source
 from listwright.sources.releases import expand_curie, release_load, release_write
-from listwright.sources.storage import cut, small
+from listwright.sources.storage import cut
 
 TRIPLE = "subject string, predicate string, object string, object_kind string, datatype string, lang string"
 
@@ -139,6 +139,7 @@ def derive_rules(concepts: DataFrame, schemes: DataFrame, tops: DataFrame, prefi
         composed.withColumn("name", F.col("property")), ["theme"], "name", "pos", "final", F.col("relation").isNotNull()
     ).drop("name", "property").withColumnRenamed("final", "property")
     fields = cut(fields)
+    regular = fields.where(~F.coalesce(F.col("class") == vocab.OBSERVATION_CLASS, F.lit(False)))
     coded = references.edges(concepts, "code_list").withColumnRenamed("src", "field")
     labelled = hits.join(concepts.select(F.col("id").alias("concept"), F.col("pref_label").alias("label")), "concept")
     options = references.resolve_enum_values(coded, labelled, prefix).join(
@@ -152,7 +153,7 @@ def derive_rules(concepts: DataFrame, schemes: DataFrame, tops: DataFrame, prefi
         required=rules.required_set(fields, ["theme"]),
         conditions=conditions.select("theme", "trigger", F.explode("condition_values").alias("value"), "property"),
         measurable=rules.measurable_concepts(chain, concepts, prefix),
-        bounds=expand_curie(rules.value_bounds_rules(fields), "property", small(prefix)),
+        bounds=expand_curie(rules.value_bounds_rules(regular), "property", prefix),
     )
 
 

@@ -237,16 +237,20 @@ def data_type_unknown(type_c: Column, has_parts: Column, coded: Column) -> Colum
     return lookup(type_c, vocab.RULE_TYPES).isNull() & ~has_parts & ~coded
 
 
+def dated_type(type_c: Column) -> Column:
+    """Range IRI of any type that names a date or a time; else null."""
+    return F.when(type_c.contains("dateTime"), F.lit(vocab.XSD + "dateTime")).when(
+        type_c.contains("date"), F.lit(vocab.XSD + "date")
+    )
+
+
 def map_semantic_type(type_c: Column, rule_type: Column, coded: Column | None = None) -> Column:
     base = F.coalesce(
         lookup(type_c, vocab.RANGE_TYPES),
         lookup(rule_type, vocab.RANGE_BY_RULE_TYPE),
         F.lit(vocab.XSD + "string"),
     )
-    dated = (
-        F.when(type_c.contains("dateTime"), F.lit(vocab.XSD + "dateTime"))
-        .when(type_c.contains("date"), F.lit(vocab.XSD + "date"))
-    )
+    dated = dated_type(type_c)
     applies = (rule_type == "string") & type_c.isNotNull()
     if coded is not None:
         applies = applies & ~coded

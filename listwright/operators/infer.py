@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.functions import vocab
+from listwright.functions import cells, vocab
 from listwright.operators.grouping import SHORT, by_size
 from listwright.sources.storage import cut, grow, table_of
 
@@ -358,7 +358,7 @@ def resolve_all_themes(
         tops.join(F.broadcast(chosen), "scheme")
         .join(concepts.select(F.col("id").alias("concept"), "pref_label"), "concept")
         .join(first, F.col("concept") == F.col("src"))
-        .withColumn("label", F.coalesce(F.nullif("pref_label", F.lit("")), "concept"))
+        .withColumn("label", F.coalesce(F.nullif("pref_label", F.lit("")), cells.slug("concept")))
     )
     return themes.groupBy("label").agg(
         F.max_by("concept", "pos").alias("theme"), F.max_by("first_scheme", "pos").alias("scheme")
@@ -381,6 +381,12 @@ def compose_theme_fields(chain: DataFrame, tops: DataFrame, fields: DataFrame) -
     """Fields of every theme: the mapped top concepts of its schemes, in chain order.
 
     ``chain (theme, scheme, ord)``, ``tops (scheme, pos, concept)``, ``fields (concept, is_feature, …)``.
+    Of several features of interest the one whose own scheme (``in_scheme``, where the fields have
+    it) is deepest in the chain stays.
     """
     joined = chain.join(tops, "scheme").join(fields, "concept")
-    return deepest_wins(joined, ["theme"], "is_feature", "ord", ["ord", "pos"])
+    if "in_scheme" not in fields.columns:
+        return deepest_wins(joined, ["theme"], "is_feature", "ord", ["ord", "pos"])
+    own = chain.select("theme", F.col("scheme").alias("in_scheme"), F.col("ord").alias("_deep"))
+    placed = joined.join(own, ["theme", "in_scheme"], "left").withColumn("_deep", F.coalesce("_deep", F.lit(-1)))
+    return deepest_wins(placed, ["theme"], "is_feature", "_deep", ["ord", "pos"]).drop("_deep")

@@ -23,8 +23,17 @@ def _violation(check: str, name: Column | str, detail: Column) -> Column:
 
 
 def _exploded(obs: DataFrame, id_col: str, checks: Sequence[Column]) -> DataFrame:
-    found = F.array_compact(F.array(*checks))
-    return obs.select(F.col(id_col), F.explode(found).alias("v")).select(id_col, "v.check", "v.field", "v.detail")
+    return _opened(obs.withColumn("_violations", F.array_compact(F.array(*checks))), id_col)
+
+
+def _opened(checked: DataFrame, id_col: str) -> DataFrame:
+    """One row per violation. The outer form keeps Spark from testing the array, and so running all
+    checks, a second time in a filter below."""
+    return (
+        checked.select(F.col(id_col), F.explode_outer("_violations").alias("v"))
+        .where("v IS NOT NULL")
+        .select(id_col, "v.check", "v.field", "v.detail")
+    )
 
 
 def _missing(required: Sequence[str]) -> list[Column]:
@@ -205,11 +214,7 @@ def _checked(obs: DataFrame, rules: RuleSet) -> DataFrame:
 
 def validate_observations(obs: DataFrame, id_col: str, rules: RuleSet) -> DataFrame:
     """One row per violation."""
-    return (
-        _checked(obs, rules)
-        .select(id_col, F.explode("_violations").alias("v"))
-        .select(id_col, "v.check", "v.field", "v.detail")
-    )
+    return _opened(_checked(obs, rules), id_col)
 
 
 def observation_verdicts(obs: DataFrame, id_col: str, rules: RuleSet) -> DataFrame:

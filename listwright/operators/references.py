@@ -18,7 +18,8 @@ from listwright.sources.storage import table_of
 SCHEME_TYPE = "skos:ConceptScheme"
 CONCEPT_TYPE = "skos:Concept"
 
-# Column -> names it is known by in source documents, first present one wins.
+# Column -> names it is known by in source documents, first present one wins. References to the
+# structure a field describes are named by each publisher; pass theirs as ``structure_ref``.
 ALIASES: dict[str, tuple[str, ...]] = {
     "pref_label": ("prefLabel", "has_pref_label"),
     "alt_label": ("altLabel", "alt_label"),
@@ -36,6 +37,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "data_type": ("relevantDataType", "relevant_data_type"),
     "code_list": ("relevantCodeList", "relevant_code_list"),
     "unit": ("relevantUnit", "relevant_unit"),
+    "structure_ref": (),
     "class": ("relevantClass", "relevant_class"),
     "property": ("relevantProperty", "relevant_property"),
     "condition_path": ("conditionPath", "condition_path"),
@@ -50,7 +52,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "min_value": ("minValue",),
     "max_value": ("maxValue",),
 }
-_LISTS = ("alt_label", "is_part_of", "has_part", "narrower", "see_also", "related", "code_list", "unit")
+_LISTS = ("alt_label", "is_part_of", "has_part", "narrower", "see_also", "related", "code_list", "unit", "structure_ref")
 _BOOLEANS = ("is_required", "is_repeatable", "is_measurable", "is_hidden", "is_multiselect", "ui_first")
 _NUMBERS = ("min_value", "max_value")
 

@@ -26,6 +26,8 @@ def _filled(name: str) -> Column:
 def map_fields(concepts: DataFrame, prefixes) -> DataFrame:
     """Concept -> rule field. One projection; the relation prefix is looked up in a small table."""
     coded = _filled("code_list")
+    if "structure_ref" in concepts.columns:
+        coded = coded | _filled("structure_ref")
     has_parts = _filled("narrower")
     kind = cells.map_data_type(F.col("data_type"), has_parts)
     units = F.filter(F.coalesce("unit", F.array().cast("array<string>")), lambda u: ~u.startswith("http://TODO"))
@@ -41,10 +43,11 @@ def map_fields(concepts: DataFrame, prefixes) -> DataFrame:
         F.coalesce("is_required", F.lit(False)).alias("required"),
         F.coalesce("is_repeatable", F.lit(False)).alias("repeatable"),
         relation.alias("relation"),
-        F.when(relation.isNotNull(), cells.map_semantic_type(F.col("data_type"), kind, coded)).alias("semantic_type"),
+        F.when(relation.isNotNull(), cells.map_semantic_type(F.col("data_type"), kind, coded))
+        .when(~coded & (kind == "string"), cells.dated_type(F.col("data_type"))).alias("semantic_type"),
         units.alias("units"),
         unit_kind.alias("unit_kind"),
-        (~coded & F.col("data_type").isin("xsd:decimal", "xsd:integer")).alias("numeric"),
+        (~coded & F.coalesce(F.col("data_type").isin("xsd:decimal", "xsd:integer"), F.lit(False))).alias("numeric"),
         F.col("min_value").alias("minimum"),
         F.col("max_value").alias("maximum"),
         F.when(has_condition, F.col("condition_path")).alias("trigger"),
@@ -52,6 +55,7 @@ def map_fields(concepts: DataFrame, prefixes) -> DataFrame:
         (F.coalesce(relation == vocab.FEATURE_RELATION, F.lit(False))).alias("is_feature"),
         (F.coalesce(relation == vocab.RESULT_RELATION, F.lit(False))).alias("is_result"),
         F.col("class").alias("class"),
+        "in_scheme",
         "is_part_of",
         F.coalesce("ui_first", F.lit(False)).alias("ui_first"),
         "ui_after",
@@ -174,7 +178,7 @@ def variant_key(relation: Column, label: Column) -> Column:
 
 
 def merge_variants(children: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per merged child: ``(*by, child_key, label, concept, first_pos, appearances, required)``.
+    """One row per merged child: ``(*by, child_key, label, property, concept, first_pos, appearances, required)``.
 
     ``children (*by, relation, label, concept, required, pos)``. A child is required only where
     every variant requires it; it stands where it first appeared.
@@ -186,7 +190,7 @@ def merge_variants(children: DataFrame, by: Sequence[str]) -> DataFrame:
         F.min("pos").alias("first_pos"),
         F.count(F.lit(1)).alias("appearances"),
         F.bool_and("required").alias("required"),
-    )
+    ).withColumn("property", cells.label_name("label"))
 
 
 def variant_conditions(children: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -224,8 +228,11 @@ def distinct_units(fields: DataFrame, by: Sequence[str], unit_col: str) -> DataF
 def required_set(fields: DataFrame, by: Sequence[str]) -> DataFrame:
     """``(*by, property)``: the envelope's required fields and the group's own, each once.
 
-    ``fields (*by, property, required, is_feature)``.
+    ``fields (*by, property, required, is_feature)``; observation composites (``class``) have
+    their own rule sets and are left out.
     """
+    if "class" in fields.columns:
+        fields = fields.where(~F.coalesce(F.col("class") == vocab.OBSERVATION_CLASS, F.lit(False)))
     own = fields.where(F.col("required") & ~F.coalesce(F.col("is_feature"), F.lit(False))).select(*by, "property")
     envelope = fields.select(*by).distinct().select(
         *by, F.explode(F.array(*[F.lit(x) for x in vocab.ENVELOPE_REQUIRED])).alias("property")
@@ -251,15 +258,15 @@ def sub_rule_sets(fields: DataFrame) -> DataFrame:
     """``(rule_set, member, role)`` of every observation composite.
 
     ``fields (id, parent, property, relation, class, type, condition)``, type ``object`` for
-    composites. Children holding results give ``bounds``; children with a relation, also those of
+    composites. Children holding numeric results give ``bounds``; children with a relation, also those of
     plain composites below, are ``promoted``; merged groups and other children are ``field``.
     """
     sets = fields.where(F.col("class") == vocab.OBSERVATION_CLASS).select(
         F.col("id").alias("set_id"), cells.kebab("property").alias("rule_set")
     )
     members = fields.select("id", "parent", "property", "relation", "type", "condition")
-    level1 = sets.join(members, F.col("set_id") == F.col("parent"))
     is_result = F.coalesce(F.col("relation") == vocab.RESULT_RELATION, F.lit(False))
+    level1 = sets.join(members.where(~is_result | (F.col("type") == "number")), F.col("set_id") == F.col("parent"))
     merged_group = (F.col("type") == "object") & F.col("condition").isNotNull()
     role = (
         F.when(is_result, F.lit("bounds"))

@@ -62,10 +62,10 @@ fields AS (SELECT {ID} AS concept,
     p_name AS label, CASE WHEN p_size > 25 THEN p_brand ELSE 'a note' END AS description, type, p_size > 40 AS required, p_size > 45 AS repeatable,
     CASE WHEN relation LIKE 'sosa:%' THEN 'http://www.w3.org/ns/sosa/' ELSE '{vocab.DCT}' END || split_part(relation, ':', 2) AS relation_uri,
     CASE WHEN relation IS NOT NULL THEN CASE p_type WHEN 'LARGE' THEN '{vocab.XSD}double' WHEN 'MEDIUM' THEN '{vocab.XSD}dateTime' WHEN 'ECONOMY' THEN '{vocab.XSD}boolean'
-      ELSE '{vocab.XSD}string' END END AS semantic_type,
+      ELSE '{vocab.XSD}string' END WHEN p_type = 'MEDIUM' AND p_size <> 10 THEN '{vocab.XSD}dateTime' END AS semantic_type,
     CASE WHEN p_size > 30 THEN 'unit:' || p_type WHEN p_size > 20 THEN 'unit:A;unit:B' ELSE '' END AS units,
     CASE WHEN p_size > 30 THEN 'const' WHEN p_size > 20 THEN 'enum' END AS unit_kind,
-    CASE WHEN p_type IN ('LARGE') THEN p_size <> 10 WHEN p_type IN ('MEDIUM', 'ECONOMY') THEN false WHEN p_size = 10 THEN false END AS numeric,
+    p_type = 'LARGE' AND p_size <> 10 AS numeric,
     CASE WHEN p_type = 'LARGE' THEN p_retailprice END AS minimum, CASE WHEN p_size > 16 THEN 'field:my-' || lower(p_type) END AS trigger,
     CASE WHEN p_size > 16 THEN lower(p_brand) || ';true' ELSE '' END AS condition_values, p_size = 20 AS is_feature, p_partkey FROM m)
 """
@@ -206,7 +206,7 @@ def variants(t):
     )
 
 
-@query("merge_variants", VARIANTS + "SELECT * FROM m")
+@query("merge_variants", VARIANTS + "SELECT *, lower(label) AS property FROM m")
 def merge_variants(spark, t):
     return rules.merge_variants(variants(t), ["component"])
 
@@ -275,7 +275,7 @@ def bounds(spark, t):
     "sub_rule_sets",
     """WITH sets AS (SELECT r_regionkey, 'my-' || lower(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AS rule_set FROM region WHERE r_name <> 'ASIA'),
        n AS (SELECT rule_set, n_nationkey, n_name, CASE WHEN n_nationkey < 5 THEN 'bounds' WHEN n_nationkey < 10 THEN 'promoted' WHEN n_nationkey < 15 THEN 'field' ELSE 'field' END AS role
-         FROM sets JOIN nation ON n_regionkey = r_regionkey)
+         FROM sets JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey <> 3)
        SELECT rule_set, n_name AS member, role FROM n
        UNION ALL SELECT rule_set, c_name, 'promoted' FROM n JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey >= 15 AND c_acctbal > 0""",
 )
@@ -289,7 +289,7 @@ def sub_rule_sets(spark, t):
     n = t.nation.select(
         tagged("nation", "n_nationkey").alias("id"), tagged("region", "n_regionkey").alias("parent"), F.col("n_name").alias("property"),
         F.when(key < 5, F.lit("sosa:hasResult")).when(key < 10, F.lit("dcterms:x")).alias("relation"), none.alias("class"),
-        F.when(key < 10, F.lit("string")).otherwise(F.lit("object")).alias("type"), F.when((key >= 10) & (key < 15), F.lit("c")).alias("condition"),
+        F.when((key < 5) & (key != 3), F.lit("number")).when(key < 10, F.lit("string")).otherwise(F.lit("object")).alias("type"), F.when((key >= 10) & (key < 15), F.lit("c")).alias("condition"),
     )
     c = t.customer.select(
         tagged("customer", "c_custkey").alias("id"), tagged("nation", "c_nationkey").alias("parent"), F.col("c_name").alias("property"),
