@@ -311,7 +311,7 @@ def local_name(c: Column | str) -> Column:
 def csv_columns(c: Column | str) -> Column:
     """Number of comma-separated columns, commas inside quotes not counted."""
     bare = F.regexp_replace(_col(c), r'"[^"]*("|\z)', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1).cast("bigint")
 
 
 def prefixed_relation_name(uri: Column, name: Column) -> Column:

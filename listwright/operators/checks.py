@@ -40,7 +40,9 @@ def cells_of(rows: DataFrame, row_col: str, source_col: str = "__source") -> Dat
 def occurrence_samples(issues: DataFrame, by: Sequence[str], order: Sequence[str], n: int = 3) -> DataFrame:
     """First ``n`` rows per group; each task passes on at most ``n`` rows of a group."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return issues.withColumn("sample", F.row_number().over(w)).where(F.col("sample") <= n)
+    return issues.withColumn("sample", F.row_number().over(w)).where(F.col("sample") <= n).withColumn(
+        "sample", F.col("sample").cast("bigint")
+    )
 
 
 def undeclared_prefix_check(

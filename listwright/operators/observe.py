@@ -219,7 +219,7 @@ def validate_observations(obs: DataFrame, id_col: str, rules: RuleSet) -> DataFr
 
 def observation_verdicts(obs: DataFrame, id_col: str, rules: RuleSet) -> DataFrame:
     """One row per observation: how many violations, and whether it is valid."""
-    n = F.size("_violations")
+    n = F.size("_violations").cast("bigint")
     return _checked(obs, rules).select(id_col, n.alias("violations"), (n == 0).alias("valid"))
 
 

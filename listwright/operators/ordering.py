@@ -105,7 +105,7 @@ def _sectioned(section: Column, r: Column, after: Column) -> Column:
 
 
 def _numbered(grouped: DataFrame, keys: Sequence[str], ids: Column, out: str) -> DataFrame:
-    return grouped.select(*keys, F.posexplode(ids).alias("_at", "id")).select(*keys, "id", (F.col("_at") + 1).alias(out))
+    return grouped.select(*keys, F.posexplode(ids).alias("_at", "id")).select(*keys, "id", (F.col("_at") + 1).cast("bigint").alias(out))
 
 
 def _short_siblings(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:

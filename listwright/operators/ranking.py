@@ -66,7 +66,8 @@ def row_numbers(
     splits = _splits(df, lead, plain_rows, rows_per_piece)
     if not splits:
         keys = list(by) or [F.lit(0)]
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, number.cast("bigint"))
     pieced = df.withColumn("_piece", _piece_of(lead, splits))
     sizes = pieced.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     # One row per group and piece: at most MAX_PIECES rows per group.
@@ -77,7 +78,7 @@ def row_numbers(
     start = F.first("_start", ignorenulls=True).over(so_far)
     return (
         _led(pieced, starts)
-        .withColumn(out, start + F.row_number().over(in_piece) - 1)
+        .withColumn(out, (start + F.row_number().over(in_piece) - 1).cast("bigint"))
         .where("_mark = 1")
         .select(*df.columns, out)
     )
@@ -130,7 +131,8 @@ def sorted_numbers(
     """
     keys = list(by)
     if df.limit(plain_rows + 1).count() <= plain_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, number.cast("bigint"))
     local = Window.partitionBy("_part", *keys).orderBy(*order)
     placed = cut(
         df.repartitionByRange(*keys, *order)
@@ -149,5 +151,5 @@ def sorted_numbers(
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return placed.join(F.broadcast(starts), on, "left").select(
-        *df.columns, (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("int").alias(out)
+        *df.columns, (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("bigint").alias(out)
     )

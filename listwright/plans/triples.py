@@ -57,7 +57,7 @@ def to_triples(spark, t):
 
 @query(
     "triples_to_rows",
-    """SELECT 'customer:' || c_custkey AS subject, 0 AS part, 'skos:Concept;kind:' || c_mktsegment AS types, c_name AS label,
+    """SELECT 'customer:' || c_custkey AS subject, cast(0 AS BIGINT) AS part, 'skos:Concept;kind:' || c_mktsegment AS types, c_name AS label,
          coalesce(cast(CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS VARCHAR), '') AS balance FROM customer
        UNION ALL SELECT 'nation:' || n_nationkey, 0, 'skos:ConceptScheme', n_name, '' FROM nation""",
 )
@@ -156,7 +156,7 @@ def source_nodes(t):
     """SELECT 'customer:' || c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN c_name ELSE upper(c_name) END AS pref_label,
          'nation:' || c_nationkey AS in_scheme, 'part:' || c_nationkey || ';part:' || c_mktsegment AS is_part_of, c_acctbal > 5000 AS is_required,
          c_acctbal AS min_value, 'field:' || c_nationkey AS condition_path, lower(c_mktsegment) AS condition_value,
-         lower(c_mktsegment) || ';last' AS condition_values, NULL AS is_hidden FROM customer""",
+         lower(c_mktsegment) || ';last' AS condition_values, cast(NULL AS BOOLEAN) AS is_hidden FROM customer""",
 )
 def project(spark, t):
     return refs.project_concepts(source_nodes(t)).select(

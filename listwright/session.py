@@ -13,6 +13,8 @@ SETTINGS = {
     # Splits a hot key's join partitions also where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Files of rounds no frame refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Shuffle data one task should get; many start partitions, joined up to this size at run time.

@@ -119,7 +119,7 @@ def csv_shape_repair(lines: DataFrame, headers: DataFrame) -> DataFrame:
     joined = lines.join(headers, "file", "left")
     gap = F.col("expected") - cells.csv_columns("line")
     short = (F.col("line_no") > 1) & (cells.strip("line") != "") & (gap > 0)
-    padded = F.when(short, F.concat("line", F.repeat(F.lit(","), F.greatest(gap, F.lit(0)))))
+    padded = F.when(short, F.concat("line", F.repeat(F.lit(","), F.greatest(gap, F.lit(0)).cast("int"))))
     return joined.select(
         "file", "line_no", F.coalesce(padded, "line").alias("line"), F.coalesce(short, F.lit(False)).alias("changed")
     )

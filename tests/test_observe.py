@@ -126,23 +126,17 @@ def test_latest_values_on_a_stream(spark, tmp_path):
     assert {tuple(r) for r in state.current_values(spark.table("latest")).collect()} == LATEST
 
 
-def test_flow_steps_batch_and_stream(spark, tmp_path):
-    rows = [(1, "theme", "x", 1, 1), (1, "a", "v", 2, 2), (1, "theme", "y", 3, 3), (1, "b", "", 4, 4), (1, "a", "v", 5, 5), (2, "a", "v", 1, 6), (1, "b", "w", 6, 7)]
-    df = spark.createDataFrame(rows, EVENT)
+STEPS = [(1, "theme", "x", 1, 1), (1, "a", "v", 2, 2), (1, "theme", "y", 3, 3), (1, "b", "", 4, 4), (1, "a", "v", 5, 5), (2, "a", "v", 1, 6), (1, "b", "w", 6, 7)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"plain_rows": 0, "rows_per_piece": 2}])
+@pytest.mark.parametrize("kind", ["long", "timestamp", "timestamp_ntz"])
+def test_flow_steps(spark, kind, sizes):
+    stamp = F.timestamp_seconds("ts").cast(kind) if kind != "long" else F.col("ts")
+    df = spark.createDataFrame(STEPS, EVENT).withColumn("ts", stamp)
     see = spark.createDataFrame([("theme", "base"), ("a", "sa"), ("b", "sb")], "field string, scheme string")
-    batch = {tuple(r) for r in forms.flow_steps(df, see, "theme").collect()}
-    assert batch == {(1, 1, "base", "theme"), (1, 2, "sa", "a"), (1, 3, "sb", "b"), (2, 1, "sa", "a")}
-    for i, part in enumerate((rows[:3], rows[3:])):
-        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        if i == 0:
-            stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-            q = (
-                state.flow_steps_stream(stream, see, "theme").writeStream.outputMode("append").format("memory").queryName("steps").start()
-            )
-        q.processAllAvailable()
-    q.stop()
-    last = [tuple(r) for r in spark.table("steps").where("submission = 1").collect()]
-    assert last[-3:] == [(1, 1, "base", "theme"), (1, 2, "sa", "a"), (1, 3, "sb", "b")]
+    found = {tuple(r) for r in forms.flow_steps(df, see, "theme", **sizes).collect()}
+    assert found == {(1, 1, "base", "theme"), (1, 2, "sa", "a"), (1, 3, "sb", "b"), (2, 1, "sa", "a")}
 
 
 def test_gate(spark):

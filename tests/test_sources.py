@@ -89,6 +89,13 @@ def test_nodes_at_any_depth(spark):
     assert ("c", "x") not in merged and {i for i, _ in merged} == {"a", "b", "c"}
 
 
+def test_text_that_looks_like_an_object_is_a_value(spark):
+    doc = {"id": "a", "t": '{"id":"no"}', "l": "[1]", "n": None, "o": {"p": 1}, "k": ["[x]", {"id": "b", "z": "{}"}]}
+    props = node_json_read(spark.createDataFrame([(0, json.dumps(doc))], "doc int, json string"), "json", "doc")
+    kinds = {(r["id"], r["key"]): r["kind"] for r in props.collect()}
+    assert kinds == {("a", "id"): "value", ("a", "t"): "value", ("a", "l"): "value", ("a", "o"): "object", ("a", "k"): "array", ("b", "id"): "value", ("b", "z"): "value"}
+
+
 def test_export_formats(spark, tmp_path):
     df = spark.createDataFrame([("a", ["x", "y"], (1, "z"))], "id string, tags array<string>, s struct<n:int,t:string>")
     for fmt in ("csv", "json", "parquet"):
