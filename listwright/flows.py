@@ -109,6 +109,9 @@ class ThemeRules:
 
     chain: DataFrame
     fields: DataFrame
+    tree: DataFrame
+    variants: DataFrame
+    variant_rules: DataFrame
     options: DataFrame
     required: DataFrame
     conditions: DataFrame
@@ -146,9 +149,19 @@ def derive_rules(concepts: DataFrame, schemes: DataFrame, tops: DataFrame, prefi
         fields.select("theme", F.col("concept").alias("field")).distinct(), "field"
     )
     conditions = fields.where("trigger IS NOT NULL").select("theme", "concept", "trigger", "property", "condition_values")
+    shaped = fields.select(
+        "theme", F.col("concept").alias("id"), F.get("is_part_of", F.lit(0)).alias("parent"), "pos", "label", "required",
+        F.col("relation_uri").alias("relation"), F.get("condition_values", F.lit(0)).alias("condition"),
+    )
+    related = references.edges(concepts, "related").select(F.col("src").alias("a"), F.col("ref").alias("b"))
+    components = rules.variant_components(shaped, related, ["theme"])
+    children = cut(rules.variant_children(shaped, components, ["theme"]))
     return ThemeRules(
         chain=chain,
         fields=fields,
+        tree=rules.nest_children(shaped, ["theme"]),
+        variants=rules.merge_variants(children, ["theme", "component"]),
+        variant_rules=rules.required_when(children, ["theme", "component"]),
         options=options,
         required=rules.required_set(fields, ["theme"]),
         conditions=conditions.select("theme", "trigger", F.explode("condition_values").alias("value"), "property"),

@@ -19,20 +19,22 @@ class ViolationsFound(Exception):
 
 
 def cells_of(rows: DataFrame, row_col: str, source_col: str = "__source") -> DataFrame:
-    """Wide rows -> ``(source, row, col, value)``, one per filled cell. No shuffle."""
+    """Wide rows -> ``(source, row, at, col, value)``, one per filled cell, ``at`` being the
+    column's place. No shuffle."""
     names = [c for c in rows.columns if c not in (row_col, source_col)]
     types = dict(rows.dtypes)
     pairs = [
         F.struct(
+            F.lit(i).alias("at"),
             F.lit(c).alias("col"),
             (F.col(c) if types[c].startswith("array") else F.array(F.col(c).cast("string"))).alias("v"),
         )
-        for c in names
+        for i, c in enumerate(names)
     ]
     wide = rows.select(
         F.col(source_col).alias("source"), F.col(row_col).alias("row"), F.explode(F.array(*pairs)).alias("p")
     )
-    return wide.select("source", "row", "p.col", F.explode("p.v").alias("value")).where(
+    return wide.select("source", "row", "p.at", "p.col", F.explode("p.v").alias("value")).where(
         "value IS NOT NULL"
     )
 
@@ -50,7 +52,8 @@ def undeclared_prefix_check(
 ) -> DataFrame:
     """Prefixes used but not declared: total uses, the first ``n`` of them, how many more.
 
-    ``cell_rows (source, row, col, value)``.
+    ``cell_rows (source, row, at, col, value)``; the first uses are those first read: by row,
+    column and place in the cell.
     """
     known = sorted(set(prefixes) | set(vocab.WELL_KNOWN_PREFIXES))
     value = F.col("value")
@@ -58,13 +61,13 @@ def undeclared_prefix_check(
     part = F.col("part")
     used = (
         cell_rows.where(value.contains(":") & ~cells.is_http(cells.strip(value)))
-        .select("source", "row", "col", F.explode(pieces).alias("part"))
+        .select("source", "row", "at", "col", F.posexplode(pieces).alias("place", "part"))
         .where(part.rlike(_CURIE) & ~cells.is_http(part))
         .withColumn("prefix", cells.curie_prefix(part))
         .where(~F.col("prefix").isin(*known))
     )
     totals = used.groupBy("prefix").agg(F.count(F.lit(1)).alias("uses"))
-    samples = occurrence_samples(used, ["prefix"], ["row", "col", "part"], n)
+    samples = occurrence_samples(used, ["prefix"], ["row", "at", "place"], n)
     return samples.join(totals, "prefix").select(
         "prefix", "uses", "sample", "source", "row", "col", F.col("part").alias("value"),
         F.greatest(F.col("uses") - n, F.lit(0)).alias("more"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
+from listwright.operators.infer import related_components
 from listwright.operators.ranking import previous_value, row_numbers
 from listwright.sources.releases import expand_curie
 from listwright.sources.storage import cut, table_of
@@ -173,6 +174,40 @@ def common_prefix(df: DataFrame, by: Sequence[str], col: str, out: str = "name")
     return ends.select(*by, F.regexp_replace(shared, "-+$", "").alias(out))
 
 
+def variant_components(fields: DataFrame, related: DataFrame, by: Sequence[str], require_condition: bool = True) -> DataFrame:
+    """``(*by, component, id)``: composites that are variants of one another.
+
+    ``fields (*by, id, parent, condition)``, ``related (a, b)``. Variants are siblings with
+    children linked by ``related`` in either direction, directly or through other variants; with
+    ``require_condition`` only those that show under a condition. Composites without a partner
+    are left out.
+    """
+    keys = list(by)
+    parents = fields.select(*keys, F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
+    composites = fields.join(parents, [*keys, "id"], "left_semi").select(*keys, "id", "parent", "condition")
+    if require_condition:
+        composites = composites.where("condition IS NOT NULL")
+    sibling = F.struct(*keys, F.coalesce("parent", F.lit("")).alias("parent"))
+    left = composites.select(F.col("id").alias("a"), sibling.alias("siblings"))
+    right = composites.select(F.col("id").alias("b"), sibling.alias("siblings"))
+    edges = related.where("a <> b").join(left, "a").join(right, ["siblings", "b"])
+    found = related_components(edges.select("siblings", "a", "b"), "siblings")
+    return found.select(*[F.col("siblings")[k].alias(k) for k in keys], "component", F.col("node").alias("id"))
+
+
+def variant_children(fields: DataFrame, components: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Children of all variants of a component, ready for ``merge_variants``.
+
+    ``fields (*by, id, parent, condition, relation, label, required, pos)``.
+    """
+    keys = list(by)
+    variants = components.join(fields.select(*keys, "id", "condition"), [*keys, "id"])
+    children = fields.select(
+        *keys, F.col("parent"), "relation", "label", F.col("id").alias("concept"), "required", "pos"
+    )
+    return variants.withColumnRenamed("id", "parent").join(children, [*keys, "parent"])
+
+
 def variant_key(relation: Column, label: Column) -> Column:
     return F.concat(F.coalesce(relation, F.lit("")), F.lit("::"), F.lower(cells.strip(F.coalesce(label, F.lit("")))))
 

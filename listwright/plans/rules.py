@@ -315,3 +315,51 @@ def to_json(spark, t):
 @query("distinct_values", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
 def distinct_values(spark, t):
     return t.lineitem.select("l_partkey", "l_suppkey").distinct()
+
+
+# Lines of an order are composites under it, each linked to the next line number.
+@query(
+    "variant_components",
+    """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem),
+       cond AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+       ok AS (SELECT o, n FROM cond WHERE flag <> 'A'),
+       e AS (SELECT a.o, a.n AS a, b.n AS b FROM ok a JOIN ok b ON a.o = b.o AND b.n = a.n + 1),
+       both_ways AS (SELECT o, a, b FROM e UNION ALL SELECT o, b, a FROM e),
+       r AS (SELECT o, a AS node, a AS seen FROM both_ways UNION SELECT r.o, r.node, b.b FROM r JOIN both_ways b ON r.o = b.o AND r.seen = b.a)
+       SELECT o AS theme, o || '/' || min(seen) AS component, o || '/' || node AS id FROM r GROUP BY o, node""",
+)
+def variant_components(spark, t):
+    line = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"))
+    composites = lines.select(
+        F.col("l_orderkey").alias("theme"), line.alias("id"), F.lit("order").alias("parent"), F.when(F.col("flag") != "A", F.col("flag")).alias("condition")
+    )
+    children = t.lineitem.select(
+        F.col("l_orderkey").alias("theme"), F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), line.alias("parent"),
+        F.lit(None).cast("string").alias("condition"),
+    )
+    related = lines.select(line.alias("a"), F.concat_ws("/", "l_orderkey", F.col("l_linenumber") + 1).alias("b"))
+    return rules.variant_components(composites.unionByName(children), related, ["theme"])
+
+
+@query(
+    "variant_children",
+    """SELECT l_orderkey AS theme, 'c' || l_linestatus AS component, l_linestatus || l_orderkey AS parent, CASE WHEN l_linestatus = 'O' THEN 'open' END AS condition,
+         l_returnflag AS relation, 'Line ' || l_linenumber AS label, l_partkey || '/' || l_suppkey AS concept, l_quantity > 25 AS required, l_linenumber AS pos
+       FROM lineitem""",
+)
+def variant_children(spark, t):
+    none = F.lit(None).cast("string")
+    parent = F.concat("l_linestatus", "l_orderkey")
+    groups = t.lineitem.select(F.col("l_orderkey").alias("theme"), parent.alias("id"), "l_linestatus").distinct()
+    variants = groups.select(
+        "theme", "id", none.alias("parent"), F.when(F.col("l_linestatus") == "O", F.lit("open")).alias("condition"), none.alias("relation"),
+        F.lit("group").alias("label"), F.lit(False).alias("required"), F.lit(0).alias("pos"),
+    )
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("theme"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("id"), parent.alias("parent"), none.alias("condition"),
+        F.col("l_returnflag").alias("relation"), F.concat(F.lit("Line "), "l_linenumber").alias("label"), (F.col("l_quantity") > 25).alias("required"),
+        F.col("l_linenumber").alias("pos"),
+    )
+    components = groups.select("theme", F.concat(F.lit("c"), "l_linestatus").alias("component"), "id")
+    return rules.variant_children(variants.unionByName(lines), components, ["theme"])

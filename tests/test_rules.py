@@ -87,3 +87,21 @@ def test_distinct_units_without_placeholders(spark):
     df = spark.createDataFrame([("t", ["u:a", "http://TODO"]), ("t", ["u:a"]), ("s", ["u:a", "u:b"])], "theme string, units array<string>")
     found = {tuple(r) for r in rules.distinct_units(df, ["theme"], "units").collect()}
     assert found == {("t", "u:a", "const"), ("s", "u:a", "enum"), ("s", "u:b", "enum")}
+
+
+def test_variants_of_siblings(spark):
+    rows = [
+        ("t", "top", None, None), ("t", "be", "top", "be"), ("t", "none", "top", "none"), ("t", "yard", "top", "yard"), ("t", "plain", "top", None),
+        ("t", "far", "other", "far"), ("t", "leaf", "top", "leaf"),
+    ] + [("t", f"{p}-child", p, None) for p in ("be", "none", "yard", "plain", "far")]
+    fields = spark.createDataFrame(rows, "theme string, id string, parent string, condition string")
+    related = spark.createDataFrame([("none", "be"), ("yard", "none"), ("be", "far"), ("be", "plain"), ("leaf", "be")], "a string, b string")
+    found = {(r["component"], r["id"]) for r in rules.variant_components(fields, related, ["theme"]).collect()}
+    assert found == {("be", "be"), ("be", "none"), ("be", "yard")}
+    free = {r["id"] for r in rules.variant_components(fields, related, ["theme"], require_condition=False).collect()}
+    assert free == {"be", "none", "yard", "plain"}
+    full = fields.select("*", F.lit(None).cast("string").alias("relation"), F.lit("Name").alias("label"), F.lit(True).alias("required"), F.monotonically_increasing_id().alias("pos"))
+    children = rules.variant_children(full, rules.variant_components(fields, related, ["theme"]), ["theme"])
+    merged = rules.merge_variants(children, ["theme", "component"]).collect()
+    assert [(r["component"], r["appearances"], r["required"]) for r in merged] == [("be", 3, True)]
+    assert {r["condition"] for r in rules.variant_conditions(children, ["theme", "component"]).collect()} == {"be", "none", "yard"}
