@@ -37,12 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def grow(known: DataFrame, delta: DataFrame, rounds: int) -> DataFrame:
-    """``known`` with the rows of one more round; now and then written anew in the session's
-    number of partitions, so a long loop does not end in very many small ones."""
+    """``known`` with the rows of one more round; now and then written anew in partitions of even
+    size, as many as the data needs, so a long loop does not end in very many small ones."""
     both = known.unionByName(delta)
-    if rounds % 4:
-        return both
-    return cut(both.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return both if rounds % 4 else cut(both.hint("rebalance"))
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
