@@ -176,7 +176,6 @@ def component(name):
     return f"'{vocab.SHACL}{name}ConstraintComponent' AS component"
 
 
-COUNTS = ", c AS (SELECT t.subject AS focus, t.class AS target_class, count(tr.subject) FILTER (tr.predicate = '{p}') AS n FROM targets t LEFT JOIN tr ON tr.subject = t.subject WHERE t.class = '{c}' GROUP BY ALL)"
 MIN_COUNT = " UNION ALL ".join(
     f"""SELECT t.subject AS focus, t.class AS target_class, '{p}' AS path, {component('MinCount')}, '0' AS detail FROM targets t
         WHERE t.class = '{CONCEPT}' AND t.subject NOT IN (SELECT subject FROM tr WHERE predicate = '{p}')"""
