@@ -99,6 +99,17 @@ def run_hashes(items: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct items, the place of one of each, and each item's number among them."""
+    order = np.argsort(items)
+    ordered = items[order]
+    new = np.ones(len(items), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(items), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, … of each run, one run after the other."""
     total = int(sizes.sum())
