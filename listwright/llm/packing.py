@@ -57,29 +57,42 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS
 
 
 def pattern_counts(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """``(lengths, repeats)``: every counted piece has one place. ``histogram[l]`` pieces have length l."""
+    """``(lengths, repeats)``: every counted piece has one place. ``histogram[l]`` pieces have length l.
+
+    Rounding is tried three ways and the one with the fewest sequences taken: the fitted counts, and
+    with them whatever exact patterns still have pieces, or every count rounded down to none, which
+    suits histograms with hardly a piece per length.
+    """
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+    whole = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
     patterns = exact_patterns(np.flatnonzero(left), capacity)
-    if len(patterns):
-        x = fit_counts(patterns, left)
-        order = np.argsort(-x, kind="stable")
-        # First what the fit asks for, then whatever exact patterns still have pieces.
-        for wanted in (np.floor(x[order]).astype(np.int64), np.full(len(x), left.sum())):
-            for pattern, most in zip(patterns[order].tolist(), wanted.tolist()):
-                if not most:
-                    continue
-                lengths = [v for v in pattern if v]
-                n = min(most, min(int(left[v]) // lengths.count(v) for v in lengths))
-                if n > 0:
-                    for v in lengths:
-                        left[v] -= n
-                    out.append((tuple(lengths[::-1]), n))
-    return out + _best_fit(left, capacity)
+    x = fit_counts(patterns, left)
+    order = np.argsort(-x, kind="stable")
+    patterns, x = patterns[order], np.floor(x[order]).astype(np.int64)
+    tried = []
+    for passes in ([x, np.full(len(x), left.sum())], [x], []):
+        rest, out = left.copy(), list(whole)
+        for wanted in passes:
+            out += _taken(patterns, wanted, rest)
+        tried.append(out + _best_fit(rest, capacity))
+    return min(tried, key=lambda groups: sum(n for _, n in groups))
+
+
+def _taken(patterns: np.ndarray, wanted: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as wanted or as ``left`` allows; takes their pieces out of ``left``."""
+    out = []
+    for pattern, most in zip(patterns.tolist(), wanted.tolist()):
+        if not most:
+            continue
+        lengths = [v for v in pattern if v]
+        n = min(most, min(int(left[v]) // lengths.count(v) for v in lengths))
+        if n > 0:
+            for v in lengths:
+                left[v] -= n
+            out.append((tuple(lengths[::-1]), n))
+    return out
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
