@@ -126,3 +126,39 @@ def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         len(offsets) - 1,
         [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())],
     )
+
+
+class Memo:
+    """Values of text chunks by hash, kept over slices: a run of numbers and one figure for each.
+
+    Holds no more than ``limit`` chunks beyond those of one slice; then it starts anew.
+    """
+
+    def __init__(self, kind, limit: int):
+        self.kind, self.limit = kind, limit
+        self._clear()
+
+    def _clear(self):
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.figures, self.flat = np.zeros(0), np.zeros(0, self.kind)
+
+    def places(self, keys: np.ndarray, make) -> np.ndarray:
+        """Where the sorted distinct ``keys`` are. ``make(new)`` gives the numbers of the chunks that
+        the mask ``new`` selects, one chunk after the other, their sizes, and their figures."""
+        if len(self.keys) > self.limit:
+            self._clear()
+        place = np.searchsorted(self.keys, keys)
+        place[place == len(self.keys)] = 0
+        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            flat, sizes, figures = make(new)
+            everything = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(everything)
+            starts = len(self.flat) + np.cumsum(sizes) - sizes
+            self.keys = everything[order]
+            self.starts = np.concatenate([self.starts, starts])[order]
+            self.sizes = np.concatenate([self.sizes, sizes])[order]
+            self.figures = np.concatenate([self.figures, figures])[order]
+            self.flat = np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.keys, keys)
+        return place

@@ -17,7 +17,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from listwright.llm.text import SPACE, distinct, ragged, span_hashes, words
+from listwright.llm.text import SPACE, Memo, distinct, ragged, span_hashes, words
 
 PATH = "byte_bpe_50k"
 _CACHED = 1_000_000
@@ -37,11 +37,7 @@ class Encoder:
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, number in ranks.items():
             self.bytes_of[number] = len(token)
-        self._clear()
-
-    def _clear(self):
-        self.keys, self.starts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.memo = Memo(np.uint16, _CACHED)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, one after the other, and the row offsets into them."""
@@ -68,54 +64,40 @@ class Encoder:
             stay = ~odd[row]
             row, begin, last = row[stay], begin[stay], last[stay]
         start, size = self._chunk_ids(data, begin, last)
-        flat = self.flat[ragged(start, size)]
+        flat = self.memo.flat[ragged(start, size)]
         per_row = np.bincount(row, size, n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
         if odd.any():
             flat, per_row = self._with_whole(data, offsets, odd, flat, per_row)
         return flat, np.concatenate([[0], np.cumsum(per_row)])
 
     def _chunk_ids(self, data, begin, end):
-        """Where each chunk's ids are in ``flat``, and how many."""
+        """Where each chunk's ids are in the memo, and how many."""
         if not len(begin):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, at, inverse = distinct(span_hashes(data, begin, end))
-        if len(self.keys) > _CACHED:
-            self._clear()
-        place = np.searchsorted(self.keys, keys)
-        place[place == len(self.keys)] = 0
-        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            start, size = self._encoded(data, begin[at[new]], end[at[new]])
-            everything = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(everything)
-            self.keys = everything[order]
-            self.starts = np.concatenate([self.starts, start])[order]
-            self.sizes = np.concatenate([self.sizes, size])[order]
-            place = np.searchsorted(self.keys, keys)
-        return self.starts[place][inverse], self.sizes[place][inverse]
+        begin, end = begin[at], end[at]
+        place = self.memo.places(keys, lambda new: self._encoded(data, begin[new], end[new]))[inverse]
+        return self.memo.starts[place], self.memo.sizes[place]
 
     def _encoded(self, data, begin, end):
-        """Encodes chunks and adds their ids to ``flat``. Those that begin with white space and end
-        with a word do not touch each other's ids, so they are encoded as one text and told apart by
-        the bytes of each id."""
+        """Ids of chunks. Those that begin with white space and end with a word do not touch each
+        other's ids, so they are encoded as one text and told apart by the bytes of each id."""
         encode = self.chunks.encode_ordinary
         joined = SPACE[data[begin]] & ~SPACE[data[end - 1]]
         size = np.zeros(len(begin), np.int64)
+        start = np.zeros(len(begin), np.int64)
         one = data[ragged(begin[joined], (end - begin)[joined])].tobytes().decode("utf-8", "replace")
         together = np.array(encode(one), np.uint16)
         ends = np.searchsorted(np.cumsum(self.bytes_of[together]), np.cumsum((end - begin)[joined]), "left") + 1
         size[joined] = np.diff(ends, prepend=0)
-        start = np.zeros(len(begin), np.int64)
-        start[joined] = len(self.flat) + ends - size[joined]
-        at = len(self.flat) + len(together)
+        start[joined] = ends - size[joined]
         alone = []
         for i in np.flatnonzero(~joined).tolist():
             found = encode(data[begin[i] : end[i]].tobytes().decode("utf-8", "replace"))
-            start[i], size[i] = at, len(found)
-            at += len(found)
+            start[i], size[i] = len(together) + len(alone), len(found)
             alone.extend(found)
-        self.flat = np.concatenate([self.flat, together, np.array(alone, np.uint16)])
-        return start, size
+        flat = np.concatenate([together, np.array(alone, np.uint16)])
+        return flat[ragged(start, size)], size, np.zeros(len(size))
 
     def _odd(self, data, offsets):
         """Rows whose chunks cannot stand alone."""
