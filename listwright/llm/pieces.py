@@ -17,9 +17,11 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from listwright.llm.registry import query, table
 from listwright.llm.text import Memo, distinct, ragged, slices, span_hashes, text_column
@@ -260,7 +262,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("ids")
-            offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
             flat = ids.drop_null().flatten().to_numpy(zero_copy_only=False)
             step = 200_000  # ids at once
             begin = 0
@@ -269,11 +271,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 at = offsets[begin : end + 1]
                 texts = _valid(*made.value.decode(flat[at[0] : at[-1]], at - at[0]))
                 valid = ids.slice(begin, end - begin).is_valid()
-                text = pa.compute.if_else(valid, pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
+                text = pc.if_else(valid, pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(begin, end - begin), text], ["row", "text"])
                 begin = end
 
-    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, text string")
+    out = packed.mapInArrow(run, StructType([packed.schema["row"], StructField("text", StringType())]))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "text")
 
 

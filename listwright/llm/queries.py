@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from listwright.llm import exact_dedup, packing, pieces, substring_dedup  # noqa: F401
+from listwright.llm import exact_dedup, packing, pieces, substring_dedup, toxicity  # noqa: F401
 from listwright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

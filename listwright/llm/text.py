@@ -51,10 +51,12 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each row (and one past) its first word's number."""
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()
