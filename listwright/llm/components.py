@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = star.select(F.col("v").alias("u"), "v").distinct()
+    return star.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _fingerprint(star: DataFrame) -> tuple:
@@ -42,13 +43,12 @@ def _fingerprint(star: DataFrame) -> tuple:
 def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(node, component)`` over all links among members of one bucket.
 
-    ``members(bucket, id)``; ``verify`` takes ``(a, b)``, a < b, and gives the pairs that are links.
+    ``members(bucket, id)`` is read several times; ``verify`` takes ``(a, b)``, a < b, and gives the pairs that are links.
     First every member meets the least one of its bucket. Only members that this leaves apart from
     their bucket's least one meet the bucket's others, and only those of another group, so a bucket of
     copies costs one pair a member, and no link between members of a bucket is missed: two members
     that are never compared are in one group already.
     """
-    members = cut(members.distinct())
     least = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = members.join(least, "bucket").where("id != first")
     first = cut(verify(cut(pairs.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())))
