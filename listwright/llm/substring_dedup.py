@@ -19,11 +19,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from listwright.llm.registry import query, table
-from listwright.llm.text import binary_column, ragged, run_hashes, slices, span_hashes, text_column, words
+from listwright.llm.text import SLICE_BYTES, binary_column, ragged, run_hashes, slices, span_hashes, text_column, words
 
 WINDOW = 13
 SEED = 5
@@ -201,9 +204,38 @@ def _texts(keep_spaces: bool, window: int):
     return one
 
 
+_SQUEEZED = StructField("squeezed", BinaryType())
+
+
+def _squeezed(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for part in slices(batch, "text"):
+            texts = [None if t is None else pack(t) for t in part.column(at).cast(pa.binary()).to_pylist()]
+            rest = [i for i in range(part.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(i) for i in rest], pa.array(texts, pa.binary())],
+                [*[part.schema.names[i] for i in rest], "squeezed"],
+            )
+
+
+def _open(batch):
+    """Slices of the batch with ``squeezed`` opened again as ``text``, few texts at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    at = batch.schema.get_field_index("squeezed")
+    for part in slices(batch, "squeezed", SLICE_BYTES // 4):
+        texts = [None if t is None else unpack(t) for t in part.column(at).to_pylist()]
+        yield part.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
+
+
 def found_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``(mark, spans)``: packed windows of the row that a smaller doc_id has."""
+    """``docs`` with ``(mark, spans)``: packed windows of the row that a smaller doc_id has.
+
+    Texts meet their spans compressed, in ``squeezed``, which is most of what this shuffle moves.
+    """
     marked = docs.withColumn("mark", F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
+    small = marked.mapInArrow(_squeezed, StructType([*[f for f in marked.schema if f.name != "text"], _SQUEEZED]))
     index = (
         marked.where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), "mark", "text")
@@ -218,7 +250,7 @@ def found_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
     )
     right = found.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "spans")
     on = (F.col("doc_id") == F.col("_doc")) & (F.col("mark") == F.col("_mark"))
-    return marked.join(right, on, "left").drop("_doc", "_mark")
+    return small.join(right, on, "left").drop("_doc", "_mark")
 
 
 def kept_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -231,7 +263,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataF
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in _open(batch):
                 n, removed, texts = make(part)
                 sums = [hashlib.sha256(t).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -241,7 +273,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = found_spans(docs.select("doc_id", "text"), window, seed)
-    return found.select("doc_id", "text", "spans").mapInArrow(
+    return found.select("doc_id", "squeezed", "spans").mapInArrow(
         run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
     )
 
@@ -258,16 +290,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [None if t is None else u for t, u in zip(part.column("text").is_valid().to_pylist(), make(part)[2])]
+            for part in _open(batch):
                 valid = part.column("text").is_valid()
-                made = pa.array(texts, pa.binary()).cast(pa.string())
-                made = pa.compute.if_else(valid, made, pa.scalar(None, pa.string()))
+                made = pa.array(make(part)[2], pa.binary()).cast(pa.string())
+                made = pc.if_else(valid, made, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([made, part.column("row")], ["text", "row"])
 
     found = found_spans(packed, window, seed)
-    schema = f"text string, row {packed.schema['row'].dataType.simpleString()}"
-    out = found.select("text", "spans", "row").mapInArrow(run, schema)
+    schema = StructType([StructField("text", StringType()), packed.schema["row"]])
+    out = found.select("squeezed", "spans", "row").mapInArrow(run, schema)
     chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None
     return out.select(
         *[
