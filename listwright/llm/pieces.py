@@ -29,7 +29,7 @@ from listwright.llm.text import Memo, distinct, ragged, slices, span_hashes, tex
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-_CACHED = 500_000
+_CACHED = 200_000
 # Bytes of a UTF-8 character by its first byte; 1 for bytes that cannot be first.
 _CHAR = np.ones(256, np.int64)
 _CHAR[0xC0:0xE0], _CHAR[0xE0:0xF0], _CHAR[0xF0:] = 2, 3, 4

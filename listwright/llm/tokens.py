@@ -10,7 +10,8 @@ than ASCII's, or with a special token's string, are encoded whole by ``tokenizer
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import json
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,15 +21,16 @@ from tokenizers import Tokenizer
 from listwright.llm.text import SPACE, Memo, distinct, ragged, span_hashes, words
 
 PATH = "byte_bpe_50k"
-_CACHED = 1_000_000
+_CACHED = 200_000
 # UTF-8 lead bytes of white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000.., U+3000).
 _OTHER_SPACE = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
 
 
 class Encoder:
     def __init__(self, json_path: str, ranks_path: str):
-        self.whole = Tokenizer.from_file(json_path)
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path) as file:
+            self.special = [t["content"].encode() for t in json.load(file)["added_tokens"]]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.chunks = tiktoken.Encoding(
@@ -39,6 +41,10 @@ class Encoder:
             self.bytes_of[number] = len(token)
         self.memo = Memo(np.uint16, _CACHED)
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, one after the other, and the row offsets into them."""
         n = len(offsets) - 1
