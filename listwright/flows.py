@@ -52,10 +52,7 @@ def expand_triples(triples: DataFrame, prefixes: Mapping[str, str]) -> DataFrame
 
 def inferred(triples: DataFrame, extra: Sequence[infer.Rule] = ()) -> DataFrame:
     """Given triples and all that follow from them, with the kinds of their values."""
-    graph = triples.select(*infer.SPO)
-    for step in (infer.infer_part_of, infer.infer_inverse, infer.infer_subproperty, infer.infer_scheme_membership):
-        graph = graph.unionByName(step(graph, only_new=True))
-    graph = infer.apply_rules(graph, extra) if extra else graph.distinct()
+    graph = infer.apply_rules(triples.select(*infer.SPO), [*infer.standard_rules(), *extra])
     new = graph.join(triples.select(*infer.SPO).distinct(), list(infer.SPO), "left_anti")
     literal = triples.where("object_kind = 'literal'").select("subject", "object", "datatype", "lang").distinct()
     # A value copied to a wider property keeps its kind; everything else that is derived is an IRI.

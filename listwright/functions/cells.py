@@ -134,13 +134,21 @@ def parse_boolean(c: Column | str) -> Column:
     return F.when(t.isin("true", "1"), F.lit(True)).when(t.isin("false", "0"), F.lit(False))
 
 
+def _hex_number(digits: Column) -> Column:
+    """Hexadecimal digits of any number as a double; ``conv`` holds no more than 64 bits."""
+    by_digit = F.aggregate(
+        F.split(digits, ""), F.lit(0.0), lambda sum_, d: sum_ * 16 + F.conv(d, 16, 10).cast("double")
+    )
+    return F.when(F.length(digits) < 16, F.conv(digits, 16, 10).try_cast("double")).otherwise(by_digit)
+
+
 def parse_number(c: Column | str) -> Column:
     """Finite number from text or from a typed literal ``{"_value": ...}``; else null."""
     c = _col(c)
 
     def read(t: Column) -> Column:
         number = F.regexp_extract(t, _NUMBER, 0).try_cast("double")
-        from_hex = F.conv(F.nullif(F.regexp_extract(t, _HEX, 1), F.lit("")), 16, 10).try_cast("double")
+        from_hex = _hex_number(F.nullif(F.regexp_extract(t, _HEX, 1), F.lit("")))
         return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(number, from_hex))
 
     def finite(x: Column) -> Column:
@@ -174,8 +182,13 @@ def value_matches(stored: Column | str, expected: Column | str) -> Column:
     return (s == e) | s.endswith(F.concat(F.lit(":"), e)) | s.endswith(F.concat(F.lit("#"), e))
 
 
+def tail(x: Column) -> Column:
+    """All characters but the first."""
+    return F.substring(x, F.lit(2), F.length(x))
+
+
 def _capital(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(x, 1, 1)), tail(x))
 
 
 def status_iri(c: Column | str, base: str = vocab.STATUS_BASE) -> Column:

@@ -128,24 +128,59 @@ def _fire(rule: Rule, sources: Sequence[DataFrame]) -> DataFrame:
 
 
 def apply_rules(triples: DataFrame, rules: Sequence[Rule], max_iter: int | None = None) -> DataFrame:
-    """All triples that follow from ``triples`` by the rules, the given ones included."""
+    """All triples that follow from ``triples`` by the rules, the given ones included.
+
+    A rule fires for a place in its body only when the last round gave triples with that place's
+    predicate; places before it read what was known before that round, so nothing is derived twice.
+    Only triples with a predicate that some rule derives are looked at to tell what is new.
+    """
     known = delta = cut(triples.select(*SPO).distinct())
+    before = None
+    asked = {p[1] for rule in rules for p in rule.body}
+    given = {p[1] for rule in rules for p in rule.head}
     rounds = 0
     while max_iter is None or rounds < max_iter:
+        fresh = _predicates(delta, asked)
         made = [
-            _fire(rule, [delta if i == at else known for i in range(len(rule.body))])
+            _fire(rule, [delta if i == at else before if i < at else known for i in range(len(rule.body))])
             for rule in rules
             for at in range(len(rule.body))
+            if (rule.body[at][1].startswith("?") or rule.body[at][1] in fresh) and (at == 0 or before is not None)
         ]
+        if not made:
+            break
         new = reduce(DataFrame.unionByName, made).distinct()
-        delta = cut(new.join(known, list(SPO), "left_anti"))
+        old = known if any(p.startswith("?") for p in given) else known.where(F.col("predicate").isin(*given))
+        delta = cut(new.join(old, list(SPO), "left_anti"))
         if delta.isEmpty():
             break
         rounds += 1
-        known = grow(known, delta, rounds)
+        before, known = known, grow(known, delta, rounds)
     return known
 
 
+def _predicates(triples: DataFrame, asked: set[str]) -> set[str]:
+    """Which of the asked predicates occur; at most as many rows as the rules name."""
+    named = [p for p in asked if not p.startswith("?")]
+    found = triples.where(F.col("predicate").isin(*named)).select("predicate").distinct().collect() if named else []
+    return {r["predicate"] for r in found}
+
+
+def standard_rules() -> list[Rule]:
+    """Part-of, inverse, sub-property and membership steps, and transitivity, as rules."""
+    top_of, part_of = vocab.SKOS + "topConceptOf", vocab.DCT + "isPartOf"
+    out = [
+        Rule((("?c", top_of, "?s"), ("?s", part_of, "?set")), (("?c", part_of, "?set"),)),
+        Rule((("?c", top_of, "?s"),), (("?c", vocab.IN_SCHEME, "?s"), ("?c", vocab.RDF_TYPE, vocab.SKOS + "Concept"))),
+    ]
+    both = [*vocab.INVERSE_PAIRS, *[(b, a) for a, b in vocab.INVERSE_PAIRS]]
+    out += [Rule((("?x", a, "?y"),), (("?y", b, "?x"),)) for a, b in both]
+    out += [Rule((("?x", a, "?y"),), (("?x", b, "?y"),)) for a, b in vocab.SUBPROPERTY_PAIRS]
+    for p in (vocab.SKOS + "broaderTransitive", vocab.SKOS + "narrowerTransitive"):
+        out.append(Rule((("?x", p, "?y"), ("?y", p, "?z")), (("?x", p, "?z"),)))
+    return out
+
+
 def related_components(edges: DataFrame, group_col: str, short: int = SHORT) -> DataFrame:
     """``(group, node, component)``: undirected components inside each sibling set.
 

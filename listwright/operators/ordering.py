@@ -132,7 +132,7 @@ def _short_columns(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
 
         target = F.coalesce(
             hit(lambda x: x["id"] == r["after"]),
-            hit(lambda x: F.substring(x["id"], 2, 1 << 20) == r["after"]),
+            hit(lambda x: cells.tail(x["id"]) == r["after"]),
             hit(lambda x: x["title"] == r["after"]),
         )
         return F.struct(
@@ -198,7 +198,7 @@ def _long_columns(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     base = df.select(*keys, F.col("path").alias("id"), "title", "pos", "after", F.coalesce("first", F.lit(False)).alias("first"))
     names = F.array(
         F.struct(F.col("id").alias("name"), F.lit(3).alias("rank")),
-        F.struct(F.substring("id", 2, 1 << 20).alias("name"), F.lit(2).alias("rank")),
+        F.struct(cells.tail(F.col("id")).alias("name"), F.lit(2).alias("rank")),
         F.struct(F.col("title").alias("name"), F.lit(1).alias("rank")),
     )
     named = (

@@ -226,7 +226,7 @@ def theme_group_columns(columns: DataFrame) -> DataFrame:
     """
     segments = F.filter(F.split("parent_array", "/"), lambda s: s != "")
     keyed = columns.withColumn("top", F.get(segments, F.lit(0)))
-    titles = columns.groupBy("theme", F.substring("path", 2, 1 << 20).alias("top")).agg(
+    titles = columns.groupBy("theme", cells.tail(F.col("path")).alias("top")).agg(
         F.min_by("title", "pos").alias("_title")
     )
     named = keyed.join(titles, ["theme", "top"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
@@ -10,30 +11,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright.functions import cells
+from listwright.sources.storage import table_of
 
 
 def _name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 
 
-def _source_column(paths: Sequence[str]):
-    """Name of the given path a row came from; a path may be a file or a folder of parts."""
-    file = F.col("_metadata.file_path")
-    out = F.lit("unknown")
-    for p in paths:
-        tail = "/" + _name(p)
-        out = F.when(file.endswith(tail) | file.contains(tail + "/"), F.lit(_name(p))).otherwise(out)
-    return out
+def _plain_path(c):
+    """A file's path as written: no scheme, no URL encoding."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[A-Za-z0-9+.-]+:/*", "/")
 
 
-def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """First line of every given path: one short row per path, whatever the file sizes."""
-    found = {}
+def _given_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(_path, _given, _source)``: the given paths in full, and the names rows are tagged with."""
+    jvm = spark.sparkContext._jvm
+    rows = []
     for p in paths:
-        row = spark.read.text(p).limit(1).collect()
-        if row:
-            found[p] = row[0]["value"]
-    return found
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        rows.append((re.sub("^[A-Za-z0-9+.-]+:/*", "/", files.makeQualified(path).toString()), p, _name(p)))
+    return table_of(spark, rows, "_path string, _given string, _source string")
+
+
+def _parent(c):
+    return F.regexp_replace(c, "/[^/]*$", "")
+
+
+def _headers(spark: SparkSession, paths: Sequence[str], given: DataFrame) -> dict[str, str]:
+    """First line of every given path, which may be a file or a folder of parts, in one job: a short
+    row per path reaches the driver, whatever the file sizes."""
+    lines = spark.read.text(list(paths)).select(
+        _plain_path(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    named = first.select("file", "header", F.explode(F.array("file", _parent(F.col("file")))).alias("_path")).join(given, "_path")
+    found = named.groupBy("_given").agg(F.min_by("header", "file").alias("header")).collect()
+    headers = {r["_given"]: r["header"] for r in found}
+    return {p: headers[p] for p in paths if p in headers}
 
 
 def csv_union_with_source(
@@ -41,7 +59,8 @@ def csv_union_with_source(
 ) -> DataFrame:
     """All rows of all files as text columns, empty cells null, tagged with ``__source``."""
     groups = defaultdict(list)
-    for path, header in _headers(spark, paths).items():
+    given = _given_paths(spark, paths)
+    for path, header in _headers(spark, paths, given).items():
         groups[header].append(path)
     frames = []
     for same_header in groups.values():
@@ -52,7 +71,13 @@ def csv_union_with_source(
             .csv(same_header)
         )
         cols = [F.nullif(cells.strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns]
-        frames.append(raw.select(*cols, _source_column(same_header).alias("__source")))
+        file = _plain_path(F.col("_metadata.file_path"))
+        tagged = raw.select(*cols, file.alias("_path"), _parent(file).alias("_folder"))
+        # A row's file is a given path, or lies in one.
+        name = F.coalesce("_source", "_above", F.lit("unknown")).alias("__source")
+        above = given.select(F.col("_path").alias("_folder"), F.col("_source").alias("_above"))
+        tagged = tagged.join(given.drop("_given"), "_path", "left").join(above, "_folder", "left")
+        frames.append(tagged.select(*[F.col(f"`{c}`") for c in raw.columns], name))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames nobody refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, which on a roomy driver may be long
+    after a step of several shuffles has been written and cut off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def grow(known: DataFrame, delta: DataFrame, rounds: int) -> DataFrame:
     """``known`` with the rows of one more round; now and then written anew in partitions of even
     size, as many as the data needs, so a long loop does not end in very many small ones."""

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from listwright.functions import vocab
 from listwright.operators import infer
 from listwright.operators.infer import Rule
 
@@ -96,3 +97,27 @@ def test_bridge(spark):
     schemes = spark.createDataFrame([(s,) for s in ("set:air_form", "set:more", "set:other", "set:last")], "id string")
     found = infer.bridge_schemes(reached, see, schemes).collect()
     assert {(r["scheme"], r["depth"]) for r in found} == {("set:air_form", 0), ("set:more", 1), ("set:last", 2)}
+
+
+def test_standard_rules_feed_each_other(spark):
+    skos, part = vocab.SKOS, vocab.DCT + "isPartOf"
+    given = [
+        ("s", skos + "hasTopConcept", "c"), ("s", part, "set"),
+        ("x", skos + "broader", "y"), ("y", skos + "broader", "z"), ("z", skos + "broader", "w"),
+    ]
+    graph = spark.createDataFrame(given, "subject string, predicate string, object string")
+    found = {tuple(r) for r in infer.apply_rules(graph, infer.standard_rules()).collect()}
+    assert {
+        ("c", part, "set"), ("set", vocab.DCT + "hasPart", "c"), ("c", vocab.IN_SCHEME, "s"),
+        ("x", skos + "broaderTransitive", "w"), ("w", skos + "narrowerTransitive", "x"),
+    } <= found
+    own = infer.Rule((("?a", skos + "broaderTransitive", "?b"),), (("?a", skos + "topConceptOf", "?b"),))
+    more = {tuple(r) for r in infer.apply_rules(graph, [*infer.standard_rules(), own]).collect()}
+    assert ("x", vocab.IN_SCHEME, "w") in more and found < more
+
+
+def test_rules_with_any_predicate(spark):
+    graph = spark.createDataFrame([("a", "p", "b"), ("p", "same", "q"), ("q", "same", "r")], "subject string, predicate string, object string")
+    rule = infer.Rule((("?p", "same", "?q"), ("?x", "?p", "?y")), (("?x", "?q", "?y"),))
+    found = {tuple(r) for r in infer.apply_rules(graph, [rule]).collect()}
+    assert {("a", "q", "b"), ("a", "r", "b")} <= found

@@ -124,8 +124,19 @@ def test_snapshots(spark, tmp_path, nodes):
     assert release_load(spark, base, "1.2.0").first()["label"] == "a"
 
 
+def test_empty_and_unfinished_releases(spark, tmp_path, nodes):
+    base = str(tmp_path / "rel")
+    df = nodes(("A", "a", None, 0)).drop("pos")
+    release_write(df, base, "1." + "2" * 21)
+    release_write(df.limit(0), base, "1." + "1" * 22)
+    (tmp_path / "rel" / "release=2.0").mkdir()  # its writer has not finished
+    newest = release_load(spark, base)
+    assert newest.count() == 0 and "label" in newest.columns
+
+
 def test_unreadable_release_raises(spark, tmp_path):
     (tmp_path / "release=1").mkdir()
     (tmp_path / "release=1" / "part.parquet").write_text("no parquet")
+    (tmp_path / "release=1" / "_SUCCESS").write_text("")
     with pytest.raises(Exception):
         release_load(spark, str(tmp_path)).collect()

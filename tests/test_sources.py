@@ -118,3 +118,20 @@ def test_hub_is_split_into_parts(spark):
     wide = T.triples_to_rows(df, {"tops": "p"}, part_size=10).orderBy("part").collect()
     assert [len(r["tops"]) for r in wide] == [10, 10, 5]
     assert [x for r in wide for x in r["tops"]] == [f"o{i}" for i in range(25)]
+
+
+def test_names_of_many_and_odd_files(spark, tmp_path):
+    paths = []
+    for i in range(60):
+        path = tmp_path / (f"my list {i} +%20é.csv" if i % 2 else f"f{i}.csv")
+        path.write_text("a,b\n%d,x\n" % i if i % 3 else "a\n%d\n" % i, encoding="utf8")
+        paths.append(str(path))
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for k in (1, 2):
+        (folder / f"part-{k}.csv").write_text(f"a,c\np{k},y\n")
+    rows = csvs.csv_union_with_source(spark, [*paths, str(folder)]).collect()
+    got = {(r["a"], r["__source"]) for r in rows}
+    want = {(str(i), p.rsplit("/", 1)[1]) for i, p in enumerate(paths)}
+    assert got == want | {("p1", "parts.csv"), ("p2", "parts.csv")}
+    assert {r["c"] for r in rows if r["__source"] == "parts.csv"} == {"y"}
