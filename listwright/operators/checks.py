@@ -114,6 +114,7 @@ def violation_report(
     order: Sequence[str],
     labels: dict[str, str] = vocab.CONSTRAINT_LABELS,
     fail: bool = False,
+    **sizes,
 ) -> DataFrame:
     """Violations of own subjects, numbered, with names for people.
 
@@ -122,7 +123,7 @@ def violation_report(
     kept = drop_excluded_subjects(violations)
     if fail and not kept.limit(1).isEmpty():
         raise ViolationsFound("shape constraints are violated; see the report")
-    named = row_numbers(kept, [], order, "no")
+    named = row_numbers(kept, [], order, "no", **sizes)
     local = F.substring_index(F.col("component"), "#", -1)
     return named.select(
         "no",

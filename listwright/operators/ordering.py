@@ -60,7 +60,7 @@ def _place(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
         *keys, "id", "section", F.lit(False).alias("cyclic"), F.array(F.col("pos").cast("long")).alias("sort_key")
     )
     both = loose.unionByName(ordered.withColumn("section", F.lit(1)))
-    return sorted_numbers(both, keys, ["section", "cyclic", "sort_key"], out).select(*keys, "id", out)
+    return sorted_numbers(both, keys, ["section", "cyclic", "sort_key"], out, plain_rows=0).select(*keys, "id", out)
 
 
 def _ids(rows: Column, test=None) -> Column:

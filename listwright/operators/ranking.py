@@ -1,13 +1,13 @@
 """Numbering and looking back inside groups of any size.
 
-A window partitioned by the group alone sorts a whole group in one task. Here a group is cut
-along quantiles of its order column first, so a group holding a third of the table is ranked by
-a third of the tasks; the counts of the earlier pieces are then added to each piece.
+A window partitioned by the group alone sorts a whole group in one task. Here rows are
+range-partitioned over the group and all order columns, so a group holding a third of the table,
+also one whose rows share a position, lies in a third of the partitions; what a partition must know
+of the ones before it is one row per group that its border cuts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,139 +17,67 @@ from listwright.sources.storage import cut
 
 # Below this many rows in the whole table one task can hold any group.
 PLAIN_ROWS = 1_000_000
-ROWS_PER_PIECE = 2_000_000
-MAX_PIECES = 4096
-
-
-def _splits(df: DataFrame, order: Column, plain_rows: int, rows_per_piece: int) -> list[float]:
-    """Quantiles of the order column, empty when the table is small. One light pass."""
-    total = df.count()
-    if total <= plain_rows:
-        return []
-    pieces = max(2, min(MAX_PIECES, math.ceil(total / rows_per_piece)))
-    shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(order, shares, 10 * pieces).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def _piece_of(order: Column, splits: list[float]) -> Column:
-    """Number of the quantile piece; two short searches instead of one long one."""
-    step = max(1, math.isqrt(len(splits)))
-    coarse = splits[step - 1 :: step]
-    fine = [splits[i : i + step - 1] for i in range(0, len(splits) + 1, step)]
-    fine += [[]] * (len(coarse) + 1 - len(fine))
-    n_coarse = F.size(F.filter(F.lit(coarse).cast("array<double>"), lambda s: s <= order))
-    rows = F.array(*[F.lit(f or [float("inf")]).cast("array<double>") for f in fine])
-    in_fine = F.size(F.filter(F.get(rows, n_coarse), lambda s: s <= order))
-    return F.coalesce(n_coarse * step + in_fine, F.lit(-1))
-
-
-def _numeric(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(name).cast("double")
-    return F.col(name).cast("double")
-
-
-def row_numbers(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    out: str,
-    plain_rows: int = PLAIN_ROWS,
-    rows_per_piece: int = ROWS_PER_PIECE,
-) -> DataFrame:
-    """1, 2, 3 … per group; the first order column must be a number or a timestamp."""
-    lead = _numeric(df, order[0])
-    splits = _splits(df, lead, plain_rows, rows_per_piece)
-    if not splits:
-        keys = list(by) or [F.lit(0)]
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, number.cast("bigint"))
-    pieced = df.withColumn("_piece", _piece_of(lead, splits))
-    sizes = pieced.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per group and piece: at most MAX_PIECES rows per group.
-    earlier = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy("_piece")
-    starts = sizes.select(*by, "_piece", (F.sum("_n").over(earlier) - F.col("_n")).alias("_start"))
-    in_piece = Window.partitionBy(*by, "_piece").orderBy("_mark", *order)
-    so_far = in_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.first("_start", ignorenulls=True).over(so_far)
-    return (
-        _led(pieced, starts)
-        .withColumn(out, (start + F.row_number().over(in_piece) - 1).cast("bigint"))
-        .where("_mark = 1")
-        .select(*df.columns, out)
-    )
 
 
-def _led(pieced: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Rows with one leading row per group and piece: what a piece must know of the pieces before
-    it arrives in the same shuffle as its rows, so the rows are moved once and never joined."""
-    return pieced.withColumn("_mark", F.lit(1)).unionByName(
-        leaders.withColumn("_mark", F.lit(0)), allowMissingColumns=True
-    )
+def _is_small(df: DataFrame, plain_rows: int) -> bool:
+    return plain_rows > 0 and df.limit(plain_rows + 1).count() <= plain_rows
 
 
-def previous_value(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    out: str,
-    plain_rows: int = PLAIN_ROWS,
-    rows_per_piece: int = ROWS_PER_PIECE,
-) -> DataFrame:
-    """Value of the row before, per group."""
-    lead = _numeric(df, order[0])
-    splits = _splits(df, lead, plain_rows, rows_per_piece)
-    if not splits:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(out, F.lag(value).over(w))
-    pieced = df.withColumn("_piece", _piece_of(lead, splits))
-    last = pieced.groupBy(*by, "_piece").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy("_piece")
-    before = last.select(*by, "_piece", F.lag("_last").over(across).alias("_value"))
-    in_piece = Window.partitionBy(*by, "_piece").orderBy("_mark", *order)
-    return (
-        _led(pieced.withColumn("_value", F.col(value)), before)
-        .withColumn(out, F.lag("_value").over(in_piece))
-        .where("_mark = 1")
-        .select(*df.columns, out)
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], **more: Column) -> DataFrame:
+    """Rows in order over partitions, each with its partition's number, written once, so a row keeps
+    its place when an executor is lost."""
+    local = Window.partitionBy("_part", *keys).orderBy(*order)
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    return cut(ranged.withColumns({"_local": F.row_number().over(local), **{n: c.over(local) for n, c in more.items()}}))
+
+
+def _of_part(keys: Sequence[str], rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows (*keys, _part, …)`` under other names, and the condition that joins them."""
+    renamed = rows.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_kp"),
+        *[c for c in rows.columns if c not in (*keys, "_part")],
     )
+    on = F.col("_part") == F.col("_kp")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return renamed, on
 
 
 def sorted_numbers(
     df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, plain_rows: int = PLAIN_ROWS
 ) -> DataFrame:
-    """Row numbers per group for order keys of any sortable type, arrays included.
-
-    The rows are range-partitioned over (group, order) and written once, so a row keeps its
-    place when an executor is lost; only groups cut by a partition border need an offset, at
-    most one per partition.
-    """
+    """Row numbers 1, 2, 3 … per group for order keys of any sortable type, arrays included."""
     keys = list(by)
-    if df.limit(plain_rows + 1).count() <= plain_rows:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if _is_small(df, plain_rows):
+        number = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
         return df.withColumn(out, number.cast("bigint"))
-    local = Window.partitionBy("_part", *keys).orderBy(*order)
-    placed = cut(
-        df.repartitionByRange(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_local", F.row_number().over(local))
-    )
+    placed = _placed(df, keys, order)
     sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part")
-    starts = (
-        sizes.withColumn("_start", F.sum("_n").over(earlier) - F.col("_n"))
-        .where("_start > 0")
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                F.col("_part").alias("_kp"), "_start")
-    )
-    on = F.col("_part") == F.col("_kp")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # Per group as many rows as it has partitions, fewer than the job has.
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
+    starts = sizes.withColumn("_start", F.sum("_n").over(earlier) - F.col("_n")).where("_start > 0").drop("_n")
+    starts, on = _of_part(keys, starts)
+    # At most one row per partition: only its first group can have begun before it.
     return placed.join(F.broadcast(starts), on, "left").select(
         *df.columns, (F.col("_local") + F.coalesce("_start", F.lit(0))).cast("bigint").alias(out)
     )
+
+
+row_numbers = sorted_numbers
+
+
+def previous_value(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, plain_rows: int = PLAIN_ROWS
+) -> DataFrame:
+    """Value of the row before, per group."""
+    keys = list(by)
+    if _is_small(df, plain_rows):
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
+    placed = _placed(df, keys, order, _before=F.lag(value))
+    last = placed.groupBy(*keys, "_part").agg(F.max_by(F.struct(F.col(value).alias("v")), "_local").alias("_last"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
+    ends = last.withColumn("_end", F.lag("_last").over(across)).where("_end IS NOT NULL").drop("_last")
+    ends, on = _of_part(keys, ends)
+    # At most one row per partition, as above.
+    before = F.when(F.col("_local") > 1, F.col("_before")).otherwise(F.col("_end.v"))
+    return placed.join(F.broadcast(ends), on, "left").select(*df.columns, before.alias(out))

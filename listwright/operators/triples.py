@@ -55,7 +55,7 @@ def rows_to_triples(
 
 
 def triples_to_rows(
-    triples: DataFrame, predicates: Mapping[str, str], part_size: int = 1000, pos: str = "pos"
+    triples: DataFrame, predicates: Mapping[str, str], part_size: int = 1000, pos: str = "pos", **sizes
 ) -> DataFrame:
     """One wide row per subject: predicate -> column with the list of its values in order.
 
@@ -63,7 +63,7 @@ def triples_to_rows(
     (``part`` 1, 2 …), so a hub never becomes one huge row and no value is lost.
     """
     wanted = triples.where(F.col("predicate").isin(*predicates.values()))
-    ranked = row_numbers(wanted, ["subject", "predicate"], [pos, "object"], "_rank")
+    ranked = row_numbers(wanted, ["subject", "predicate"], [pos, "object"], "_rank", **sizes)
     parts = ranked.withColumn("part", F.expr(f"(_rank - 1) div {part_size}"))
     ordered = [
         F.transform(

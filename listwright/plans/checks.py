@@ -8,7 +8,7 @@ from listwright.functions import vocab
 from listwright.operators import checks, shapes
 from listwright.operators.shapes import ShapeRule
 from listwright.plans.cells import REFERENCES_SQL, references
-from listwright.plans.registry import query
+from listwright.plans.registry import also, query
 
 PREFIX_CELLS = """WITH c AS (
   SELECT 'part.csv' AS source, p_partkey AS row, 'name' AS col, 'p-' || lower(p_type) || ':' || p_size || '|skos:' || p_size || ' | brand:' || p_size AS value FROM part
@@ -96,14 +96,15 @@ def counts(spark, t):
     return checks.constraint_counts(violations(t), ["shape", "component"])
 
 
+@also("violation_report_split", plain_rows=0)
 @query(
     "violation_report",
     f"""SELECT row_number() OVER (ORDER BY o_orderkey) AS no, focus, cast(o_orderkey AS VARCHAR) AS focus_name, 'skos:' || regexp_extract(path, '[^#]*$') AS path_name,
         CASE WHEN component = '{COUNT}' THEN 'minCount (minimum values required)' ELSE 'OtherConstraintComponent' END AS constraint_name,
         regexp_extract(shape, '[^/]*$') AS shape_name FROM ({VIOLATIONS_SQL}) WHERE NOT starts_with(focus, '{vocab.XSD}')""",
 )
-def report(spark, t):
-    return checks.violation_report(violations(t), ["o_orderkey"])
+def report(spark, t, **sizes):
+    return checks.violation_report(violations(t), ["o_orderkey"], **sizes)
 
 
 # Customers and parts as triples with faults of every kind.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listwright.operators import forms
-from listwright.plans.registry import query
+from listwright.plans.registry import also, query
 
 
 def changes(events):
@@ -25,6 +25,7 @@ def latest(spark, t):
     return forms.latest_field_values(changes(t.events), "signup")
 
 
+@also("flow_steps_split", plain_rows=0)
 @query(
     "flow_steps",
     """WITH k AS (SELECT *, CASE event_type WHEN 'signup' THEN 'base' WHEN 'click' THEN 'scheme:click' WHEN 'purchase' THEN 'scheme:purchase' END AS scheme,
@@ -32,11 +33,11 @@ def latest(spark, t):
        SELECT user_id AS submission, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, scheme, event_type AS "trigger" FROM k
        WHERE scheme IS NOT NULL AND (reset IS NULL OR struct_pack(t := ts, i := event_id) >= reset)""",
 )
-def steps(spark, t):
+def steps(spark, t, **sizes):
     see_also = t.events.where("event_type IN ('signup', 'click', 'purchase')").select(F.col("event_type").alias("field")).distinct().withColumn(
         "scheme", F.when(F.col("field") == "signup", F.lit("base")).otherwise(F.concat(F.lit("scheme:"), "field"))
     )
-    return forms.flow_steps(changes(t.events), see_also, "signup")
+    return forms.flow_steps(changes(t.events), see_also, "signup", **sizes)
 
 
 @query(

@@ -9,7 +9,7 @@ from listwright.operators import infer
 from listwright.operators.infer import Rule
 from listwright.operators.references import top_concepts
 from listwright.plans.references import tagged
-from listwright.plans.registry import query
+from listwright.plans.registry import also, query
 
 TOP, PART_OF, BROADER, NARROWER = vocab.SKOS + "topConceptOf", vocab.DCT + "isPartOf", vocab.SKOS + "broader", vocab.SKOS + "narrower"
 
@@ -197,6 +197,7 @@ def deepest(spark, t):
     return infer.deepest_wins(rows, ["l_orderkey"], "is_feature", "l_linenumber", ["l_partkey", "l_suppkey"])
 
 
+@also("related_components_long", short=0)
 @query(
     "related_components",
     """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS g, 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem),
@@ -204,11 +205,11 @@ def deepest(spark, t):
        r AS (SELECT g, a AS node, a AS seen FROM both_ways UNION SELECT r.g, r.node, b.b FROM r JOIN both_ways b ON r.g = b.g AND r.seen = b.a)
        SELECT g, node, min(seen) AS component FROM r GROUP BY g, node""",
 )
-def components(spark, t):
+def components(spark, t, **sizes):
     edges = t.lineitem.select(
         F.col("l_orderkey").alias("g"), F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")
     )
-    return infer.related_components(edges, "g")
+    return infer.related_components(edges, "g", **sizes)
 
 
 # Lists are named by part names; a part's first word makes it similar to lists that hold the word.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listwright.operators import ordering
-from listwright.plans.registry import query
+from listwright.plans.registry import also, query
 
 # Line numbers are positions; ``after`` points to the next number, so chains run backwards.
 LINES = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_linenumber AS pos FROM lineitem),
@@ -36,9 +36,10 @@ SIBLINGS = numbered("""
     LEFT JOIN f aa ON aa.l_orderkey = f.l_orderkey AND aa.pos = a.after""")
 
 
+@also("order_siblings_long", short=0)
 @query("order_siblings", LINES + SIBLINGS)
-def siblings(spark, t):
-    return ordering.order_siblings(lines(t), ["l_orderkey"])
+def siblings(spark, t, **sizes):
+    return ordering.order_siblings(lines(t), ["l_orderkey"], **sizes)
 
 
 # Referenced lines join the ordered block: 3 before 2 before 1; a lone 5 or 6 is free.
@@ -55,8 +56,9 @@ COLUMNS = """SELECT l_orderkey, '/line' || pos AS path, row_number() OVER (PARTI
     LEFT JOIN f r ON r.l_orderkey = f.l_orderkey AND r.after = f.pos)"""
 
 
+@also("order_columns_long", short=0)
 @query("order_columns", LINES + COLUMNS)
-def columns(spark, t):
+def columns(spark, t, **sizes):
     # References by path, bare name and title in turn.
     n = F.col("after")
     by_name = (
@@ -66,9 +68,10 @@ def columns(spark, t):
         "l_orderkey", "pos", F.concat(F.lit("/line"), "id").alias("path"), F.concat(F.lit("Line "), "id").alias("title"),
         F.when(n.isNotNull(), by_name).alias("after"), "first",
     )
-    return ordering.order_columns(rows, ["l_orderkey"])
+    return ordering.order_columns(rows, ["l_orderkey"], **sizes)
 
 
+@also("condition_last_long", short=0)
 @query(
     "condition_last",
     """WITH l AS (SELECT l_orderkey, l_linenumber AS pos, bool_or(l_returnflag = 'R') AS cond FROM lineitem GROUP BY ALL),
@@ -76,7 +79,7 @@ def columns(spark, t):
          FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.pos = a.pos - 1 AND b.cond = a.cond)
        SELECT l_orderkey, cast(pos AS VARCHAR) AS id, dependent, row_number() OVER (PARTITION BY l_orderkey, dependent ORDER BY section, pos) AS ord FROM c""",
 )
-def conditions(spark, t):
+def conditions(spark, t, **sizes):
     rows = (
         t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("pos"))
         .agg(F.bool_or(F.col("l_returnflag") == "R").alias("cond"))
@@ -85,4 +88,4 @@ def conditions(spark, t):
             F.lit(False).alias("first"), F.when(F.col("cond"), F.lit("flag")).alias("trigger"), F.when(F.col("cond"), F.lit("R")).alias("value"),
         )
     )
-    return ordering.condition_last(rows, ["l_orderkey"])
+    return ordering.condition_last(rows, ["l_orderkey"], **sizes)

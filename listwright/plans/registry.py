@@ -29,6 +29,17 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, folder: fn(spark, Tables(spark, folder))
         if sql is not None:
             ORACLES[name] = sql
+        fn.sql = sql
         return fn
 
     return add
+
+
+def also(name: str, **options):
+    """Registers a query a second time with other sizes, such as those that make an operator take the
+    way it takes on large tables. The rows are the same."""
+
+    def add(fn):
+        return query(name, fn.sql)(lambda spark, tables: fn(spark, tables, **options)) and fn
+
+    return add

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from listwright.functions import vocab
 from listwright.operators import rules
 from listwright.plans.references import tagged
-from listwright.plans.registry import query
+from listwright.plans.registry import also, query
 
 PREFIXES = {"dcterms": vocab.DCT, "sosa": "http://www.w3.org/ns/sosa/"}
 
@@ -136,14 +136,15 @@ def nest(spark, t):
     return rules.nest_children(tree_fields(t)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "."))
 
 
+@also("suffix_duplicates_split", plain_rows=0)
 @query(
     "suffix_duplicates",
     """SELECT p_partkey, p_name, CASE WHEN p_type = 'LARGE' THEN p_name ELSE p_name || coalesce(cast(nullif(row_number() OVER (PARTITION BY p_name, p_type = 'LARGE' ORDER BY p_partkey) - 1, 0) AS VARCHAR), '') END AS property
        FROM part""",
 )
-def suffix(spark, t):
+def suffix(spark, t, **sizes):
     rows = t.part.select("p_partkey", "p_name", "p_type")
-    return rules.suffix_duplicates(rows, [], "p_name", "p_partkey", "property", F.col("p_type") == "LARGE").select("p_partkey", "p_name", "property")
+    return rules.suffix_duplicates(rows, [], "p_name", "p_partkey", "property", F.col("p_type") == "LARGE", **sizes).select("p_partkey", "p_name", "property")
 
 
 @query(
@@ -170,13 +171,14 @@ def prefixed(spark, t):
 LINE_POS = "(l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey)"
 
 
+@also("chain_previous_split", plain_rows=0)
 @query(
     "chain_previous",
     f"SELECT l_orderkey, {LINE_POS} AS pos, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {LINE_POS}) AS after FROM lineitem",
 )
-def previous(spark, t):
+def previous(spark, t, **sizes):
     rows = t.lineitem.select("l_orderkey", F.expr(LINE_POS).alias("pos"), "l_partkey")
-    return rules.chain_previous(rows, ["l_orderkey"], "pos", "l_partkey")
+    return rules.chain_previous(rows, ["l_orderkey"], "pos", "l_partkey", **sizes)
 
 
 @query(
@@ -298,6 +300,7 @@ def sub_rule_sets(spark, t):
     return rules.sub_rule_sets(r.unionByName(n).unionByName(c))
 
 
+@also("rules_to_json_split", plain_rows=0)
 @query(
     "rules_to_json",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)
@@ -305,11 +308,11 @@ def sub_rule_sets(spark, t):
          '[' || string_agg('{"property":"' || p_partkey || '","label":"' || p_name || '","required":' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || '}', ',' ORDER BY i) || ']' AS rules
        FROM r GROUP BY ALL""",
 )
-def to_json(spark, t):
+def to_json(spark, t, **sizes):
     rows = t.part.select(
         F.col("p_brand").alias("theme"), "p_partkey", F.col("p_partkey").cast("string").alias("property"), F.col("p_name").alias("label"), (F.col("p_size") > 25).alias("required")
     )
-    return rules.rules_to_json(rows, ["theme"], ["p_partkey"], ["property", "label", "required"], part_size=25)
+    return rules.rules_to_json(rows, ["theme"], ["p_partkey"], ["property", "label", "required"], part_size=25, **sizes)
 
 
 @query("distinct_values", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from listwright.functions import vocab
 from listwright.operators import references as refs
 from listwright.operators.triples import Term, orphan_filter, rows_to_triples, subject_property_set, triples_to_rows
-from listwright.plans.registry import query
+from listwright.plans.registry import also, query
 
 CONTEXT = {
     "_type": Term(vocab.RDF_TYPE, "iri"),
@@ -70,17 +70,18 @@ def to_rows(spark, t):
 
 
 # A hub: every customer of a segment is one of its top concepts, listed in parts of 50.
+@also("triples_to_rows_hub_split", plain_rows=0)
 @query(
     "triples_to_rows_hub",
     """SELECT c_mktsegment AS subject, (r - 1) // 50 AS part, string_agg('customer:' || c_custkey, ';' ORDER BY r) AS tops
        FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) GROUP BY ALL""",
 )
-def to_rows_hub(spark, t):
+def to_rows_hub(spark, t, **sizes):
     hub = t.customer.select(
         F.col("c_mktsegment").alias("subject"), F.lit(vocab.SKOS + "hasTopConcept").alias("predicate"),
         F.concat(F.lit("customer:"), "c_custkey").alias("object"), F.col("c_custkey").alias("pos"),
     )
-    wide = triples_to_rows(hub, {"tops": vocab.SKOS + "hasTopConcept"}, part_size=50)
+    wide = triples_to_rows(hub, {"tops": vocab.SKOS + "hasTopConcept"}, part_size=50, **sizes)
     return wide.withColumn("tops", F.array_join("tops", ";"))
 
 

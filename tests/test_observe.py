@@ -129,7 +129,7 @@ def test_latest_values_on_a_stream(spark, tmp_path):
 STEPS = [(1, "theme", "x", 1, 1), (1, "a", "v", 2, 2), (1, "theme", "y", 3, 3), (1, "b", "", 4, 4), (1, "a", "v", 5, 5), (2, "a", "v", 1, 6), (1, "b", "w", 6, 7)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"plain_rows": 0, "rows_per_piece": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"plain_rows": 0}])
 @pytest.mark.parametrize("kind", ["long", "timestamp", "timestamp_ntz"])
 def test_flow_steps(spark, kind, sizes):
     stamp = F.timestamp_seconds("ts").cast(kind) if kind != "long" else F.col("ts")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listwright.operators.ranking import _piece_of, previous_value, row_numbers, sorted_numbers
+from listwright.operators.ranking import _placed, previous_value, row_numbers, sorted_numbers
 
 
 @pytest.fixture(scope="module")
@@ -18,31 +18,31 @@ def skewed(spark):
 
 def test_row_numbers(skewed):
     plain = skewed.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("pos")))
-    pieces = row_numbers(skewed, ["k"], ["pos"], "r", plain_rows=0, rows_per_piece=100)
+    pieces = row_numbers(skewed, ["k"], ["pos"], "r", plain_rows=0)
     assert plain.exceptAll(pieces).isEmpty() and pieces.count() == 5000
 
 
 def test_row_numbers_of_everything(skewed):
-    pieces = row_numbers(skewed, [], ["pos"], "r", plain_rows=0, rows_per_piece=300)
+    pieces = row_numbers(skewed, [], ["pos"], "r", plain_rows=0)
     found = [r["r"] for r in pieces.orderBy("pos").collect()]
     assert found == list(range(1, 5001))
 
 
-def test_equal_positions_stay_in_one_piece(spark):
-    df = spark.range(3000).select(F.lit("a").alias("k"), (F.col("id") / 500).cast("int").alias("pos"), "id")
-    pieces = row_numbers(df, ["k"], ["pos", "id"], "r", plain_rows=0, rows_per_piece=100)
+def test_equal_positions_are_split(spark):
+    df = spark.range(3000).select(F.lit("a").alias("k"), F.lit(1).alias("pos"), "id")
+    pieces = row_numbers(df, ["k"], ["pos", "id"], "r", plain_rows=0)
     assert pieces.where("r <> id + 1").isEmpty()
 
 
 def test_null_keys_are_a_group(spark):
     df = spark.createDataFrame([(None, i) for i in range(10)] + [("a", i) for i in range(10)], "k string, pos int")
-    pieces = row_numbers(df, ["k"], ["pos"], "r", plain_rows=0, rows_per_piece=3)
+    pieces = row_numbers(df, ["k"], ["pos"], "r", plain_rows=0)
     assert pieces.where("r <> pos + 1").isEmpty()
 
 
 def test_previous_value(skewed):
     plain = skewed.withColumn("b", F.lag("v").over(Window.partitionBy("k").orderBy("pos")))
-    pieces = previous_value(skewed, ["k"], ["pos"], "v", "b", plain_rows=0, rows_per_piece=100)
+    pieces = previous_value(skewed, ["k"], ["pos"], "v", "b", plain_rows=0)
     assert plain.exceptAll(pieces).isEmpty() and pieces.count() == 5000
 
 
@@ -53,9 +53,19 @@ def test_sorted_numbers_with_array_keys(skewed):
     assert plain.exceptAll(ranged).isEmpty() and ranged.count() == 5000
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 10, 57, 64])
-def test_piece_is_number_of_splits_passed(spark, n):
-    splits = [float(i * 3) for i in range(n)]
-    df = spark.range(-2, 3 * n + 5).select(F.col("id").cast("double").alias("x"))
-    for r in df.select("x", _piece_of(F.col("x"), splits).alias("p")).collect():
-        assert r["p"] == sum(s <= r["x"] for s in splits)
+def test_a_group_of_one_position_lies_in_several_partitions(spark):
+    df = spark.range(20000).select(F.lit("a").alias("k"), F.lit(1).alias("pos"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        placed = _placed(df, ["k"], ["pos", "id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed.groupBy("_part").count().agg(F.max("count")).first()[0] < 15000
+
+
+def test_previous_value_of_nulls(spark):
+    df = spark.createDataFrame([(None if i % 3 else "a", i, None if i % 2 else i) for i in range(200)], "k string, pos int, v int")
+    plain = df.withColumn("b", F.lag("v").over(Window.partitionBy("k").orderBy("pos")))
+    assert plain.exceptAll(previous_value(df, ["k"], ["pos"], "v", "b", plain_rows=0)).isEmpty()
+    alone = df.withColumn("b", F.lag("v").over(Window.partitionBy(F.lit(0)).orderBy("pos")))
+    assert alone.exceptAll(previous_value(df, [], ["pos"], "v", "b", plain_rows=0)).isEmpty()

@@ -46,7 +46,7 @@ def test_common_prefix(spark):
 def test_suffixes_in_pieces(spark):
     df = spark.createDataFrame([("t", "a" if i % 3 else f"b{i}", i, i == 4) for i in range(200)], "theme string, name string, pos long, has_relation boolean")
     args = (df, ["theme"], "name", "pos", "out", F.col("has_relation"))
-    plain, pieces = rules.suffix_duplicates(*args), rules.suffix_duplicates(*args, plain_rows=0, rows_per_piece=20)
+    plain, pieces = rules.suffix_duplicates(*args), rules.suffix_duplicates(*args, plain_rows=0)
     assert plain.exceptAll(pieces).isEmpty() and pieces.count() == 200
     names = [r["out"] for r in plain.where("name = 'a'").orderBy("pos").limit(4).collect()]
     assert names == ["a", "a1", "a", "a2"]
@@ -69,7 +69,7 @@ def test_nesting_is_whole_and_ordered(spark):
 
 def test_rule_parts_join_to_the_whole(spark):
     df = spark.range(95).select(F.lit("t").alias("theme"), F.col("id").alias("pos"), F.concat(F.lit("f"), "id").alias("property"))
-    parts = rules.rules_to_json(df, ["theme"], ["pos"], ["property"], part_size=10, plain_rows=0, rows_per_piece=7)
+    parts = rules.rules_to_json(df, ["theme"], ["pos"], ["property"], part_size=10, plain_rows=0)
     import json
 
     names = [x["property"] for r in parts.orderBy("part").collect() for x in json.loads(r["rules"])]
