@@ -135,57 +135,76 @@ def conditional_required_columns(columns: DataFrame, conditions: DataFrame) -> D
     """Columns after the conditional blocks.
 
     ``columns (def, path, title, ui_type, required, readonly_value)``, ``conditions (def, key,
-    name, title, const, required)``: a block on composite ``key`` (null for a plain member) that
-    names member ``name``. A named column becomes required, or read-only where the block fixes its
-    value; a missing one is added as text. Bare markers (no name) and envelope members that carry
-    only constraints are skipped.
+    name, title, const, required)`` and, if they are known, ``block_pos``, ``type``, ``format``: a
+    block on composite ``key`` (null for a plain member) that names member ``name``. Blocks count in
+    the order of ``block_pos``. A named column becomes required, or read-only with the first value that
+    a block fixes without requiring it; a missing one is added as its first block describes it. Bare
+    markers (no name) and envelope members that carry only constraints are skipped.
     """
+    for name, kind in (("block_pos", "long"), ("type", "string"), ("format", "string")):
+        if name not in conditions.columns:
+            conditions = conditions.withColumn(name, F.lit(None).cast(kind))
     envelope = F.col("key").isNull() & F.col("name").isin(*vocab.ENVELOPE_FIELDS)
     blocks = conditions.where(F.col("name").isNotNull() & ~envelope).select(
         "def",
         F.concat(F.coalesce(F.concat(F.lit("/"), "key"), F.lit("")), F.lit("/"), "name").alias("path"),
-        "name", "title", "const", F.coalesce("required", F.lit(False)).alias("required"),
+        "name", "title", "const", F.coalesce("required", F.lit(False)).alias("required"), "type", "format",
+        # Blocks without a place keep one fixed order: those that only require come first.
+        F.struct(F.coalesce("block_pos", F.lit(0)), F.col("const").isNotNull(), "const", "title").alias("at"),
     )
+    fixes = F.col("const").isNotNull() & ~F.col("required")
     per_path = blocks.groupBy("def", "path").agg(
-        F.min("name").alias("_name"), F.min("title").alias("_title"), F.min("const").alias("_const"),
+        F.min_by(F.struct("name", "title", "const", "type", "format"), "at").alias("_new"),
+        F.min_by(F.when(fixes, F.col("const")), F.when(fixes, F.col("at"))).alias("_const"),
         F.bool_or("required").alias("_required"),
     )
-    fixed = F.col("readonly_value").isNull() & F.col("_const").isNotNull() & ~F.coalesce("_required", F.lit(False))
     added = F.col("ui_type").isNull()
+    value = F.coalesce("readonly_value", F.when(added, F.col("_new.const")), "_const")
+    set_here = F.col("readonly_value").isNull() & value.isNotNull()
+    described = cells.map_entry_type(F.lit(None), F.lit(0), F.col("_new.type"), F.col("_new.format"))
     return columns.join(per_path, ["def", "path"], "full").select(
         "def",
         "path",
-        F.coalesce("title", "_title", "_name").alias("title"),
-        F.when(fixed | (added & F.col("_const").isNotNull()), F.lit("readonly"))
-        .when(added, F.lit("text")).otherwise(F.col("ui_type")).alias("ui_type"),
+        F.coalesce("title", "_new.title", "_new.name").alias("title"),
+        F.when(set_here, F.lit("readonly")).when(added, described).otherwise(F.col("ui_type")).alias("ui_type"),
         (F.coalesce("required", F.lit(False)) | F.coalesce("_required", F.lit(False))).alias("required"),
-        F.coalesce("readonly_value", F.when(fixed | added, F.col("_const"))).alias("readonly_value"),
+        value.alias("readonly_value"),
     )
 
 
 def enum_of(text: Column) -> Column:
-    """First list of allowed values: own, else of the composed blocks, else of their members."""
-    own = _parsed(text)
-    blocks = F.transform(F.coalesce(own["allOf"], F.array().cast("array<string>")), _parsed)
-    nested = F.flatten(
-        F.transform(blocks, lambda b: F.transform(F.coalesce(b["allOf"], F.array().cast("array<string>")), _parsed))
-    )
+    """First list of allowed values: own; else, block by block, the block's or one of its own blocks';
+    else those of the blocks' members, one after the other, found in the same way."""
+    return F.when(text.contains('"enum"'), _options(_parsed(text), 1))
 
-    def first(defs: Column) -> Column:
-        return F.get(F.filter(F.transform(defs, lambda d: d["enum"]), lambda x: x.isNotNull()), F.lit(0))
-
-    of_members = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.flatten(
-                F.transform(
-                    F.coalesce(F.map_values(b["properties"]), F.array().cast("array<string>")),
-                    lambda p: F.coalesce(_parsed(p)["enum"], F.array().cast("array<string>")),
-                )
-            ),
-        )
-    )
-    return F.coalesce(own["enum"], first(blocks), first(nested), of_members)
+
+def _options(parsed: Column, depth: int) -> Column:
+    """``depth`` levels of members are opened."""
+    none = F.array().cast("array<string>")
+
+    def blocks_of(d: Column) -> Column:
+        return F.transform(F.coalesce(d["allOf"], none), _parsed)
+
+    def first(lists: Column) -> Column:
+        return F.get(F.array_compact(lists), F.lit(0))
+
+    def of_block(b: Column) -> Column:
+        return F.coalesce(b["enum"], first(F.transform(blocks_of(b), lambda n: n["enum"])))
+
+    def of_members(b: Column) -> Column:
+        members = F.coalesce(F.map_values(b["properties"]), none)
+        return F.flatten(F.transform(members, lambda m: F.coalesce(_options_of_member(m, depth), none)))
+
+    def all_of(blocks: Column) -> Column:
+        return F.coalesce(first(F.transform(blocks, of_block)), F.flatten(F.transform(blocks, of_members)))
+
+    return cells.once(parsed, lambda d: F.coalesce(d["enum"], cells.once(blocks_of(d), all_of)))
+
+
+def _options_of_member(text: Column, depth: int) -> Column:
+    if depth:
+        return _options(_parsed(text), depth - 1)
+    return _parsed(text)["enum"]
 
 
 def collect_enum_options(defs: DataFrame, def_col: str, json_col: str) -> DataFrame:

@@ -117,17 +117,20 @@ def merge_inherit(spark, t):
 
 
 CONDITIONAL = """WITH cols AS (SELECT DISTINCT l_orderkey AS def, '/group/line' || l_linenumber AS path, 'Line ' || l_linenumber AS title, 'number' AS ui_type, l_linenumber = 7 AS required, NULL AS readonly_value FROM lineitem),
-conds AS (SELECT l_orderkey AS def, '/group/line' || (l_linenumber + 1) AS path, 'line' || (l_linenumber + 1) AS name, bool_or(l_returnflag = 'R') AS required, min(CASE WHEN l_returnflag = 'A' THEN 'fixed' END) AS const
-  FROM lineitem GROUP BY ALL)
+blocks AS (SELECT l_orderkey AS def, '/group/line' || (l_linenumber // 2 + 1) AS path, 'line' || (l_linenumber // 2 + 1) AS name, l_returnflag = 'R' AS required,
+  CASE WHEN l_returnflag <> 'N' OR l_linenumber = 3 THEN l_linestatus || l_partkey END AS const, CASE WHEN l_linenumber > 4 THEN 'number' ELSE 'string' END AS type,
+  CASE WHEN l_linestatus = 'O' THEN 'date' END AS format, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS bpos FROM lineitem),
+conds AS (SELECT def, path, name, bool_or(required) AS required, arg_min(const, bpos) FILTER (WHERE const IS NOT NULL AND NOT required) AS fixed,
+  arg_min(struct_pack(c := const, t := type, f := format), bpos) AS f FROM blocks GROUP BY ALL)
 """
 
 
 @query(
     "conditional_required_columns",
     CONDITIONAL + """SELECT coalesce(c.def, k.def) AS def, coalesce(c.path, k.path) AS path, coalesce(c.title, k.name) AS title,
-      CASE WHEN c.def IS NULL THEN CASE WHEN const IS NOT NULL THEN 'readonly' ELSE 'text' END WHEN const IS NOT NULL AND NOT k.required THEN 'readonly' ELSE ui_type END AS ui_type,
+      CASE WHEN fixed IS NOT NULL OR (c.def IS NULL AND f.c IS NOT NULL) THEN 'readonly' WHEN c.def IS NOT NULL THEN ui_type WHEN f.t = 'number' THEN 'number' WHEN f.f = 'date' THEN 'date' ELSE 'text' END AS ui_type,
       coalesce(c.required, false) OR coalesce(k.required, false) AS required,
-      CASE WHEN c.def IS NULL OR NOT coalesce(k.required, false) THEN const END AS readonly_value
+      CASE WHEN c.def IS NULL THEN coalesce(f.c, fixed) ELSE fixed END AS readonly_value
       FROM cols c FULL JOIN conds k ON c.def = k.def AND c.path = k.path""",
 )
 def conditional(spark, t):
@@ -137,12 +140,17 @@ def conditional(spark, t):
         F.col("l_orderkey").alias("def"), F.concat(F.lit("/group/"), line).alias("path"), F.concat(F.lit("Line "), "l_linenumber").alias("title"),
         F.lit("number").alias("ui_type"), (F.col("l_linenumber") == 7).alias("required"), none.alias("readonly_value"),
     )
-    nxt = F.concat(F.lit("line"), F.col("l_linenumber") + 1)
+    nxt = F.concat(F.lit("line"), F.expr("l_linenumber div 2 + 1"))
+    n = F.col("l_linenumber")
+    at = F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey")
+    fixed = F.when((F.col("l_returnflag") != "N") | (n == 3), F.concat("l_linestatus", "l_partkey"))
+    kind = F.when(n > 4, F.lit("number")).otherwise(F.lit("string"))
     block = lambda key, name, const, required: F.struct(
-        key.alias("key"), name.alias("name"), none.alias("title"), const.alias("const"), required.alias("required")
+        key.alias("key"), name.alias("name"), none.alias("title"), const.alias("const"), required.alias("required"),
+        at.alias("block_pos"), kind.alias("type"), F.when(F.col("l_linestatus") == "O", F.lit("date")).alias("format"),
     )
     blocks = F.array(
-        block(F.lit("group"), nxt, F.when(F.col("l_returnflag") == "A", F.lit("fixed")), F.col("l_returnflag") == "R"),
+        block(F.lit("group"), nxt, fixed, F.col("l_returnflag") == "R"),
         block(F.lit("group"), none, none, F.lit(True)),
         block(none, F.lit("hasResult"), none, F.lit(True)),
     )
@@ -160,8 +168,11 @@ def options(spark, t):
     two = lambda a, b: F.concat(F.lit('["'), a, F.lit('","'), b, F.lit('"]'))
     own = F.concat(F.lit('{"enum":'), two("p_brand", "p_type"), F.lit(',"allOf":[{"enum":["no"]}]}'))
     block = F.concat(F.lit('{"allOf":[{"title":"x"},{"enum":'), two("p_brand", "p_type"), F.lit("}]}"))
-    nested = F.concat(F.lit('{"allOf":[{"allOf":[{"enum":'), two("p_brand", "p_type"), F.lit("}]}]}"))
-    member = F.concat(F.lit('{"allOf":[{"properties":{"a":{"enum":["'), "p_brand", F.lit('"]},"b":{"enum":["'), "p_name", F.lit('"]}}}]}'))
+    # The first block's own block counts before the second block.
+    nested = F.concat(F.lit('{"allOf":[{"allOf":[{"enum":'), two("p_brand", "p_type"), F.lit('}]},{"enum":["no"]}]}'))
+    member = F.concat(
+        F.lit('{"allOf":[{"properties":{"a":{"enum":["'), "p_brand", F.lit('"]},"b":{"allOf":[{"title":"b"},{"allOf":[{"enum":["'), "p_name", F.lit('"]}]}]}}}]}')
+    )
     size = F.col("p_size")
     json = F.when(size > 40, own).when(size > 30, block).when(size > 20, nested).when(size > 10, member).otherwise(F.lit('{"type":"string"}'))
     return templates.collect_enum_options(t.part.select(F.col("p_partkey").alias("def"), json.alias("json")), "def", "json")

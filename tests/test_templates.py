@@ -61,6 +61,33 @@ def test_conditional_columns(spark):
     assert found == {"/g/a": ("A", "number", True, None), "/g/b": ("b", "text", True, None), "/g/k": ("K", "readonly", False, "v")}
 
 
+def test_conditional_columns_in_block_order(spark):
+    cols = spark.createDataFrame([(1, "/g/k", "K", "text", False, None)],
+                                 "def int, path string, title string, ui_type string, required boolean, readonly_value string")
+    conds = spark.createDataFrame(
+        [(1, "g", "k", None, "zeta", False, 1, None, None), (1, "g", "k", None, "alpha", False, 2, None, None), (1, "g", "k", None, "least", True, 0, None, None),
+         (1, "g", "n", "N", None, False, 5, "number", None), (1, "g", "n", "M", None, True, 7, "string", None), (1, "g", "d", None, None, False, 1, "string", "date"),
+         (1, "g", "c", None, "own", True, 1, None, None)],
+        "def int, key string, name string, title string, const string, required boolean, block_pos int, type string, format string",
+    )
+    found = {r["path"]: (r["title"], r["ui_type"], r["required"], r["readonly_value"]) for r in templates.conditional_required_columns(cols, conds).collect()}
+    assert found == {
+        "/g/k": ("K", "readonly", True, "zeta"), "/g/n": ("N", "number", True, None), "/g/d": ("d", "date", False, None), "/g/c": ("c", "readonly", True, "own"),
+    }
+
+
+def test_options_block_by_block(spark):
+    defs = [
+        {"allOf": [{"allOf": [{"enum": ["nested"]}]}, {"enum": ["later"]}]},
+        {"allOf": [{"properties": {"a": {"enum": ["x"]}, "b": {"allOf": [{"enum": ["y", "z"]}]}}}]},
+        {"allOf": [{"properties": {"a": {"enum": ["x"]}}}, {"enum": ["wins"]}]},
+        {"type": "string"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(defs)], "def int, json string")
+    found = [(r["def"], r["option"]) for r in templates.collect_enum_options(df, "def", "json").orderBy("def", "pos").collect()]
+    assert found == [(0, "nested"), (1, "x"), (1, "y"), (1, "z"), (2, "wins")]
+
+
 def test_most_complete_row_first_of_equals(spark):
     df = spark.createDataFrame([("p", 0, "a", None), ("p", 1, "b", "x"), ("p", 2, "c", "y")], "path string, pos int, title string, description string")
     assert templates.dedupe_most_complete(df, ["path"], ["title", "description"], "pos").first()["title"] == "b"
