@@ -295,9 +295,10 @@ def is_excluded(c: Column, excluded: Sequence[str] = vocab.EXCLUDED_VOCABULARIES
 
 def classify_reference(
     c: Column | str,
-    external: Sequence[str] = vocab.EXTERNAL_PREFIXES,
+    external: Sequence[str] = (),
     excluded: Sequence[str] = vocab.EXCLUDED_VOCABULARIES,
 ) -> Column:
+    """What a reference is; ``external`` are the starts of those that other organisations define."""
     c = _col(c)
     return (
         F.when(is_placeholder(c), F.lit("placeholder"))

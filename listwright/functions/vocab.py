@@ -111,7 +111,6 @@ RELATION_PREFIXES = (
 
 # Reference classes.
 PLACEHOLDER_MARKERS = ("TODO",)
-EXTERNAL_PREFIXES = ("https://vito.be", "conceptscheme-alg:")
 UNKNOWN_LABEL = "(onbekend)"
 THEME_PATTERN = "thema"
 

@@ -159,13 +159,15 @@ def resolve_theme_scheme(see_also: DataFrame, fallback: DataFrame, schemes: Data
     )
 
 
-def resolve_enum_values(fields: DataFrame, tops: DataFrame, prefixes) -> DataFrame:
+def resolve_enum_values(
+    fields: DataFrame, tops: DataFrame, prefixes, external: Sequence[str] = ()
+) -> DataFrame:
     """Options of each field: top concepts of its code lists, expanded, with labels.
 
     ``fields (field, ref, pos)``, ``tops (scheme, pos, concept, label)``. Order is
     ``(list_pos, pos)``. Lists without top concepts give no rows; see the reference report.
     """
-    local = fields.where(cells.classify_reference(F.col("ref")).isin("local", "excluded"))
+    local = fields.where(cells.classify_reference(F.col("ref"), external).isin("local", "excluded"))
     hits = local.withColumnRenamed("pos", "list_pos").join(
         tops, F.col("ref") == F.col("scheme")
     )
@@ -175,12 +177,14 @@ def resolve_enum_values(fields: DataFrame, tops: DataFrame, prefixes) -> DataFra
     )
 
 
-def unresolved_ref_report(refs: DataFrame, schemes: DataFrame, tops: DataFrame) -> DataFrame:
+def unresolved_ref_report(
+    refs: DataFrame, schemes: DataFrame, tops: DataFrame, external: Sequence[str] = ()
+) -> DataFrame:
     """References that yield no options, with the reason."""
     distinct = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
     known = schemes.select(F.col("id").alias("ref")).distinct().withColumn("known", F.lit(True))
     filled = tops.select(F.col("scheme").alias("ref")).distinct().withColumn("filled", F.lit(True))
-    kind = cells.classify_reference(F.col("ref"))
+    kind = cells.classify_reference(F.col("ref"), external)
     reason = (
         F.when(kind.isin("placeholder", "external"), kind)
         .when(F.col("known").isNull(), F.lit("not found"))

@@ -321,25 +321,25 @@ def map_entry_type(spark, t):
 
 
 REFERENCES_SQL = f"""SELECT page_id AS id, url AS v FROM pages UNION ALL SELECT p_partkey, 'http://TODO/' || p_type FROM part
-  UNION ALL SELECT c_custkey, 'conceptscheme-alg:' || c_mktsegment FROM customer UNION ALL SELECT s_suppkey, '{vocab.XSD}' || s_nationkey FROM supplier"""
+  UNION ALL SELECT c_custkey, 'other:' || c_mktsegment FROM customer UNION ALL SELECT s_suppkey, '{vocab.XSD}' || s_nationkey FROM supplier"""
 
 
 def references(t):
     return (
         t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("v"))
         .unionByName(t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("http://TODO/"), "p_type").alias("v")))
-        .unionByName(t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("conceptscheme-alg:"), "c_mktsegment").alias("v")))
+        .unionByName(t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("other:"), "c_mktsegment").alias("v")))
         .unionByName(t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit(vocab.XSD), "s_nationkey").alias("v")))
     )
 
 
 @query(
     "classify_reference",
-    f"""SELECT id, v, CASE WHEN contains(v, 'TODO') THEN 'placeholder' WHEN v LIKE 'conceptscheme-alg:%' THEN 'external'
+    f"""SELECT id, v, CASE WHEN contains(v, 'TODO') THEN 'placeholder' WHEN v LIKE 'other:%' THEN 'external'
         WHEN v LIKE '{vocab.XSD}%' THEN 'excluded' ELSE 'local' END AS kind FROM ({REFERENCES_SQL})""",
 )
 def classify_reference(spark, t):
-    return references(t).withColumn("kind", cells.classify_reference("v"))
+    return references(t).withColumn("kind", cells.classify_reference("v", ["other:"]))
 
 
 @query(

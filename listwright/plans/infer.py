@@ -75,13 +75,13 @@ def membership(spark, t):
     return infer.infer_scheme_membership(tree(t))
 
 
-PART_TREE = """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0),
+PART_TREE = """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part),
 c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)
 """
 
 
 def part_edges(t):
-    return t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    return t.part.select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
 
 
 @query("transitive_closure", PART_TREE + "SELECT src, dst FROM c")
@@ -113,7 +113,7 @@ def rules(spark, t):
     "scheme_reachability",
     """WITH RECURSIVE themes AS (SELECT p_brand AS theme, min(p_partkey) AS scheme FROM part GROUP BY p_brand),
        r AS (SELECT theme, scheme, 0 AS depth FROM themes
-         UNION ALL SELECT theme, p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = r.scheme AND p_partkey > 0)
+         UNION ALL SELECT theme, p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = r.scheme AND p_partkey <> r.scheme)
        SELECT theme, scheme, min(depth) AS depth FROM r GROUP BY theme, scheme""",
 )
 def reachability(spark, t):
@@ -128,13 +128,13 @@ def reachability(spark, t):
     "leaf_schemes",
     """WITH RECURSIVE themes AS (SELECT p_brand AS theme, min(p_partkey) AS scheme FROM part GROUP BY p_brand),
        r AS (SELECT theme, scheme, 0 AS depth FROM themes
-         UNION ALL SELECT theme, p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = r.scheme AND p_partkey > 0 AND p_partkey <> r.scheme),
+         UNION ALL SELECT theme, p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = r.scheme AND p_partkey <> r.scheme),
        f AS (SELECT theme, scheme, min(depth) AS depth FROM r GROUP BY theme, scheme)
        SELECT theme, arg_max(scheme, cast(depth AS BIGINT) * 1000000000 + scheme) AS leaf FROM f GROUP BY theme""",
 )
 def leaves(spark, t):
     themes = t.part.groupBy(F.col("p_brand").alias("theme")).agg(F.min("p_partkey").alias("scheme"))
-    links = part_edges(t).where("src <> dst").select(
+    links = part_edges(t).select(
         F.col("dst").alias("scheme"), F.array("src").alias("pos"), F.col("src").alias("target")
     )
     return infer.leaf_schemes(infer.scheme_reachability(themes, links))

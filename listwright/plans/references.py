@@ -134,13 +134,13 @@ def resolve_theme_scheme(spark, t):
 ENUM_INPUT = """WITH tops AS (SELECT p_brand AS scheme, p_partkey AS pos, 'part:' || p_partkey AS concept, CASE WHEN p_size > 5 THEN p_name END AS label FROM part WHERE p_type <> 'SMALL'),
 fields AS (SELECT 'supplier:' || s_suppkey AS field, 0 AS pos, 'Brand#' || (s_nationkey + 1) AS ref FROM supplier
   UNION ALL SELECT 'supplier:' || s_suppkey, 1, 'Brand#' || (s_nationkey + 2) FROM supplier
-  UNION ALL SELECT 'supplier:' || s_suppkey, 2, CASE WHEN s_acctbal > 0 THEN 'http://TODO/x' ELSE 'conceptscheme-alg:x' END FROM supplier)
+  UNION ALL SELECT 'supplier:' || s_suppkey, 2, CASE WHEN s_acctbal > 0 THEN 'http://TODO/x' ELSE 'other:x' END FROM supplier)
 """
 
 
 def enum_fields(t):
     brand = lambda n: F.concat(F.lit("Brand#"), F.col("s_nationkey") + n)
-    bad = F.when(F.col("s_acctbal") > 0, F.lit("http://TODO/x")).otherwise(F.lit("conceptscheme-alg:x"))
+    bad = F.when(F.col("s_acctbal") > 0, F.lit("http://TODO/x")).otherwise(F.lit("other:x"))
     return t.supplier.select(
         tagged("supplier", "s_suppkey").alias("field"), F.posexplode(F.array(brand(1), brand(2), bad)).alias("pos", "ref")
     )
@@ -159,13 +159,13 @@ def enum_tops(t):
       coalesce(label, 'https://x.org/part/' || substr(concept, 6)) AS label FROM fields f JOIN tops t ON f.ref = t.scheme""",
 )
 def resolve_enum_values(spark, t):
-    return refs.resolve_enum_values(enum_fields(t), enum_tops(t), {"part": "https://x.org/part/"})
+    return refs.resolve_enum_values(enum_fields(t), enum_tops(t), {"part": "https://x.org/part/"}, ["other:"])
 
 
 @query(
     "unresolved_ref_report",
-    """WITH refs AS (SELECT CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'http://TODO/' || l_suppkey WHEN l_linenumber = 2 THEN 'conceptscheme-alg:' || l_suppkey ELSE 'part:' || l_partkey END AS ref FROM lineitem)
-       SELECT ref, CASE WHEN ref LIKE 'http://TODO%' THEN 'placeholder' WHEN ref LIKE 'conceptscheme-alg:%' THEN 'external'
+    """WITH refs AS (SELECT CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'http://TODO/' || l_suppkey WHEN l_linenumber = 2 THEN 'other:' || l_suppkey ELSE 'part:' || l_partkey END AS ref FROM lineitem)
+       SELECT ref, CASE WHEN ref LIKE 'http://TODO%' THEN 'placeholder' WHEN ref LIKE 'other:%' THEN 'external'
          WHEN p_size IS NULL OR p_size <= 10 THEN 'not found' ELSE 'no top concepts' END AS reason, count(*) AS n
        FROM refs LEFT JOIN part ON ref = 'part:' || p_partkey
        WHERE ref NOT LIKE 'part:%' OR p_size IS NULL OR p_size <= 20 GROUP BY ALL""",
@@ -173,12 +173,12 @@ def resolve_enum_values(spark, t):
 def unresolved_ref_report(spark, t):
     ref = (
         F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), tagged("http", F.concat(F.lit("//TODO/"), "l_suppkey")))
-        .when(F.col("l_linenumber") == 2, tagged("conceptscheme-alg", "l_suppkey"))
+        .when(F.col("l_linenumber") == 2, tagged("other", "l_suppkey"))
         .otherwise(tagged("part", "l_partkey"))
     )
     schemes = t.part.where("p_size > 10").select(tagged("part", "p_partkey").alias("id"))
     tops = t.part.where("p_size > 20").select(tagged("part", "p_partkey").alias("scheme"))
-    return refs.unresolved_ref_report(t.lineitem.select(ref.alias("ref")), schemes, tops)
+    return refs.unresolved_ref_report(t.lineitem.select(ref.alias("ref")), schemes, tops, ["other:"])
 
 
 @query(
