@@ -132,7 +132,8 @@ def derive_rules(concepts: DataFrame, schemes: DataFrame, tops: DataFrame, prefi
     start = themes.select(F.col("label").alias("theme"), "scheme")
     reached = infer.bridge_schemes(infer.scheme_reachability(start, links), see_also, schemes)
     order = F.struct("depth", "path", "scheme")
-    chain = reached.select("theme", "scheme", F.col("depth").alias("ord"), order.alias("at"))
+    # The place in discovery order: schemes of one depth differ, and the later one counts as deeper.
+    chain = sorted_numbers(reached, ["theme"], ["depth", "path", "scheme"], "ord").select("theme", "scheme", "ord", order.alias("at"))
     mapped = rules.map_fields(concepts, prefix)
     composed = infer.compose_theme_fields(chain.select("theme", "scheme", "ord"), hits, mapped)
     fields = rules.suffix_duplicates(

@@ -95,6 +95,21 @@ def test_derive_rules(spark):
     assert ("Air", "http://f/level") in {tuple(r) for r in found.measurable.collect()}
 
 
+def test_of_two_schemes_at_one_depth_the_later_found_counts(spark):
+    rows = [
+        ("th:air", "Air", "s:thema", None, ["s:base"], 0), ("f:x", "X", "s:base", None, ["s:zz", "s:aa"], 1),
+        ("f:first", "First", "s:zz", "sosa:hasFeatureOfInterest", None, 2), ("f:second", "Second", "s:aa", "sosa:hasFeatureOfInterest", None, 3),
+    ]
+    nodes = spark.createDataFrame(rows, "id string, prefLabel string, inScheme string, relation string, seeAlso array<string>, pos long").withColumn(
+        "relevantDataType", F.lit("xsd:string"))
+    concepts = project_concepts(nodes).join(nodes.select("id", "pos"), "id")
+    schemes = spark.createDataFrame([("s:thema", 0), ("s:base", 1), ("s:aa", 2), ("s:zz", 3)], "id string, pos long")
+    tops = nodes.select(F.col("inScheme").alias("src"), "pos", F.col("id").alias("ref"))
+    found = flows.derive_rules(concepts, schemes, tops, {"f": "http://f/", "sosa": "http://sosa/"})
+    assert {r["concept"] for r in found.fields.where("is_feature").collect()} == {"f:second"}
+    assert [r["scheme"] for r in found.chain.orderBy("ord").collect()] == ["s:base", "s:zz", "s:aa"]
+
+
 def test_derive_templates(spark):
     d = {
         "required": ["b"],
