@@ -13,6 +13,7 @@ from listwright.operators import checks, infer, ordering, references, rules, sha
 from listwright.operators.checks import ViolationsFound
 from listwright.operators.ranking import sorted_numbers
 from listwright.operators.release import change_counts, release_triples
+from listwright.operators.themes import ThemeTables
 from listwright.operators.triples import Term, orphan_filter, rows_to_triples
 from listwright.sources.csvs import csv_union_with_source
 from listwright.sources.releases import expand_curie, release_load, release_write
@@ -116,6 +117,12 @@ class ThemeRules:
     bounds: DataFrame
 
 
+def _bounds_of_themes(fields: DataFrame) -> DataFrame:
+    bounds = rules.value_bounds_rules(fields).distinct()
+    themes = fields.select("theme", F.col("concept").alias("property")).distinct()
+    return bounds.join(themes, "property")
+
+
 def derive_rules(concepts: DataFrame, schemes: DataFrame, tops: DataFrame, prefixes: Mapping[str, str]) -> ThemeRules:
     """Rules of all themes at once.
 
@@ -164,7 +171,33 @@ def derive_rules(concepts: DataFrame, schemes: DataFrame, tops: DataFrame, prefi
         required=rules.required_set(fields, ["theme"]),
         conditions=conditions.select("theme", "trigger", F.explode("condition_values").alias("value"), "property"),
         measurable=rules.measurable_concepts(chain, concepts, prefix),
-        bounds=expand_curie(rules.value_bounds_rules(regular), "property", prefix),
+        bounds=expand_curie(_bounds_of_themes(regular), "property", prefix),
+    )
+
+
+def theme_tables(rules: ThemeRules) -> ThemeTables:
+    """The derived rules as ``validate_by_theme`` takes them: members go by their property names."""
+    plain = rules.fields.where(~F.coalesce(F.col("class") == vocab.OBSERVATION_CLASS, F.lit(False)))
+    names = plain.select("theme", F.col("concept").alias("_concept"), F.col("property").alias("_name")).distinct()
+
+    def named(df: DataFrame, concept: str, out: str) -> DataFrame:
+        right = names.withColumnsRenamed({"theme": "_theme", "_name": out})
+        on = (F.col("theme") == F.col("_theme")) & (F.col(concept) == F.col("_concept"))
+        return df.join(right, on).drop("_theme", "_concept")
+
+    bounds = rules.bounds
+    required = rules.required.select("theme", "property")
+    results = required.select("theme").distinct().select("theme", F.explode(F.lit(list(vocab.RESULT_REQUIRED))).alias("property"))
+    return ThemeTables(
+        required=required.unionByName(results),
+        types=plain.where(F.col("type").isin("number", "boolean")).select("theme", "property", "type"),
+        items=plain.where("required AND repeatable").select("theme", "property"),
+        options=named(rules.options.select("theme", "field", "value"), "field", "property").select("theme", "property", "value"),
+        bounds=bounds.where("minimum IS NOT NULL OR maximum IS NOT NULL").select("theme", "property", "minimum", "maximum"),
+        units=bounds.select("theme", "property", F.explode("units").alias("unit")),
+        conditional=named(rules.conditions.withColumnRenamed("trigger", "_asked"), "_asked", "trigger").select(
+            "theme", "trigger", "value", "property"
+        ),
     )
 
 

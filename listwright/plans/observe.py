@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listwright.functions import cells
-from listwright.operators import observe
+from listwright.operators import observe, themes
 from listwright.operators.observe import ConditionalRule, RuleSet
+from listwright.operators.themes import ThemeTables
 from listwright.plans.registry import query
 
 
@@ -156,6 +157,59 @@ def verdicts(spark, t):
     return observe.observation_verdicts(observations(t.events), "event_id", rule_set(t))
 
 
+# Two themes: "web" for views and clicks, "shop" for all else, each with its own rules.
+THEMED = OBS + """, t AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 'web' ELSE 'shop' END AS theme FROM o),
+w AS (
+  SELECT * FROM v_required
+  UNION ALL SELECT event_id, 'required', 'count', 'missing' FROM t WHERE theme = 'web' AND cnt IS NULL
+  UNION ALL SELECT event_id, 'enum', 'flag', flag FROM t WHERE theme = 'web' AND flag <> 'true'
+  UNION ALL SELECT v.* FROM v_enum v JOIN t USING (event_id) WHERE theme = 'shop'
+  UNION ALL SELECT v.* FROM v_bounds v JOIN t USING (event_id) WHERE theme = 'shop'
+  UNION ALL SELECT v.* FROM v_unit v JOIN t USING (event_id) WHERE theme = 'web'
+  UNION ALL SELECT v.* FROM v_type v JOIN t USING (event_id) WHERE field = CASE theme WHEN 'web' THEN 'flag' ELSE 'observedProperty' END
+  UNION ALL SELECT v.* FROM v_items v JOIN t USING (event_id) WHERE theme = 'shop'
+  UNION ALL SELECT event_id, 'conditional', 'hasFeatureOfInterest', 'flag=true' FROM t WHERE theme = 'web' AND flag = 'true' AND NOT has_feature
+  UNION ALL SELECT event_id, 'conditional', 'count', 'observedProperty=error' FROM t WHERE event_type = 'error' AND cnt IS NULL)
+"""
+
+
+def themed(t):
+    web = F.col("observedProperty").isin("view", "click")
+    return observations(t.events).withColumn("theme", F.when(web, "web").otherwise("shop"))
+
+
+def theme_tables(spark, t):
+    rows = spark.createDataFrame
+    both = [(theme, name.rsplit(".", 1)[-1]) for theme in ("web", "shop") for name in observe.ENVELOPE]
+    of = lambda df, theme: df.withColumn("theme", F.lit(theme))
+    flags = rows([("web", "flag", "true")], "theme string, property string, value string")
+    return ThemeTables(
+        required=rows([*both, ("web", "count")], "theme string, property string"),
+        types=rows([("web", "flag", "boolean"), ("shop", "observedProperty", "number")], "theme string, property string, type string"),
+        items=rows([("shop", "items")], "theme string, property string"),
+        options=flags.unionByName(of(options(t), "shop").withColumn("property", F.lit("observedProperty"))),
+        bounds=of(bounds(t), "shop"),
+        units=of(units(t), "web"),
+        conditional=rows(
+            [("web", "flag", "true", "hasFeatureOfInterest"), ("shop", "observedProperty", "error", "count")],
+            "theme string, trigger string, value string, property string",
+        ),
+    )
+
+
+@query("validate_observations_by_theme", THEMED + "SELECT * FROM w")
+def validate_themes(spark, t):
+    return themes.validate_by_theme(themed(t), "event_id", "theme", theme_tables(spark, t))
+
+
+@query(
+    "observation_verdicts_by_theme",
+    THEMED + "SELECT t.event_id, t.theme, count(w.event_id) AS violations, count(w.event_id) = 0 AS valid FROM t LEFT JOIN w ON w.event_id = t.event_id GROUP BY ALL",
+)
+def themed_verdicts(spark, t):
+    return themes.verdicts_by_theme(themed(t), "event_id", "theme", theme_tables(spark, t))
+
+
 # Each user stands at the scheme of the first event; fields ask for any instance of a trigger.
 VALUES = """WITH e AS (SELECT *, event_type || '#' || (cast(regexp_extract(props, '[0-9]+') AS INTEGER) // 25) AS field,
   CASE WHEN value > 150 THEN 'state:HIGH' WHEN value > 100 THEN 'http://x.org/#low' ELSE '' END AS v FROM events),

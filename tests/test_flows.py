@@ -10,6 +10,7 @@ from listwright.functions import vocab
 from listwright.operators.checks import ViolationsFound
 from listwright.operators.references import project_concepts
 from listwright.operators.shapes import ShapeRule
+from listwright.operators.themes import validate_by_theme, verdicts_by_theme
 from listwright.operators.triples import Term
 
 CONTEXT = {
@@ -94,6 +95,24 @@ def test_derive_rules(spark):
     assert [(r["property"], r["units"]) for r in found.bounds.collect()] == [("http://f/level", ["u:a", "u:b"])]
     assert ("Air", "http://f/level") in {tuple(r) for r in found.measurable.collect()}
 
+    # From the lists to violations of observations: the rules of all themes at once.
+    schema = (
+        "id int, theme string, resultTime string, observedProperty string, hasFeatureOfInterest string, "
+        "hasResult struct<numericValue:double,hasUnit:string>, level string, kind string, extra string"
+    )
+    rows = [
+        (1, "Air", "t", "http://f/level", "x", (1.0, "u:a"), "2", "http://k/one", "y"), (2, "Air", "t", "http://f/level", "x", (1.0, "u:z"), "two", "http://k/two", None),
+        (3, "Air", None, "p", None, None, None, None, None), (4, "Water", None, None, None, None, None, None, None),
+    ]
+    tables = flows.theme_tables(found)
+    got = {(r["id"], r["check"], r["field"]) for r in validate_by_theme(spark.createDataFrame(rows, schema), "id", "theme", tables).collect()}
+    assert got == {
+        (2, "unit", "hasUnit"), (2, "type", "level"), (2, "enum", "kind"), (3, "required", "resultTime"), (3, "required", "hasFeatureOfInterest"),
+        (3, "required", "hasResult"), (3, "required", "numericValue"), (3, "required", "hasUnit"), (3, "required", "level"),
+    }
+    verdicts = verdicts_by_theme(spark.createDataFrame(rows, schema), "id", "theme", tables).collect()
+    assert {r["id"] for r in verdicts if r["valid"]} == {1, 4} and len(verdicts) == 4
+
 
 def test_of_two_schemes_at_one_depth_the_later_found_counts(spark):
     rows = [
