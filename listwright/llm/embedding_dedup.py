@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm.components import components
 from listwright.llm.registry import query, table
+from listwright.llm.text import groups, least_reached
 from listwright.sources.storage import cut
 
 THRESHOLD = 0.9
@@ -153,29 +154,9 @@ def _cells(tables: Tables):
     return run
 
 
-def _groups(batches):
-    """Runs of rows with the same (cell, left, right), which come together, as one batch each."""
-    kept: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = np.stack([np.asarray(batch.column(n), np.int64) for n in ("cell", "left", "right")], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if kept and tuple(keys[a]) != last:
-                yield kept
-                kept = []
-            last = tuple(keys[a])
-            kept.append(batch.slice(a, b - a))
-    if kept:
-        yield kept
-
-
 def _linked(tables: Tables):
     def run(batches):
-        for group in _groups(batches):
-            part = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
+        for part in groups(batches, ["cell", "left", "right"]):
             if part.num_rows < 2:
                 continue
             for rows, unit in _unit_rows(part.column("embedding")).values():
@@ -197,15 +178,7 @@ def _linked(tables: Tables):
                 if not len(i):
                     continue
                 # One edge per vector stands for all links of the group: to the least it reaches.
-                label = ids.copy()
-                while True:
-                    least = np.minimum(label[i], label[j])
-                    new = label.copy()
-                    np.minimum.at(new, i, least)
-                    np.minimum.at(new, j, least)
-                    if (new == label).all():
-                        break
-                    label = new
+                label = least_reached(ids, i, j)
                 n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(

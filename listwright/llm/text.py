@@ -164,3 +164,39 @@ class Memo:
             self.flat = np.concatenate([self.flat, flat])
             place = np.searchsorted(self.keys, keys)
         return place
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal numbers in ``columns``, over the borders of batches; a batch each."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(c), np.int64) for c in columns], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if kept and tuple(keys[a]) != last:
+                yield _one(kept)
+                kept = []
+            last = tuple(keys[a])
+            kept.append(batch.slice(a, b - a))
+    if kept:
+        yield _one(kept)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def least_reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each id the least id that links between the places ``i`` and ``j`` lead to."""
+    label = ids.copy()
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        if (new == label).all():
+            return label
+        label = new
