@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.sources.storage import cut
+from listwright.sources.storage import cut, free
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,32 +40,71 @@ def _fingerprint(star: DataFrame) -> tuple:
     return tuple(star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+# Rounds in which every member of a bucket meets one other, before what is left is compared in full.
+ROUNDS = 12
+# Buckets up to this size are compared pair by pair, larger ones in blocks where the caller can.
+FEW = 16
+
+
+def linked_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    in_blocks: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``(node, component)`` over all links among members of one bucket.
 
-    ``members(bucket, id)`` is read several times; ``verify`` takes ``(a, b)``, a < b, and gives the pairs that are links.
-    First every member meets the least one of its bucket. Only members that this leaves apart from
-    their bucket's least one meet the bucket's others, and only those of another group, so a bucket of
-    copies costs one pair a member, and no link between members of a bucket is missed: two members
-    that are never compared are in one group already.
+    ``members(bucket, id)``, without repeats; ``verify`` takes ``(a, b)``, a < b, and gives the pairs that
+    are links. First every member meets the least one of its bucket, which makes one group of a bucket
+    of copies for a pair a member. Buckets that still hold more than one group are then compared in full:
+    small ones pair by pair, larger ones by ``in_blocks``, which takes ``(bucket, id, own)`` and gives
+    links ``(a, b)`` that join whatever the bucket's links join, without writing out all its pairs.
+
+    Without ``in_blocks``, members meet a further chosen one of another group in each round first; when
+    that no longer helps, or little is left, all pairs between a bucket's groups are compared. Either way
+    no link is missed: two members that are never compared are in one group already.
     """
-    least = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = members.join(least, "bucket").where("id != first")
-    first = cut(verify(cut(pairs.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())))
-    groups = components(first)
-    named = members.join(least.select("bucket", "first"), "bucket")
-    for node, name in (("id", "own"), ("first", "main")):
-        right = groups.select(F.col("node").alias(node), F.col("component").alias(name))
-        named = named.join(right, node, "left").withColumn(name, F.coalesce(name, node))
-    named = cut(named)
-    apart = named.where("own != main").select("bucket", F.col("id").alias("x"), F.col("own").alias("of"))
-    others = (
-        named.join(apart, "bucket")
-        .where((F.col("own") != F.col("of")) & (F.col("id") != F.col("first")))
-        .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        .distinct()
+    least = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(members.join(least.drop("n"), "bucket"))
+    free(members.sparkSession)
+    links = _compared(shared.where("id != pivot"), "pivot", verify)
+    groups = components(links)
+    crossing = None
+    for number in range(ROUNDS + 1):
+        named, open_ = _open(shared, groups)
+        total, crosses = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+        if not total:
+            return groups
+        stuck = crossing is not None and crosses > 0.9 * crossing
+        crossing = crosses
+        if in_blocks or crossing <= 4 * total or stuck or number == ROUNDS:
+            few = F.col("n") <= FEW if in_blocks else F.lit(True)
+            small = named.join(open_.where(few).select("bucket"), "bucket", "left_semi")
+            others = small.select("bucket", F.col("id").alias("other"), F.col("own").alias("of"))
+            pairs = small.join(others, "bucket").where("own != of AND id < other")
+            found = links.unionByName(_compared(pairs, "other", verify))
+            if in_blocks:
+                large = named.join(open_.where(~few).select("bucket"), "bucket", "left_semi")
+                found = found.unionByName(cut(in_blocks(large)))
+            return components(found)
+        named = named.join(open_.select("bucket"), "bucket", "left_semi")
+        chosen = named.groupBy("bucket").agg(
+            F.min_by(F.struct("id", "own"), F.xxhash64("id", F.lit(number))).alias("p")
+        ).select("bucket", F.col("p.id").alias("pivot"), F.col("p.own").alias("of"))
+        links = cut(links.unionByName(_compared(named.join(chosen, "bucket").where("own != of"), "pivot", verify)))
+        groups = components(links)
+
+
+def _open(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their group, and the buckets that hold more than one group, with their sizes."""
+    named = shared.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    named = cut(named.select("bucket", "id", F.coalesce("component", "id").alias("own")))
+    sizes = named.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("groups")
     )
-    second = cut(verify(cut(others)))
-    if second.isEmpty():
-        return groups
-    return components(first.select("a", "b").unionByName(second.select("a", "b")))
+    return named, cut(sizes.where("groups > 1"))
+
+
+def _compared(pairs: DataFrame, other: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The links among pairs of ``id`` and ``other``, each looked at once."""
+    once = pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+    return cut(verify(cut(once)).select("a", "b"))
