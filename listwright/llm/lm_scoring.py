@@ -219,6 +219,26 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
+def _most_frequent(names: DataFrame, most: int) -> list[dict]:
+    """The most frequent words, at most ``most``, by count and then word.
+
+    A histogram of the counts' logarithms tells from which count on so many words are had, so no task
+    hands over more than what is kept.
+    """
+    level = F.floor(F.log2("n") * 16)
+    sizes = names.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # about 16 * 63 at most
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    found = names.where(level >= least).toPandas().to_dict("records")
+    return sorted(found, key=lambda r: (-r["n"], r["word"]))
+
+
 def fit(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> Model:
     """The model of all ``docs``; ``counts`` are their words'."""
     spark = docs.sparkSession
@@ -227,7 +247,7 @@ def fit(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, frequent: int
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0))
     ).first()
     names = counts.where(~end)
-    most = names.orderBy(F.desc("n"), "word").limit(frequent).toPandas().to_dict("records")
+    most = _most_frequent(names, frequent)
     sums = {r["tail"]: r["n"] for r in names.groupBy("tail").agg(F.sum(F.col("n") + 1).alias("n")).collect()}
     model = Model(most, total, vocabulary, sums, ends)
     for number in range(rounds if total else 0):
