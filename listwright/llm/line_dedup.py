@@ -1,40 +1,46 @@
 """Fuzzy line deduplication, in DataFrame functions only.
 
 A line is compared by its runs of eight characters (UTF-16 units). Distinct lines are written once,
-bucketed by digest, so that the aggregate over a line's runs, its MinHash signature, needs no shuffle:
+bucketed by two hashes, so that the aggregate over a line's runs, its MinHash signature, needs no shuffle:
 ``min(hash XOR seed)`` for each of 28 seeds, in generated code. Seven bands of four find pairs at the
-threshold with probability 0.975; candidates are compared by the exact Jaccard similarity of their runs,
-and union-find over the links leaves one line per component, its first by (doc_id, place).
+threshold with probability 0.975; candidates whose signatures agree about as often as those of such a
+pair are compared by the exact Jaccard similarity of their runs, and union-find over the links leaves one line per component, its first by (doc_id, place).
 """
 
 from __future__ import annotations
 
+import math
 import random
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listwright.functions import cells
 from listwright.llm.components import linked_groups
 from listwright.llm.registry import query, table
-from listwright.sources.storage import cut, scratch
+from listwright.sources.storage import cut, free, scratch
 
 SHINGLE = 8
 THRESHOLD = 0.8
 BANDS, ROWS = 7, 4
+# Ids of lines to compare that are sent to all tasks (8 bytes each); more are joined by a shuffle.
+SENT_IDS = 500_000
 
 # Least of these is the row that stays; rows without an id come last.
 _PLACE = ["late", "doc_id", "line_no", "text_hash"]
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, line_no, line)`` of all lines that have more than white space, trimmed."""
+    """``(doc_id, text_hash, line_no, line, k1, k2, late)`` of all lines that have more than white space,
+    trimmed; two independent 64-bit hashes name a line."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split).alias("line_no", "line"))
         .withColumn("line", F.trim("line", F.lit(" \t\x0b\x0c\r")))
         .where("line != ''")
-        .withColumn("key", F.unhex(F.md5("line")))
+        .withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
         .withColumn("late", F.col("doc_id").isNull())
     )
 
@@ -46,58 +52,95 @@ def _runs(line, size: int):
 
 
 def _distinct_lines(docs: DataFrame) -> DataFrame:
-    """``(key, id, first, line)``: every distinct line once, bucketed by its digest."""
+    """``(k1, k2, id, first, line)``: every distinct line once, bucketed by its hashes."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lines_{uuid.uuid4().hex}"
-    found = lines(docs).groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("first"), F.first("line").alias("line"))
-    found.withColumn("id", F.monotonically_increasing_id()).write.bucketBy(buckets, "key").option(
+    found = lines(docs).groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.first("line").alias("line"))
+    found.withColumn("id", F.monotonically_increasing_id()).write.bucketBy(buckets, "k1", "k2").option(
         "path", scratch(spark, name)
     ).saveAsTable(name)
+    del found
+    free(spark)
     return spark.table(name)
 
 
-def _members(distinct: DataFrame, size: int) -> DataFrame:
-    """``(bucket, id)``: the bands of every distinct line."""
+def _signatures(distinct: DataFrame, size: int) -> DataFrame:
+    """``(id, b0, b1, …)``: for every distinct line its bands, each the last 16 bits of four least hashes."""
     spark = distinct.sparkSession
     seeds = random.Random(3)
     units, at = _runs(F.col("line"), size)
     run = F.xxhash64(F.substring("units", F.col("at"), F.lit(2 * size)))
     least = [F.min(F.col("run").bitwiseXOR(F.lit(seeds.getrandbits(63)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
     signed = (
-        distinct.select("key", "id", units.alias("units"), at.alias("ats"))
-        .select("key", "id", "units", F.explode("ats").alias("at"))
-        .select("key", "id", run.alias("run"))
-        .groupBy("key", "id")
+        distinct.select("k1", "k2", "id", units.alias("units"), at.alias("ats"))
+        .select("k1", "k2", "id", "units", F.explode("ats").alias("at"))
+        .select("k1", "k2", "id", run.alias("run"))
+        .groupBy("k1", "k2", "id")
         .agg(*least)
     )
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    bands = []
+    for b in range(BANDS):
+        marks = [F.shiftleft(F.col(f"m{b * ROWS + r}").bitwiseAND(0xFFFF), 16 * r) for r in range(ROWS)]
+        bands.append(reduce(lambda x, y: x.bitwiseOR(y), marks).alias(f"b{b}"))
     path = scratch(spark, "bands")
-    signed.select("id", bands.alias("bands")).write.parquet(path)
-    return spark.read.parquet(path).select(F.explode("bands").alias("bucket"), "id")
+    signed.select("id", *bands).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _verified(distinct: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs whose lines' runs have a Jaccard similarity of at least ``threshold``."""
-    spark = distinct.sparkSession
+def _members(signatures: DataFrame) -> DataFrame:
+    """``(bucket, id)``: every band of every line."""
+    buckets = F.array(*[F.xxhash64(F.lit(b), f"b{b}") for b in range(BANDS)])
+    return signatures.select(F.explode(buckets).alias("bucket"), "id")
+
+
+def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``df(id, …)`` that occur in ``pairs(a, b)``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    units, at = _runs(F.col("line"), size)
-    path = scratch(spark, "runs")
-    distinct.select("id", "line").join(wanted, "id", "left_semi").select(
-        "id", units.alias("units"), at.alias("ats")
-    ).select(
-        "id",
-        F.array_distinct(F.transform("ats", lambda i: F.xxhash64(F.substring("units", i, F.lit(2 * size))))).alias("runs"),
-    ).write.parquet(path)
-    runs = spark.read.parquet(path)
-    both = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(
-        runs.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b"
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, "id", "left_semi")
+
+
+def _with_both(pairs: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with the columns of both ends, named after them."""
+    for end in ("a", "b"):
+        pairs = pairs.join(df.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+    return pairs
+
+
+def _likely(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose least hashes agree about as often as at the threshold, three and a half deviations less."""
+    both = _with_both(pairs, _of_pairs(signatures, pairs), [f"b{b}" for b in range(BANDS)])
+    agree = F.lit(0)
+    for b in range(BANDS):
+        differ = F.col(f"a_b{b}").bitwiseXOR(F.col(f"b_b{b}"))
+        for r in range(ROWS):
+            agree = agree + F.when(F.shiftrightunsigned(differ, 16 * r).bitwiseAND(0xFFFF) == 0, 1).otherwise(0)
+    many = BANDS * ROWS
+    return both.where(agree >= math.floor(many * threshold - 3.5 * math.sqrt(many * threshold * (1 - threshold)))).select("a", "b")
+
+
+def _run_set(line, size: int):
+    """Hashes of a line's distinct runs."""
+    units, at = _runs(line, size)
+    hashes = cells.once(units, lambda u: F.transform(at, lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * size)))))
+    return F.array_distinct(hashes)
+
+
+def _verified(distinct: DataFrame, signatures: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs whose lines' runs have a Jaccard similarity of at least ``threshold``."""
+    pairs = cut(_likely(pairs, signatures, threshold))
+    both = _with_both(pairs, _of_pairs(distinct.select("id", "line"), pairs), ["line"])
+
+    def alike(x, y):
+        shared = F.size(F.array_intersect(x, y))
+        return cells.once(shared, lambda n: n >= threshold * (F.size(x) + F.size(y) - n) - 1e-9)
+
+    linked = cells.once(
+        _run_set(F.col("a_line"), size), lambda x: cells.once(_run_set(F.col("b_line"), size), lambda y: alike(x, y))
     )
-    # Alike cannot be those of too unlike size.
-    x, y = F.size("x"), F.size("y")
-    near = both.where((x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9))
-    shared = near.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (x + y).alias("total"))
-    return shared.where(F.col("n") >= threshold * (F.col("total") - F.col("n")) - 1e-9).select("a", "b")
+    return both.where(linked).select("a", "b")
 
 
 def line_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -110,17 +153,18 @@ def line_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHO
     """
     docs = docs.select("doc_id", "text")
     distinct = _distinct_lines(docs)
-    groups = linked_groups(_members(distinct, size), lambda pairs: _verified(distinct, pairs, size, threshold))
+    signatures = _signatures(distinct, size)
+    groups = linked_groups(_members(signatures), lambda pairs: _verified(distinct, signatures, pairs, size, threshold))
     linked = cut(
-        distinct.select("id", "key", "first").join(groups.withColumnRenamed("node", "id"), "id")
+        distinct.select("id", "k1", "k2", "first").join(groups.withColumnRenamed("node", "id"), "id")
     )
     firsts = linked.groupBy("component").agg(F.min("first").alias("first_of"))
-    moved = linked.join(firsts, "component").select("key", "first_of")
-    every = lines(docs).select("key", *_PLACE)
+    moved = linked.join(firsts, "component").select("k1", "k2", "first_of")
+    every = lines(docs).select("k1", "k2", *_PLACE)
     stays = F.coalesce("first_of", "first")
     return (
-        every.join(distinct.select("key", "first"), "key")
-        .join(moved, "key", "left")
+        every.join(distinct.select("k1", "k2", "first"), ["k1", "k2"])
+        .join(moved, ["k1", "k2"], "left")
         .select(
             "doc_id",
             "text_hash",
