@@ -123,6 +123,20 @@ def test_lines_against_brute_force(docs):
     assert got == line_brute(rows)
 
 
+def test_lines_at_the_threshold_are_found(docs):
+    """Lines of 20 to 60 runs and their like at a similarity of 0.8, the least that links."""
+    rng = random.Random(12)
+    make = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rows = []
+    for i in range(2000):
+        n = rng.randrange(20, 61, 4)
+        line = make(n + 7)
+        rows += [(2 * i, line), (2 * i + 1, line + make(n // 4))]
+    got = line_dedup.line_groups(docs(rows)).where("NOT kept").collect()
+    assert all(r.first_doc_id == r.doc_id - 1 for r in got)
+    assert len(got) > 0.99 * 2000
+
+
 def test_documents_without_repeated_lines(docs):
     line = "the quick brown fox jumps over the lazy dog and runs away from it all day long without a pause"
     rows = [(2, f"{line}!\nnew\n\nnew"), (1, f"a\n{line}"), (3, None), (4, " keep \n"), (None, "a")]
