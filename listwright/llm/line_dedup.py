@@ -1,6 +1,7 @@
 """Fuzzy line deduplication, in DataFrame functions only.
 
-A line is compared by its runs of eight characters (UTF-16 units). Distinct lines are written once,
+A line is compared by its runs of eight characters (UTF-16 units), and two lines of at most 160 by
+their runs of three as well, since one changed character breaks eight runs of eight. Distinct lines are written once,
 bucketed by two hashes, so that the aggregate over a line's runs, its MinHash signature, needs no shuffle:
 the least of 40 independent hashes, in generated code. Ten bands of four find pairs at the
 threshold with probability 0.994; candidates whose signatures agree about as often as those of such a
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import cells
-from listwright.llm.components import linked_groups
+from listwright.llm.components import components, linked_groups
 from listwright.llm.registry import query, table
 from listwright.sources.storage import cut, free, scratch
 
 SHINGLE = 8
+# Two lines of at most SHORT units are also compared by runs of SHORT_SHINGLE. From 151 units on, two changed
+# characters leave runs of eight alike enough; from 29 (one) and 56 (two) on, runs of three.
+SHORT, SHORT_SHINGLE = 160, 3
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 # Ids of lines to compare that are sent to all tasks (8 bytes each); more are joined by a shuffle.
@@ -141,18 +145,30 @@ def _verified(distinct: DataFrame, signatures: DataFrame, pairs: DataFrame, size
     return both.where(linked).select("a", "b")
 
 
-def line_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def _linked(distinct: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``(node, component)`` of the lines that runs of ``size`` link."""
+    signatures = _signatures(distinct, size)
+    return linked_groups(_members(signatures), lambda pairs: _verified(distinct, signatures, pairs, size, threshold))
+
+
+def line_groups(
+    docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, short_size: int | None = None
+) -> DataFrame:
     """``(doc_id, text_hash, line_no, first_doc_id, first_line_no, kept)``, one row per line.
 
     Lines are cut at ``\\n`` and compared without white space around them; lines of white space alone
-    are in no group and not returned. A line shorter than a run equals only itself. The first line of a
+    are in no group and not returned. A line shorter than a run equals only itself. With ``short_size``
+    two lines of at most ``SHORT`` units are also linked by their runs of that size. The first line of a
     group, by doc_id and then place, is kept; null ids come last. Rows that repeat doc_id and text keep
     the same lines. Null text has no lines. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     distinct = _distinct_lines(docs)
-    signatures = _signatures(distinct, size)
-    groups = linked_groups(_members(signatures), lambda pairs: _verified(distinct, signatures, pairs, size, threshold))
+    groups = _linked(distinct, size, threshold)
+    if short_size:
+        short = distinct.where(F.octet_length(F.encode("line", "UTF-16BE")) <= 2 * SHORT)
+        both = groups.unionByName(_linked(short, short_size, threshold))
+        groups = components(both.select(F.col("node").alias("a"), F.col("component").alias("b")))
     linked = cut(
         distinct.select("id", "k1", "k2", "first").join(groups.withColumnRenamed("node", "id"), "id")
     )
@@ -174,13 +190,15 @@ def line_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHO
     )
 
 
-def without_repeats(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, short_size: int | None = SHORT_SHINGLE
+) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of ``text``; all rows stay.
 
     Texts that lose nothing keep every byte. ``n_chars``, if there, is that of the new text.
     """
     columns = docs.columns
-    groups = line_groups(docs, size, threshold).where("NOT kept")
+    groups = line_groups(docs, size, threshold, short_size).where("NOT kept")
     gone = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.collect_set("line_no").alias("_gone")
     )
@@ -205,4 +223,4 @@ def without_repeats(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
 
 @query("op6_line_dedup")
 def op6(spark, folder):
-    return line_groups(table(spark, folder, "documents"))
+    return line_groups(table(spark, folder, "documents"), short_size=SHORT_SHINGLE)

@@ -137,6 +137,26 @@ def test_lines_at_the_threshold_are_found(docs):
     assert len(got) > 0.99 * 2000
 
 
+def test_short_lines_with_changed_characters_are_found(docs):
+    """One changed character from 29 units on, two from 56 on; the query links what the stage takes out."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789   "
+    rows, pairs = [(0, "Copyright 2019 by the authors. All rights reserved."), (1, "Copyright 2020 by the authors. All rights reserved.")], 1
+    for edits, least in ((1, 29), (2, 56)):
+        for _ in range(300):
+            line = ["q", *(rng.choice(letters) for _ in range(rng.randrange(least, 81) - 2)), "q"]
+            other = list(line)
+            for at in rng.sample(range(3, len(line) - 3), edits):
+                other[at] = "#"
+            rows += [(2 * pairs, "".join(line)), (2 * pairs + 1, "".join(other))]
+            pairs += 1
+    gone = line_dedup.line_groups(docs(rows), short_size=line_dedup.SHORT_SHINGLE).where("NOT kept").collect()
+    assert all(r.first_doc_id == r.doc_id - 1 for r in gone)
+    assert 1 in {r.doc_id for r in gone} and len(gone) > 0.97 * pairs
+    out = line_dedup.without_repeats(docs(rows[:2])).collect()
+    assert sorted(r.text for r in out) == ["", rows[0][1]]
+
+
 def test_documents_without_repeated_lines(docs):
     line = "the quick brown fox jumps over the lazy dog and runs away from it all day long without a pause"
     rows = [(2, f"{line}!\nnew\n\nnew"), (1, f"a\n{line}"), (3, None), (4, " keep \n"), (None, "a")]
