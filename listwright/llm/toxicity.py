@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words in lower case and their first four and five bytes, hashed into 2**18 buckets.
-The buckets that tell the two labels of the sample apart best are the machine's features. It learns a
-weight for each feature and a vector for each, whose products weigh every pair of features that occur
-together, so an insult next to a group's name can weigh more than the two apart.
+Every bucket that the sample has is a feature of the machine, 2**18 at most. It learns a weight for each
+feature and a vector for each, whose products weigh every pair of features that occur together, so an
+insult next to a group's name can weigh more than the two apart. Nothing is selected: a feature's weight
+is scaled by how much its smoothed frequencies differ between the labels, sums by the number of a text's
+features, and weights decay.
 
 The machine is fitted on a bounded sample (``MAX_SAMPLE``) of the labelled rows, those whose id has the
 least hash; that bound is what lets the sample be broadcast and fitted on the driver. Scoring reads every
@@ -24,9 +26,8 @@ from listwright.sources.storage import scratch
 
 MAX_SAMPLE = 20_000
 BITS = 18
-FEATURES = 1024
 FACTORS = 8
-EPOCHS = 30
+EPOCHS = 16
 
 # A term is a run of letters; bytes of other scripts count as letters.
 _NO_LETTER = np.ones(256, bool)
@@ -53,21 +54,25 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Machine:
     """Weights of a fitted factorization machine."""
 
-    def __init__(self, terms: np.ndarray, bias: float):
+    def __init__(self, terms: np.ndarray, bias: float, ratio: np.ndarray | None = None):
+        """``ratio``: the logarithm of each term's smoothed frequency among toxic texts over that among others."""
+        ratio = np.zeros(len(terms)) if ratio is None else ratio
         self.number = np.full(1 << BITS, -1, np.int64)
         self.number[terms] = np.arange(len(terms))
         self.bias = bias
-        self.weights = np.zeros(len(terms))
-        self.vectors = np.random.default_rng(7).normal(0, 0.05, (len(terms), FACTORS))
+        self.scale = np.abs(ratio)
+        self.weights = 0.1 * np.sign(ratio)
+        self.vectors = np.random.default_rng(7).normal(0, 0.1, (len(terms), FACTORS))
 
     def logits(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """Of ``n`` rows with the distinct features (row, feature)."""
-        linear = np.bincount(row, self.weights[feature], n)
+        linear = np.bincount(row, self.weights[feature] * self.scale[feature], n)
         pairs = np.zeros(n)
         for f in range(FACTORS):
             v = self.vectors[feature, f]
             pairs += np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n)
-        return self.bias + linear + pairs / 2
+        many = np.maximum(np.bincount(row, minlength=n), 1)
+        return self.bias + linear / np.sqrt(many) + pairs / (2 * many)
 
     def features(self, row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct features of each row."""
@@ -76,34 +81,35 @@ class Machine:
         both = np.unique(row[there] * len(self.weights) + feature[there]) if there.any() else np.zeros(0, np.int64)
         return both // max(1, len(self.weights)), both % max(1, len(self.weights))
 
-    def fit(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray, epochs: int = EPOCHS):
-        """AdaGrad on the log loss with a little weight decay; rows in a fixed random order."""
+    def fit(self, begin: np.ndarray, feature: np.ndarray, label: np.ndarray, epochs: int = EPOCHS):
+        """AdaGrad on the log loss with a little weight decay; rows in a fixed random order. Row i has the
+        distinct features ``feature[begin[i]:begin[i + 1]]``."""
         rng, n = np.random.default_rng(11), len(label)
-        order = np.argsort(row, kind="stable")
-        feature = feature[order]
-        begin = np.searchsorted(row[order], np.arange(n + 1))
-        seen = [1e-6, np.full_like(self.weights, 1e-6), np.full_like(self.vectors, 1e-6)]
-        size, rate, decay = 128, 0.1, 1e-4
+        seen = [1e-6, np.full_like(self.weights, 1e-5), np.full_like(self.vectors, 1e-5)]
+        size, rate, decay = 128, 0.5, 1e-4
         for _ in range(epochs):
             shuffled = rng.permutation(n)
             for at in range(0, n, size):
                 some = shuffled[at : at + size]
+                f = np.concatenate([feature[begin[i] : begin[i + 1]] for i in some])
                 count = begin[some + 1] - begin[some]
                 r = np.repeat(np.arange(len(some)), count)
-                f = feature[np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])] if count.sum() else feature[:0]
                 error = 1 / (1 + np.exp(-np.clip(self.logits(r, f, len(some)), -30, 30))) - label[some]
                 g0 = error.mean()
                 seen[0] += g0 * g0
                 self.bias -= rate * g0 / np.sqrt(seen[0])
                 if not len(f):
                     continue
-                used, which = np.unique(f, return_inverse=True)
-                g = np.bincount(which, error[r], len(used)) / len(some) + decay * self.weights[used]
+                many = np.maximum(count, 1)
                 v = self.vectors[f]
-                sums = np.stack([np.bincount(r, v[:, k], len(some)) for k in range(FACTORS)], axis=1)
-                step = error[r][:, None] * (sums[r] - v)
-                gv = np.stack([np.bincount(which, step[:, k], len(used)) for k in range(FACTORS)], axis=1)
-                gv = gv / len(some) + decay * self.vectors[used]
+                sums = np.zeros((len(some), FACTORS))
+                sums[count > 0] = np.add.reduceat(v, (np.cumsum(count) - count)[count > 0], axis=0)
+                order = np.argsort(f, kind="stable")
+                used, first = np.unique(f[order], return_index=True)
+                g = np.add.reduceat(((error / np.sqrt(many))[r] * self.scale[f])[order], first)
+                g = g / len(some) + decay * self.weights[used]
+                step = (error / many)[r][:, None] * (sums[r] - v)
+                gv = np.add.reduceat(step[order], first, axis=0) / len(some) + decay * self.vectors[used]
                 seen[1][used] += g * g
                 seen[2][used] += gv * gv
                 self.weights[used] -= rate * g / np.sqrt(seen[1][used])
@@ -121,7 +127,7 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], ["toxic", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, features: int = FEATURES) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Machine:
     """A machine for ``labels(doc_id, toxic)``, of which at most ``max_sample`` ids are looked at.
 
     An id labelled twice counts as toxic if one of its labels is. Null ids and labels are not used.
@@ -142,33 +148,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, featur
     rows = spark.read.parquet(path)
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     bias = np.log((positive + 0.5) / (n - positive + 1.5))
-    # Chi-squared of each bucket with the label, over whole documents; at most 2**BITS of them.
-    a, b = F.col("a"), F.col("b")
-    cross = a * (n - positive) - b * positive
-    chosen = (
-        rows.select("toxic", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-        .where((a + b >= 3) & (a + b < n))
-        .orderBy(F.desc(cross * cross / ((a + b) * (n - a - b))), "term")
-        .limit(features)
-        .select("term")
-        .collect()
-    )
-    machine = Machine(np.array([r["term"] for r in chosen], np.int64), float(bias))
-    if not chosen or not 0 < positive < n:
-        return machine
-    picked = F.lit([r["term"] for r in chosen]).cast("array<int>")
-    small = rows.select("toxic", F.array_intersect("terms", picked).alias("t")).collect()
-    label = np.array([r["toxic"] for r in small], float)
-    row = np.repeat(np.arange(len(small)), [len(r["t"]) for r in small])
-    bucket = np.array([t for r in small for t in r["t"]], np.int64)
-    return machine.fit(row, machine.number[bucket], label)
+    if not 0 < positive < n:
+        return Machine(np.zeros(0, np.int64), float(bias))
+    # The sample's terms: at most ``max_sample`` lists of at most 2**BITS numbers.
+    sample = rows.select("toxic", "terms").toArrow().combine_chunks()
+    label = sample.column("toxic").to_numpy().astype(float)
+    lists = sample.column("terms").combine_chunks()
+    begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    bucket = lists.flatten().to_numpy()
+    toxic = np.bincount(bucket, np.repeat(label, np.diff(begin)), 1 << BITS)
+    every = np.bincount(bucket, minlength=1 << BITS)
+    terms = np.flatnonzero(every)
+    # One text more of each label's share of every term.
+    share = positive / n
+    ratio = np.log((toxic[terms] + share) / (positive + 1)) - np.log((every - toxic)[terms] + 1 - share) + np.log(n - positive + 1)
+    machine = Machine(terms, float(bias), ratio)
+    return machine.fit(begin, machine.number.astype(np.int32)[bucket], label)
 
 
 def scores(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with ``score``, 0 to 1, of the whole text; null and empty texts have no terms."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)  # 2**BITS numbers and the weights
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2**BITS features
     columns = [c for c in docs.columns if c != "score"]
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 

@@ -103,6 +103,22 @@ def test_toxicity_learns_pairs(spark, docs):
     assert (machine.weights == keep).all()
 
 
+def test_toxicity_learns_pairs_among_many_stronger_terms(spark, docs):
+    """Each member of a pair is as frequent in both labels, and thousands of other terms differ by chance."""
+    random.seed(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = ["".join(random.choice(letters) for _ in range(4)) for _ in range(6000)]
+    rows, labels = [], []
+    for i in range(4000):
+        words = random.sample(noise, 12) + ["fool" if i % 2 else "dear", "gnomes" if i // 2 % 2 else "people"]
+        random.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 2 == i // 2 % 2)))
+    machine = toxicity.fit(docs(rows), spark.createDataFrame(labels[:3000], "doc_id bigint, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scores(docs(rows[3000:]), machine).collect()}
+    assert auc(*zip(*[(y, got[i]) for i, y in labels[3000:]])) > 0.97
+
+
 def test_toxicity_of_odd_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     machine = toxicity.fit(docs([(1, "a")]), none)
