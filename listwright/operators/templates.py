@@ -23,17 +23,33 @@ def _parsed(text: Column) -> Column:
     return F.from_json(text, _DEFINITION)
 
 
-def _with_effective(df: DataFrame, text: str, out: str) -> DataFrame:
+def _with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> DataFrame:
     """Adds a definition with its composed blocks merged in: own values first, then block by block.
 
+    Of a member that is described more than once the last description counts and earlier ones fill its
+    gaps; in a ``root`` definition its own description counts before those of its blocks.
+
     The text is parsed once; the steps are columns of their own so that no step is repeated.
     """
+    strings = F.array().cast("array<string>")
+    entry = "array<struct<key:string,value:string>>"
+    def marked(d: Column) -> Column:
+        return F.struct(d.alias("d"), F.coalesce(d["allOf"].isNotNull(), F.lit(False)).alias("closed"))
+
+    def opened(b: Column) -> Column:
+        own = F.struct(b["d"].alias("d"), F.lit(False).alias("closed"))
+        blocks = F.transform(F.transform(b["d"]["allOf"], _parsed), marked)
+        return F.when(b["closed"], F.concat(F.array(own), blocks)).otherwise(F.array(b))
+
     strings = F.array().cast("array<string>")
     entry = "array<struct<key:string,value:string>>"
     parsed = df.withColumn("_own", _parsed(F.col(text)))
-    parsed = parsed.withColumn(
-        "_defs", F.concat(F.array("_own"), F.transform(F.coalesce("_own.allOf", strings), _parsed))
-    )
+    parsed = parsed.withColumn("_blocks", F.flatten(F.transform(F.array(marked(F.col("_own"))), opened)))
+    # Blocks of blocks, a round per level, own values before those of inner blocks.
+    closed = F.exists("_blocks", lambda b: b["closed"])
+    while not parsed.where(F.col(text).rlike('(?s)"allOf".*"allOf"') & closed).isEmpty():
+        parsed = cut(parsed.withColumn("_blocks", F.flatten(F.transform("_blocks", opened))))
+    parsed = parsed.withColumn("_defs", F.transform("_blocks", lambda b: b["d"])).drop("_blocks")
 
     def first(name: str) -> Column:
         values = F.transform("_defs", lambda d: d[name])
@@ -41,10 +57,26 @@ def _with_effective(df: DataFrame, text: str, out: str) -> DataFrame:
 
     entries = F.flatten(F.transform("_defs", lambda d: F.coalesce(F.map_entries(d["properties"]), F.array().cast(entry))))
 
+    def of_name(found: Column, key: Column) -> Column:
+        same = F.filter(found, lambda e: (e["key"] == key) & e["value"].startswith("{"))
+        later = F.reverse(F.transform(same, lambda e: e["value"]))
+        if not root:
+            return later
+        own = F.col("_own.properties")[key]
+        return F.when(own.startswith("{"), F.concat(F.array(own), F.slice(later, 1, F.size(later) - 1))).otherwise(later)
+
+    def member(found: Column, e: Column) -> Column:
+        """A member described more than once is composed of its descriptions."""
+        whole = cells.once(
+            of_name(found, e["key"]),
+            lambda v: F.when(F.size(v) > 1, F.concat(F.lit('{"allOf":['), F.array_join(v, ","), F.lit("]}"))).otherwise(e["value"]),
+        )
+        return F.struct(e["key"].alias("key"), whole.alias("value"))
 
     def first_of_name(found: Column) -> Column:
         names = F.transform(found, lambda e: e["key"])
-        return cells.once(names, lambda n: F.filter(found, lambda e, i: F.array_position(n, e["key"]) == i + 1))
+        firsts = cells.once(names, lambda n: F.filter(found, lambda e, i: F.array_position(n, e["key"]) == i + 1))
+        return F.transform(firsts, lambda e: member(found, e))
 
     unique = cells.once(entries, first_of_name)
     required = F.array_distinct(F.flatten(F.transform("_defs", lambda d: F.coalesce(d["required"], strings))))
@@ -72,7 +104,7 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
     untyped members are skipped. One pass per nesting level over all definitions at once.
     """
     start = defs.select(F.col(def_col).alias("def"), F.col(json_col).alias("json"))
-    level = _with_effective(start, "json", "e").select(
+    level = _with_effective(start, "json", "e", root=True).select(
         "def", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_array"),
         F.array().cast("array<int>").alias("pos"), "e",
     )
@@ -172,10 +204,24 @@ def conditional_required_columns(columns: DataFrame, conditions: DataFrame) -> D
     )
 
 
-def enum_of(text: Column) -> Column:
+def enum_of(text: Column, depth: int) -> Column:
     """First list of allowed values: own; else, block by block, the block's or one of its own blocks';
-    else those of the blocks' members, one after the other, found in the same way."""
-    return F.when(text.contains('"enum"'), _options(_parsed(text), 1))
+    else those of the blocks' members, one after the other, found in the same way to ``depth`` levels."""
+    return F.when(text.contains('"enum"'), _options(_parsed(text), depth))
+
+
+def _member_levels(df: DataFrame, text: str) -> int:
+    """How many levels of blocks' members have to be opened to reach all allowed values."""
+    level, depth = df.select(F.col(text).alias("text")), 0
+    while True:
+        composed = F.col("text").contains('"enum"') & F.col("text").contains('"allOf"')
+        blocks = level.where(composed).select(_parsed(F.col("text")).alias("d")).where("d.enum IS NULL").select(
+            F.explode("d.allOf").alias("block")
+        )
+        level = cut(blocks.select(F.explode(_parsed(F.col("block"))["properties"]).alias("key", "text")).select("text").distinct())
+        if level.isEmpty():
+            return depth
+        depth += 1
 
 
 def _options(parsed: Column, depth: int) -> Column:
@@ -209,12 +255,12 @@ def _options_of_member(text: Column, depth: int) -> Column:
 
 def collect_enum_options(defs: DataFrame, def_col: str, json_col: str) -> DataFrame:
     """``(def, pos, option)`` of every definition that offers a choice."""
-    return defs.select(F.col(def_col).alias("def"), F.posexplode(enum_of(F.col(json_col))).alias("pos", "option"))
+    return defs.select(F.col(def_col).alias("def"), F.posexplode(enum_of(F.col(json_col), _member_levels(defs, json_col))).alias("pos", "option"))
 
 
 def template_columns(leaves: DataFrame) -> DataFrame:
     """Leaves -> template columns with entry type and read-only value."""
-    options = enum_of(F.col("source"))
+    options = enum_of(F.col("source"), _member_levels(leaves, "source"))
     # A list of types counts as a number when it names one.
     many = F.from_json("type", "array<string>")
     kind = F.when(F.array_contains(many, "number"), F.lit("number")).when(

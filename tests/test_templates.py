@@ -33,6 +33,33 @@ def test_composed_blocks_fill_gaps(spark):
     assert found == {"/a": ("string", "a", True), "/b": ("number", "B", False)}
 
 
+def test_blocks_of_blocks_are_opened(spark):
+    def nested(d, times):
+        return d if not times else {"allOf": [nested(d, times - 1)]}
+
+    d = {"properties": {f"k{n}": nested({"type": "string", "title": f"T{n}"}, n) for n in range(5)}, "allOf": [nested({"properties": {"in": {"type": "number"}}, "required": ["in"]}, 3)]}
+    found = {r["path"]: (r["type"], r["title"], r["required"]) for r in leaves(spark, d).collect()}
+    assert found == {f"/k{n}": ("string", f"T{n}", False) for n in range(5)} | {"/in": ("number", "in", True)}
+
+
+def test_members_described_twice_are_merged(spark):
+    """The last description counts, a definition's own at the top; the others fill gaps."""
+    first, second, third = {"type": "string", "title": "F"}, {"title": "A", "format": "date"}, {"description": "d"}
+    blocks = [{"properties": {"a": first}}, {"allOf": [{"properties": {"a": second}}, {"properties": {"a": third}}]}]
+    defs = [{"allOf": blocks}, {"properties": {"a": {"title": "own"}}, "allOf": blocks}, {"properties": {"o": {"type": "object", "allOf": blocks}}}]
+    found = {(r["def"], r["path"], r["type"], r["title"], r["format"], r["description"]) for r in leaves(spark, *defs).collect()}
+    assert found == {(0, "/a", "string", "A", "date", "d"), (1, "/a", "string", "own", "date", "d"), (2, "/o/a", "string", "A", "date", "d")}
+
+
+def test_options_of_deep_members(spark):
+    def inside(d, times):
+        return d if not times else {"allOf": [{"properties": {"m": inside(d, times - 1)}}]}
+
+    df = spark.createDataFrame([(n, json.dumps(inside({"enum": ["x", f"y{n}"]}, n))) for n in range(5)], "def int, json string")
+    found = {(r["def"], r["option"]) for r in templates.collect_enum_options(df, "def", "json").collect()}
+    assert found == {(n, o) for n in range(5) for o in ("x", f"y{n}")}
+
+
 def test_depth_limit(spark):
     d = {"properties": {"a": {"type": "object", "properties": {"b": {"type": "object", "properties": {"c": {"type": "string"}}}}}, "t": {"type": "string"}}}
     df = spark.createDataFrame([(1, json.dumps(d))], "def int, json string")
