@@ -73,6 +73,18 @@ def test_near_documents_against_brute_force(docs):
     assert near_dedup.near_groups(docs([])).count() == 0
 
 
+def test_weights_are_of_the_shingles_own_counts(docs):
+    """Also with more shingles than any table of buckets holds apart."""
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(400)) + (" one two three four five" if i % 3 == 0 else "")) for i in range(900)]
+    sampler = near_dedup.fit_weights(docs(rows))
+    want = lambda n: 1 + np.log(901 / (1 + n)) / np.log(902)
+    for text, n in (("d5w1 d5w2 d5w3 d5w4 d5w5 d5w6 d5w7", 1), ("one two three four five", 300)):
+        weight = sampler.weighted(*near_dedup.text_column(pa.array([text])))[2]
+        assert np.allclose(weight, want(n), atol=1e-5)
+    few = near_dedup.fit_weights(docs(rows), most=2000)
+    assert len(few.often) == 2 and np.isclose(few.rare, want(1))
+
+
 def plain_similarity(sampler, a, b):
     weights = []
     for text in (a, b):
