@@ -47,7 +47,7 @@ def checksums(data: np.ndarray, begin: np.ndarray, end: np.ndarray, before: np.n
     """crc32 of the byte spans [begin, end), each going on from the crc32 ``before`` it."""
     state = before ^ np.uint32(0xFFFFFFFF)
     size = end - begin
-    live, at = np.flatnonzero(size <= _LONG), 0
+    live, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
     while len(live):
         now = state[live]
         state[live] = _CRC[(now ^ data[begin[live] + at]) & 0xFF] ^ (now >> 8)
