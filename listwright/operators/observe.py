@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
-from listwright.sources.storage import small
+from listwright.sources.storage import small, small_or_none
 
 
 def _violation(check: str, name: Column | str, detail: Column) -> Column:
@@ -52,14 +52,17 @@ def validate_required(obs: DataFrame, id_col: str, required: Sequence[str] = ENV
 
 
 def validate_enum(obs: DataFrame, id_col: str, col: str, options: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Values that are not among the options ``(*by, value)`` of their theme."""
-    allowed = small(options.select(*by, F.col("value").alias("_value")).distinct()).withColumn("_ok", F.lit(True))
-    on = F.col(col) == F.col("_value")
-    keys = list(by)
-    for k in keys:
-        allowed = allowed.withColumnRenamed(k, f"_{k}")
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    hit = obs.where(F.col(col).isNotNull()).join(allowed, on, "left").where("_ok IS NULL")
+    """Values that are not among the options ``(*by, value)`` of their theme. A theme without options
+    asks for nothing, as an empty list of options is no list."""
+    keys = [F.col(k).alias(f"_{k}") for k in by]
+    allowed = small_or_none(options.select(*keys, F.col("value").alias("_value")).distinct())
+    given = obs.where(F.col(col).isNotNull())
+    if allowed is None:
+        return _exploded(given.limit(0), id_col, [_violation("enum", col, F.col(col))])
+    same = [F.col(k) == F.col(f"_{k}") for k in by]
+    if by:
+        given = given.join(small(options.select(*keys).distinct()), same, "left_semi")
+    hit = given.join(allowed, [F.col(col) == F.col("_value"), *same], "left_anti")
     return _exploded(hit, id_col, [_violation("enum", col, F.col(col))])
 
 
@@ -182,9 +185,9 @@ def _checked(obs: DataFrame, rules: RuleSet) -> DataFrame:
     """Observations with the array of their violations, in one pass over them."""
     checks = _missing(rules.required)
     prop, unit, value = F.col("observedProperty"), F.col("hasResult.hasUnit"), F.col("hasResult.numericValue")
-    if rules.options is not None:
-        table = small(rules.options.select(F.col("value").alias("_option")).distinct()).withColumn("_in", F.lit(True))
-        obs = obs.join(table, prop == F.col("_option"), "left")
+    offered = None if rules.options is None else small_or_none(rules.options.select(F.col("value").alias("_option")).distinct())
+    if offered is not None:  # an empty list of options asks for nothing
+        obs = obs.join(offered.withColumn("_in", F.lit(True)), prop == F.col("_option"), "left")
         checks.append(F.when(prop.isNotNull() & F.col("_in").isNull(), _violation("enum", "observedProperty", prop)))
     if rules.bounds is not None:
         table = small(

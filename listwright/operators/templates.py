@@ -31,8 +31,6 @@ def _with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> D
 
     The text is parsed once; the steps are columns of their own so that no step is repeated.
     """
-    strings = F.array().cast("array<string>")
-    entry = "array<struct<key:string,value:string>>"
     def marked(d: Column) -> Column:
         return F.struct(d.alias("d"), F.coalesce(d["allOf"].isNotNull(), F.lit(False)).alias("closed"))
 
@@ -181,8 +179,9 @@ def conditional_required_columns(columns: DataFrame, conditions: DataFrame) -> D
         "def",
         F.concat(F.coalesce(F.concat(F.lit("/"), "key"), F.lit("")), F.lit("/"), "name").alias("path"),
         "name", "title", "const", F.coalesce("required", F.lit(False)).alias("required"), "type", "format",
-        # Blocks without a place keep one fixed order: those that only require come first.
-        F.struct(F.coalesce("block_pos", F.lit(0)), F.col("const").isNotNull(), "const", "title").alias("at"),
+        # Places should be unique. Blocks of one place, or without any, keep one fixed order: those that only
+        # require come first, and then all that they say decides.
+        F.struct(F.coalesce("block_pos", F.lit(0)), F.col("const").isNotNull(), "const", "title", "type", "format", "required").alias("at"),
     )
     fixes = F.col("const").isNotNull() & ~F.col("required")
     per_path = blocks.groupBy("def", "path").agg(

@@ -40,7 +40,7 @@ v_required AS (
   UNION ALL SELECT event_id, 'required', 'hasResult', 'missing' FROM o WHERE NOT has_result
   UNION ALL SELECT event_id, 'required', 'numericValue', 'missing' FROM o WHERE num IS NULL
   UNION ALL SELECT event_id, 'required', 'hasUnit', 'missing' FROM o WHERE unit IS NULL),
-v_enum AS (SELECT event_id, 'enum' AS check, 'observedProperty' AS field, event_type AS detail FROM o WHERE event_type NOT IN (SELECT event_type FROM events GROUP BY event_type HAVING max(value) > 345)),
+v_enum AS (SELECT event_id, 'enum' AS check, 'observedProperty' AS field, event_type AS detail FROM o WHERE event_type NOT IN (SELECT event_type FROM events GROUP BY event_type HAVING max(value) > 345) AND (SELECT max(value) FROM events) > 345),
 bounds AS (SELECT event_type AS property, avg_cents / 100.0 AS minimum, 4 * avg_cents / 100.0 AS maximum FROM (SELECT event_type, cast(floor(avg(value)) AS INTEGER) * 100 AS avg_cents FROM events WHERE event_type <> 'error' GROUP BY event_type)),
 v_bounds AS (SELECT event_id, 'minimum' AS check, 'numericValue' AS field, cast(num AS VARCHAR) AS detail FROM o JOIN bounds ON event_type = property WHERE num < minimum
   UNION ALL SELECT event_id, 'maximum', 'numericValue', cast(num AS VARCHAR) FROM o JOIN bounds ON event_type = property WHERE num > maximum),

@@ -119,7 +119,7 @@ def merge_inherit(spark, t):
 CONDITIONAL = """WITH cols AS (SELECT DISTINCT l_orderkey AS def, '/group/line' || l_linenumber AS path, 'Line ' || l_linenumber AS title, 'number' AS ui_type, l_linenumber = 7 AS required, NULL AS readonly_value FROM lineitem),
 blocks AS (SELECT l_orderkey AS def, '/group/line' || (l_linenumber // 2 + 1) AS path, 'line' || (l_linenumber // 2 + 1) AS name, l_returnflag = 'R' AS required,
   CASE WHEN l_returnflag <> 'N' OR l_linenumber = 3 THEN l_linestatus || l_partkey END AS const, CASE WHEN l_linenumber > 4 THEN 'number' ELSE 'string' END AS type,
-  CASE WHEN l_linestatus = 'O' THEN 'date' END AS format, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS bpos FROM lineitem),
+  CASE WHEN l_linestatus = 'O' THEN 'date' END AS format, (l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey) * 6 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + (l_linestatus = 'O')::INTEGER AS bpos FROM lineitem),
 conds AS (SELECT def, path, name, bool_or(required) AS required, arg_min(const, bpos) FILTER (WHERE const IS NOT NULL AND NOT required) AS fixed,
   arg_min(struct_pack(c := const, t := type, f := format), bpos) AS f FROM blocks GROUP BY ALL)
 """
@@ -142,7 +142,10 @@ def conditional(spark, t):
     )
     nxt = F.concat(F.lit("line"), F.expr("l_linenumber div 2 + 1"))
     n = F.col("l_linenumber")
-    at = F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey")
+    at = F.expr(
+        "(l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey) * 6 "
+        "+ CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + int(l_linestatus = 'O')"
+    )
     fixed = F.when((F.col("l_returnflag") != "N") | (n == 3), F.concat("l_linestatus", "l_partkey"))
     kind = F.when(n > 4, F.lit("number")).otherwise(F.lit("string"))
     block = lambda key, name, const, required: F.struct(

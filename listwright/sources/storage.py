@@ -60,9 +60,17 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows reach the driver. A larger table keeps its own plan and
     Spark joins it by shuffling.
     """
+    found = small_or_none(df, max_rows)
+    return F.broadcast(df.sparkSession.createDataFrame([], df.schema)) if found is None else found
+
+
+def small_or_none(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
+    """As ``small``, but nothing for a table without rows; a stream is not looked into."""
     if df.isStreaming:
         return df
     rows = df.limit(max_rows + 1).collect()
+    if not rows:
+        return None
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

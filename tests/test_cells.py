@@ -141,7 +141,7 @@ def test_local_name(spark, value, expected):
 def test_long_texts_and_long_numbers(spark):
     text = "a" + "b" * 1_500_000
     row = spark.createDataFrame([(text, "0x100000000000000000", "0xFF")], "t string, n string, m string").select(
-        F.length(C.property_name("t")).alias("p"), F.length(C.status_iri("t", "")).alias("s"),
-        C.parse_number("n").alias("n"), C.parse_number("m").alias("m"),
+        F.length(cells.property_name("t")).alias("p"), F.length(cells.status_iri("t", "")).alias("s"),
+        cells.parse_number("n").alias("n"), cells.parse_number("m").alias("m"),
     ).first()
     assert (row["p"], row["s"], row["n"], row["m"]) == (len(text), len(text), float(1 << 68), 255.0)
