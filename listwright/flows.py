@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
-from listwright.operators import checks, infer, ordering, references, rules, shapes, templates
+from listwright.operators import checks, definitions, infer, ordering, references, rules, shapes, templates
 from listwright.operators.checks import ViolationsFound
 from listwright.operators.ranking import sorted_numbers
 from listwright.operators.release import change_counts, release_triples
@@ -201,15 +201,34 @@ def theme_tables(rules: ThemeRules) -> ThemeTables:
     )
 
 
-def derive_templates(defs: DataFrame, def_col: str, json_col: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(columns, options)``: ordered template columns with their sheet, and labelled choices."""
-    leaves = cut(templates.flatten_schema_paths(defs, def_col, json_col))
+def derive_templates(
+    defs: DataFrame, def_col: str, json_col: str, labels: DataFrame, base: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(columns, options)``: ordered template columns with their sheet, and labelled choices.
+
+    References between definitions, and into those of ``base`` which get no columns of their own, are opened
+    first. What conditional blocks add comes behind a definition's own columns, in the blocks' order.
+    """
+    given = defs.select(F.col(def_col).cast("string").alias("def"), F.col(json_col).alias("json"), F.lit(True).alias("asked"))
+    if base is not None:
+        given = given.unionByName(base.select(F.col(def_col).cast("string").alias("def"), F.col(json_col).alias("json"), F.lit(False).alias("asked")))
+    opened = cut(definitions.resolve_references(given, "def", "json").where("asked").select("def", "json"))
+    leaves = cut(templates.flatten_schema_paths(opened, "def", "json"))
     flat = templates.template_columns(leaves)
     ranked = flat.withColumn("at", F.col("pos")).drop("pos")
     numbered = sorted_numbers(ranked, ["def"], ["at"], "pos")
     best = templates.dedupe_most_complete(
         numbered.drop("at"), ["def", "path"], ["title", "description", "readonly_value", "parent_array", "ui_after"], "pos"
     )
+    described = best.select("def", "path", "description", "parent_array", F.col("pos").alias("at"), "ui_first", "ui_after")
+    conditional = templates.conditional_required_columns(
+        best.select("def", "path", "title", "ui_type", "required", "readonly_value"),
+        definitions.conditional_blocks(opened, "def", "json"), with_place=True,
+    )
+    both = conditional.join(described, ["def", "path"], "left").withColumns(
+        {"late": F.col("at").isNull(), "ui_first": F.coalesce("ui_first", F.lit(False))}
+    )
+    best = cut(sorted_numbers(both, ["def"], ["late", "at", "block_pos", "path"], "pos").drop("late", "at", "block_pos"))
     placed = ordering.order_columns(
         best.select("def", "path", "title", "pos", F.col("ui_after").alias("after"), F.col("ui_first").alias("first")), ["def"]
     )

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from listwright.functions import cells, vocab
 from listwright.sources.storage import cut
 
+# Holds what a reference of a definition leads to; read like the first block of allOf.
+OPENED = "$open"
 _DEFINITION = (
+    f"`{OPENED}` array<string>, "
     "type string, title string, description string, format string, const string, enum array<string>, "
     "required array<string>, properties map<string,string>, items string, allOf array<string>, "
     "`x-ui-first` boolean, `x-ui-after` string"
@@ -23,7 +26,17 @@ def _parsed(text: Column) -> Column:
     return F.from_json(text, _DEFINITION)
 
 
-def _with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> DataFrame:
+def _blocks_of(d: Column) -> Column:
+    """Texts of the blocks that a parsed definition is composed of."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(d[OPENED], none), F.coalesce(d["allOf"], none))
+
+
+def _is_composed(d: Column) -> Column:
+    return F.coalesce(d["allOf"].isNotNull() | d[OPENED].isNotNull(), F.lit(False))
+
+
+def with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> DataFrame:
     """Adds a definition with its composed blocks merged in: own values first, then block by block.
 
     Of a member that is described more than once the last description counts and earlier ones fill its
@@ -32,11 +45,11 @@ def _with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> D
     The text is parsed once; the steps are columns of their own so that no step is repeated.
     """
     def marked(d: Column) -> Column:
-        return F.struct(d.alias("d"), F.coalesce(d["allOf"].isNotNull(), F.lit(False)).alias("closed"))
+        return F.struct(d.alias("d"), _is_composed(d).alias("closed"))
 
     def opened(b: Column) -> Column:
         own = F.struct(b["d"].alias("d"), F.lit(False).alias("closed"))
-        blocks = F.transform(F.transform(b["d"]["allOf"], _parsed), marked)
+        blocks = F.transform(F.transform(_blocks_of(b["d"]), _parsed), marked)
         return F.when(b["closed"], F.concat(F.array(own), blocks)).otherwise(F.array(b))
 
     strings = F.array().cast("array<string>")
@@ -45,7 +58,7 @@ def _with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> D
     parsed = parsed.withColumn("_blocks", F.flatten(F.transform(F.array(marked(F.col("_own"))), opened)))
     # Blocks of blocks, a round per level, own values before those of inner blocks.
     closed = F.exists("_blocks", lambda b: b["closed"])
-    while not parsed.where(F.col(text).rlike('(?s)"allOf".*"allOf"') & closed).isEmpty():
+    while not parsed.where(F.col(text).rlike(r'(?s)"(allOf|\$open)".*"(allOf|\$open)"') & closed).isEmpty():
         parsed = cut(parsed.withColumn("_blocks", F.flatten(F.transform("_blocks", opened))))
     parsed = parsed.withColumn("_defs", F.transform("_blocks", lambda b: b["d"])).drop("_blocks")
 
@@ -87,7 +100,7 @@ def _with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> D
         F.coalesce(F.map_entries("_own.properties"), empty).alias("properties"),
         F.array_distinct(F.coalesce("_own.required", strings)).alias("required"),
     )
-    return parsed.withColumn(out, F.when(F.col("_own.allOf").isNull(), alone).otherwise(merged)).drop("_own", "_defs")
+    return parsed.withColumn(out, F.when(_is_composed(F.col("_own")), merged).otherwise(alone)).drop("_own", "_defs")
 
 
 def _is_leaf_type(kind: Column) -> Column:
@@ -102,7 +115,7 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
     untyped members are skipped. One pass per nesting level over all definitions at once.
     """
     start = defs.select(F.col(def_col).alias("def"), F.col(json_col).alias("json"))
-    level = _with_effective(start, "json", "e", root=True).select(
+    level = with_effective(start, "json", "e", root=True).select(
         "def", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_array"),
         F.array().cast("array<int>").alias("pos"), "e",
     )
@@ -116,10 +129,10 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
             F.array_contains("required", F.col("m.key")).alias("is_required"), "parent_array",
             F.concat("pos", F.array("at")).alias("pos"), F.col("m.value").alias("source"),
         )
-        members = cut(_with_effective(named, "source", "e")).where("e.type IS NOT NULL AND e.type <> 'null'")
+        members = cut(with_effective(named, "source", "e")).where("e.type IS NOT NULL AND e.type <> 'null'")
         with_items = ~is_object & F.col("e.items").isNotNull()
         # Only members that have items are parsed a level further.
-        lists = _with_effective(members.where(with_items).withColumn("_items", F.col("e.items")), "_items", "i").drop("_items")
+        lists = with_effective(members.where(with_items).withColumn("_items", F.col("e.items")), "_items", "i").drop("_items")
         opens = F.size("i.properties") > 0
         plain = members.where(~is_object & ~with_items).unionByName(lists.where(~opens).drop("i"))
         leaves.append(
@@ -161,38 +174,40 @@ def merge_definitions(
     return merged.unionByName(names)
 
 
-def conditional_required_columns(columns: DataFrame, conditions: DataFrame) -> DataFrame:
+def conditional_required_columns(columns: DataFrame, conditions: DataFrame, with_place: bool = False) -> DataFrame:
     """Columns after the conditional blocks.
 
     ``columns (def, path, title, ui_type, required, readonly_value)``, ``conditions (def, key,
-    name, title, const, required)`` and, if they are known, ``block_pos``, ``type``, ``format``: a
-    block on composite ``key`` (null for a plain member) that names member ``name``. Blocks count in
+    name, title, const, required)`` and, if they are known, ``block_pos`` (anything that orders),
+    ``type``, ``format``, ``n_options``: a block on composite ``key`` (null for a plain member) that names member ``name``. Blocks count in
     the order of ``block_pos``. A named column becomes required, or read-only with the first value that
     a block fixes without requiring it; a missing one is added as its first block describes it. Bare
-    markers (no name) and envelope members that carry only constraints are skipped.
+    markers (no name) and envelope members that carry only constraints are skipped. ``with_place`` adds
+    the place of the first block that names a column.
     """
-    for name, kind in (("block_pos", "long"), ("type", "string"), ("format", "string")):
+    for name, kind in (("block_pos", "long"), ("type", "string"), ("format", "string"), ("n_options", "int")):
         if name not in conditions.columns:
             conditions = conditions.withColumn(name, F.lit(None).cast(kind))
     envelope = F.col("key").isNull() & F.col("name").isin(*vocab.ENVELOPE_FIELDS)
     blocks = conditions.where(F.col("name").isNotNull() & ~envelope).select(
         "def",
         F.concat(F.coalesce(F.concat(F.lit("/"), "key"), F.lit("")), F.lit("/"), "name").alias("path"),
-        "name", "title", "const", F.coalesce("required", F.lit(False)).alias("required"), "type", "format",
+        "name", "title", "const", F.coalesce("required", F.lit(False)).alias("required"), "type", "format", "n_options", "block_pos",
         # Places should be unique. Blocks of one place, or without any, keep one fixed order: those that only
         # require come first, and then all that they say decides.
-        F.struct(F.coalesce("block_pos", F.lit(0)), F.col("const").isNotNull(), "const", "title", "type", "format", "required").alias("at"),
+        F.struct("block_pos", F.col("const").isNotNull(), "const", "title", "type", "format", "required").alias("at"),
     )
     fixes = F.col("const").isNotNull() & ~F.col("required")
     per_path = blocks.groupBy("def", "path").agg(
-        F.min_by(F.struct("name", "title", "const", "type", "format"), "at").alias("_new"),
+        F.min_by(F.struct("name", "title", "const", "type", "format", "n_options"), "at").alias("_new"),
         F.min_by(F.when(fixes, F.col("const")), F.when(fixes, F.col("at"))).alias("_const"),
         F.bool_or("required").alias("_required"),
+        F.min("block_pos").alias("block_pos"),
     )
     added = F.col("ui_type").isNull()
     value = F.coalesce("readonly_value", F.when(added, F.col("_new.const")), "_const")
     set_here = F.col("readonly_value").isNull() & value.isNotNull()
-    described = cells.map_entry_type(F.lit(None), F.lit(0), F.col("_new.type"), F.col("_new.format"))
+    described = cells.map_entry_type(F.lit(None), F.coalesce("_new.n_options", F.lit(0)), F.col("_new.type"), F.col("_new.format"))
     return columns.join(per_path, ["def", "path"], "full").select(
         "def",
         "path",
@@ -200,6 +215,7 @@ def conditional_required_columns(columns: DataFrame, conditions: DataFrame) -> D
         F.when(set_here, F.lit("readonly")).when(added, described).otherwise(F.col("ui_type")).alias("ui_type"),
         (F.coalesce("required", F.lit(False)) | F.coalesce("_required", F.lit(False))).alias("required"),
         value.alias("readonly_value"),
+        *(["block_pos"] if with_place else []),
     )
 
 
@@ -209,13 +225,18 @@ def enum_of(text: Column, depth: int) -> Column:
     return F.when(text.contains('"enum"'), _options(_parsed(text), depth))
 
 
+def count_options(text: Column) -> Column:
+    """How many values a definition allows, itself or in its blocks; null if it names none."""
+    return F.nullif(F.size(F.coalesce(enum_of(text, 0), F.array().cast("array<string>"))), F.lit(0))
+
+
 def _member_levels(df: DataFrame, text: str) -> int:
     """How many levels of blocks' members have to be opened to reach all allowed values."""
     level, depth = df.select(F.col(text).alias("text")), 0
     while True:
-        composed = F.col("text").contains('"enum"') & F.col("text").contains('"allOf"')
+        composed = F.col("text").contains('"enum"') & F.col("text").rlike(r'"(allOf|\$open)"')
         blocks = level.where(composed).select(_parsed(F.col("text")).alias("d")).where("d.enum IS NULL").select(
-            F.explode("d.allOf").alias("block")
+            F.explode(_blocks_of(F.col("d"))).alias("block")
         )
         level = cut(blocks.select(F.explode(_parsed(F.col("block"))["properties"]).alias("key", "text")).select("text").distinct())
         if level.isEmpty():
@@ -228,7 +249,7 @@ def _options(parsed: Column, depth: int) -> Column:
     none = F.array().cast("array<string>")
 
     def blocks_of(d: Column) -> Column:
-        return F.transform(F.coalesce(d["allOf"], none), _parsed)
+        return F.transform(_blocks_of(d), _parsed)
 
     def first(lists: Column) -> Column:
         return F.get(F.array_compact(lists), F.lit(0))

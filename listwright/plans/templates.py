@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listwright.operators import definitions as published
 from listwright.operators import templates
 from listwright.plans.registry import query
+from listwright.sources.storage import cut
 
 
 def definitions(t):
@@ -69,6 +71,73 @@ def grouped(spark, t):
     return templates.theme_group_columns(named).drop("pos")
 
 
+def documents(t):
+    """Definitions as published: one for each part that refers to its brand's, which refers to a common one and
+    to itself; with conditional blocks, one inside another for large parts."""
+    json = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)])
+    common = t.region.limit(1).select(
+        F.lit("http://example.org/v1/common.json").alias("def"),
+        F.lit('{"properties":{"text":{"type":"string","format":"date","title":"Text"}}}').alias("json"),
+    )
+    file = F.replace(F.col("p_brand"), F.lit("#"), F.lit("-"))  # a document's name has no fragment mark
+    brands = t.part.select("p_brand", file.alias("file")).distinct().select(
+        json("base-", "file", ".json").alias("def"),
+        json('{"properties":{"maker":{"type":"string","const":"', "p_brand", '"},"label":{"$ref":"#/properties/other"},'
+             '"other":{"$ref":"common.json#/properties/text","title":"Other ', "p_brand", '"},'
+             '"tree":{"type":"object","properties":{"kid":{"$ref":"#/properties/tree"},"v":{"type":"number"}}}}}').alias("json"),
+    )
+    inner = F.when(F.col("p_size") > 25, ',"allOf":[{"if":{},"then":{"properties":{"extra":{"$ref":"common.json#/properties/text"}}}}]').otherwise("")
+    parts = t.part.withColumns({"inner": inner, "file": file}).select(
+        F.col("p_partkey").cast("string").alias("def"),
+        json('{"required":["size"],"allOf":[{"$ref":"base-', "file", '.json"},{"if":{"required":["x"]},"then":{"properties":{"group":{"required":["a"],'
+             '"properties":{"a":{"title":"', "p_type", '","type":"number"},"b":{"type":"string"}}},"size":{"const":"', "p_size",
+             '"},"hasResult":{"required":["unit"]},"mark":{}}', "inner", '}}],"properties":{"size":{"$ref":"base-', "file",
+             '.json#/properties/label","title":"', "p_name", '"},"lost":{"$ref":"nowhere.json#/x"}}}').alias("json"),
+    )
+    return common.unionByName(brands).unionByName(parts)
+
+
+PUBLISHED = """WITH p AS (SELECT cast(p_partkey AS VARCHAR) AS def, * FROM part), found AS (
+  SELECT def, '/size' AS path, 'string' AS type, p_name AS title, 'date' AS format, NULL AS const, true AS required FROM p
+  UNION ALL SELECT def, '/maker', 'string', 'maker', NULL, p_brand, false FROM p
+  UNION ALL SELECT def, '/label', 'string', 'Other ' || p_brand, 'date', NULL, false FROM p
+  UNION ALL SELECT def, '/other', 'string', 'Other ' || p_brand, 'date', NULL, false FROM p
+  UNION ALL SELECT def, '/tree/v', 'number', 'v', NULL, NULL, false FROM p)
+"""
+
+
+def of_parts(df):
+    return df.where(F.col("def").rlike("^[0-9]+$"))
+
+
+@query("resolve_references", PUBLISHED + "SELECT * FROM found")
+def references(spark, t):
+    opened = of_parts(published.resolve_references(documents(t), "def", "json"))
+    return templates.flatten_schema_paths(opened, "def", "json").select("def", "path", "type", "title", "format", "const", "required")
+
+
+@query(
+    "reference_problems",
+    """SELECT cast(p_partkey AS VARCHAR) AS def, 'nowhere.json#/x' AS node, 'missing' AS problem FROM part
+       UNION ALL SELECT DISTINCT 'base-' || file || '.json', 'base-' || file || '.json#/properties/tree', 'cyclic' FROM (SELECT replace(p_brand, '#', '-') AS file FROM part)""",
+)
+def problems(spark, t):
+    return published.reference_problems(documents(t), "def", "json")
+
+
+@query(
+    "published_template_columns",
+    PUBLISHED + """SELECT f.def, path, title, CASE WHEN const IS NOT NULL OR path = '/size' THEN 'readonly' WHEN format = 'date' THEN 'date' ELSE 'number' END AS ui_type,
+      required, CASE WHEN path = '/size' THEN cast(p_size AS VARCHAR) ELSE const END AS readonly_value FROM found f JOIN p USING (def)
+      UNION ALL SELECT def, '/group/a', p_type, 'number', true, NULL FROM p UNION ALL SELECT def, '/extra', 'Text', 'date', false, NULL FROM p WHERE p_size > 25""",
+)
+def published_columns(spark, t):
+    opened = cut(of_parts(published.resolve_references(documents(t), "def", "json")))
+    flat = templates.template_columns(cut(templates.flatten_schema_paths(opened, "def", "json")))
+    columns = flat.select("def", "path", "title", "ui_type", "required", "readonly_value")
+    return templates.conditional_required_columns(columns, published.conditional_blocks(opened, "def", "json"))
+
+
 DEFINITION_ROWS = """WITH base AS (SELECT p_partkey AS def, '/name' AS path, 'type' AS key, 'string' AS value FROM part
   UNION ALL SELECT p_partkey, '/name', 'title', p_name FROM part UNION ALL SELECT p_partkey, '/size', 'type', 'number' FROM part
   UNION ALL SELECT p_partkey, '', 'required', 'name' FROM part UNION ALL SELECT p_partkey, '', 'required', 'size' FROM part),
