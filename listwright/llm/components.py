@@ -47,13 +47,14 @@ FEW = 16
 
 
 def linked_groups(
-    members: DataFrame,
+    members: DataFrame | list[DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     in_blocks: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``(node, component)`` over all links among members of one bucket.
 
-    ``members(bucket, id)``, without repeats; ``verify`` takes ``(a, b)``, a < b, and gives the pairs that
+    ``members(bucket, id)``, without repeats, or several such frames without a common bucket, which are
+    dealt one after the other, so that no more than one is on disk at once; ``verify`` takes ``(a, b)``, a < b, and gives the pairs that
     are links. First every member meets the least one of its bucket, which makes one group of a bucket
     of copies for a pair a member. Buckets that still hold more than one group are then compared in full:
     small ones pair by pair, larger ones by ``in_blocks``, which takes ``(bucket, id, own)`` and gives
@@ -63,9 +64,12 @@ def linked_groups(
     that no longer helps, or little is left, all pairs between a bucket's groups are compared. Either way
     no link is missed: two members that are never compared are in one group already.
     """
-    least = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(members.join(least.drop("n"), "bucket"))
-    free(members.sparkSession)
+    shared = None
+    for some in members if isinstance(members, list) else [members]:
+        least = some.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = cut(some.join(least.drop("n"), "bucket"))
+        shared = met if shared is None else shared.unionByName(met)
+        free(some.sparkSession)
     links = _compared(shared.where("id != pivot"), "pivot", verify)
     groups = components(links)
     crossing = None

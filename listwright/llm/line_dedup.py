@@ -1,35 +1,40 @@
-"""Fuzzy line deduplication, in DataFrame functions only.
-
-A line is compared by its runs of eight characters (UTF-16 units), and two lines of at most 160 by
-their runs of three as well, since one changed character breaks eight runs of eight. Distinct lines are written once,
-bucketed by two hashes, so that the aggregate over a line's runs, its MinHash signature, needs no shuffle:
-the least of 40 independent hashes, in generated code. Ten bands of four find pairs at the
-threshold with probability 0.994; candidates whose signatures agree about as often as those of such a
-pair are compared by the exact Jaccard similarity of their runs, and union-find over the links leaves one line per component, its first by (doc_id, place).
+"""Fuzzy line deduplication: MinHash of character runs, banding, exact Jaccard, union-find.
+
+All lines are compared by their runs of five characters. Each distinct line is written once; a pass over
+these draws 102 MinHash values of every line's runs. Seventeen bands of six find a pair at the threshold
+with probability 0.994, and a pair of lines that share a third of their runs with 0.02. Candidates are links
+if the exact Jaccard similarity of their sets of runs reaches the threshold; union-find over the links leaves
+one line per component, its first by (doc_id, place).
+
+Spark splits lines, folds repeated ones, deals buckets and joins; runs are hashed with numpy over Arrow columns,
+as the same in DataFrame functions costs several times what the limits allow (see the README).
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.functions import cells
-from listwright.llm.components import components, linked_groups
+from listwright.llm.boundaries import code_points
+from listwright.llm.components import linked_groups
 from listwright.llm.registry import query, table
+from listwright.llm.text import distinct as numbered
+from listwright.llm.text import groups, least_reached, mix, run_hashes, slices, span_hashes, text_column
 from listwright.sources.storage import cut, free, scratch
 
-SHINGLE = 8
-# Two lines of at most SHORT units are also compared by runs of SHORT_SHINGLE. From 151 units on, two changed
-# characters leave runs of eight alike enough; from 29 (one) and 56 (two) on, runs of three.
-SHORT, SHORT_SHINGLE = 160, 3
+SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 17, 6
+# Bands whose buckets are dealt at once.
+AT_ONCE = 4
 # Ids of lines to compare that are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 500_000
+# Most lines, and bytes of them, of a block of a large bucket.
+BLOCK_ROWS, BLOCK_BYTES = 512, 400_000
+# An odd multiplier for every draw.
+_SEEDS = np.random.default_rng(6).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 # Least of these is the row that stays; rows without an id come last.
 _PLACE = ["late", "doc_id", "line_no", "text_hash"]
@@ -48,130 +53,197 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _runs(line, size: int):
-    """The line's UTF-16 bytes, and the byte offsets at which its runs start; a short line is one run."""
-    units = F.encode(line, "UTF-16BE")
-    return units, F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - 2 * size + 1), F.lit(2))
-
-
 def _distinct_lines(docs: DataFrame) -> DataFrame:
-    """``(k1, k2, id, first, line)``: every distinct line once, bucketed by its hashes."""
+    """``(k1, k2, id, first, line)``: every distinct line once."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lines_{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     found = lines(docs).groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.first("line").alias("line"))
-    found.withColumn("id", F.monotonically_increasing_id()).write.bucketBy(buckets, "k1", "k2").option(
-        "path", scratch(spark, name)
-    ).saveAsTable(name)
+    found.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
     del found
     free(spark)
-    return spark.table(name)
+    return spark.read.parquet(path)
 
 
-def _signatures(distinct: DataFrame, size: int) -> DataFrame:
-    """``(id, b0, b1, …)``: for every distinct line its bands, each the last 16 bits of four least hashes."""
-    spark = distinct.sparkSession
-    units, at = _runs(F.col("line"), size)
-    run = F.xxhash64(F.substring("units", F.col("at"), F.lit(2 * size)))
-    least = [F.min(F.xxhash64(F.lit(k), "run")).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = (
-        distinct.select("k1", "k2", "id", units.alias("units"), at.alias("ats"))
-        .select("k1", "k2", "id", "units", F.explode("ats").alias("at"))
-        .select("k1", "k2", "id", run.alias("run"))
-        .groupBy("k1", "k2", "id")
-        .agg(*least)
-    )
-    bands = []
-    for b in range(BANDS):
-        marks = [F.shiftleft(F.col(f"m{b * ROWS + r}").bitwiseAND(0xFFFF), 16 * r) for r in range(ROWS)]
-        bands.append(reduce(lambda x, y: x.bitwiseOR(y), marks).alias(f"b{b}"))
-    path = scratch(spark, "bands")
-    signed.select("id", *bands).write.parquet(path)
-    return spark.read.parquet(path)
+def runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, hash)`` of all runs of ``size`` characters, ordered by row; a shorter line is one run."""
+    starts, points = code_points(data)
+    first = np.searchsorted(starts, offsets)
+    count = np.diff(first)
+    row = np.repeat(np.arange(len(count)), count)
+    found = run_hashes(mix(points.astype(np.uint64) + np.uint64(1)), size)
+    inside = np.flatnonzero(np.arange(len(found)) + size <= first[row[: len(found)] + 1])
+    row, found = row[inside], found[inside]
+    short = np.flatnonzero(count < size)
+    if len(short):
+        row = np.concatenate([row, short])
+        found = np.concatenate([found, span_hashes(data, offsets[short], offsets[short + 1], 1)])
+        order = np.argsort(row, kind="stable")
+        row, found = row[order], found[order]
+    return row, found
+
+
+def bands(row: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every band's draws, by row; each of the ``n`` rows has runs, ordered by row."""
+    out = np.zeros((n, BANDS), np.uint64)
+    begin = np.searchsorted(row, np.arange(n))
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for k, seed in enumerate(_SEEDS):
+        least = np.minimum.reduceat(short * seed, begin)
+        out[:, k // ROWS] = mix(out[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k + 1))
+    return out
 
 
-def _members(signatures: DataFrame) -> DataFrame:
-    """``(bucket, id)``: every band of every line."""
-    buckets = F.array(*[F.xxhash64(F.lit(b), f"b{b}") for b in range(BANDS)])
-    return signatures.select(F.explode(buckets).alias("bucket"), "id")
+def _signatures(distinct: DataFrame, size: int) -> DataFrame:
+    """``(id, b0, b1, …)``: every distinct line's bands."""
+    spark = distinct.sparkSession
 
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "line"):
+                n = part.num_rows
+                made = bands(*runs(*text_column(part.column("line")), size), n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, made.T.copy())], names)
 
-def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of ``df(id, …)`` that occur in ``pairs(a, b)``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, "id", "left_semi")
+    names = ["id", *[f"b{k}" for k in range(BANDS)]]
+    path = scratch(spark, "bands")
+    distinct.select("id", "line").mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _with_both(pairs: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs with the columns of both ends, named after them."""
-    for end in ("a", "b"):
-        pairs = pairs.join(df.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
-    return pairs
+def _run_sets(column: pa.Array, size: int) -> tuple[np.ndarray, int]:
+    """Each row's distinct runs, sorted: the row in the upper bits, as many as are given, and its hash."""
+    bits = max(1, len(column) - 1).bit_length()
+    row, found = runs(*text_column(column), size)
+    keys = np.sort(row.astype(np.uint64) << np.uint64(64 - bits) | found >> np.uint64(bits))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])], bits
 
 
-def _likely(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose least hashes agree about as often as at the threshold, three and a half deviations less."""
-    both = _with_both(pairs, _of_pairs(signatures, pairs), [f"b{b}" for b in range(BANDS)])
-    agree = F.lit(0)
-    for b in range(BANDS):
-        differ = F.col(f"a_b{b}").bitwiseXOR(F.col(f"b_b{b}"))
-        for r in range(ROWS):
-            agree = agree + F.when(F.shiftrightunsigned(differ, 16 * r).bitwiseAND(0xFFFF) == 0, 1).otherwise(0)
-    many = BANDS * ROWS
-    return both.where(agree >= math.floor(many * threshold - 3.5 * math.sqrt(many * threshold * (1 - threshold)))).select("a", "b")
+def similarities(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.ndarray:
+    """Jaccard similarity of the runs of the lines of two columns, row by row."""
+    (x, bits), (y, _) = (_run_sets(column, size) for column in (left, right))
+    every = np.sort(np.concatenate([x, y]))
+    twice = every[1:][every[1:] == every[:-1]]
+    both, all_ = (np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=len(left)) for keys in (twice, every))
+    return both / (all_ - both)
 
 
-def _run_set(line, size: int):
-    """Hashes of a line's distinct runs."""
-    units, at = _runs(line, size)
-    hashes = cells.once(units, lambda u: F.transform(at, lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * size)))))
-    return F.array_distinct(hashes)
+def _lines_of(distinct: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, line)`` of the given ids, written once."""
+    path = scratch(distinct.sparkSession, "compared")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    distinct.select("id", "line").join(ids, "id", "left_semi").write.parquet(path)
+    return distinct.sparkSession.read.parquet(path)
 
 
-def _verified(distinct: DataFrame, signatures: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+def _verified(distinct: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose lines' runs have a Jaccard similarity of at least ``threshold``."""
-    pairs = cut(_likely(pairs, signatures, threshold))
-    both = _with_both(pairs, _of_pairs(distinct.select("id", "line"), pairs), ["line"])
+    texts = _lines_of(distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    a = texts.select(F.col("id").alias("a"), F.col("line").alias("text"))
+    b = texts.select(F.col("id").alias("b"), F.col("line").alias("other"))
+
+    def alike(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for some in slices(part, "other"):
+                    good = similarities(some.column("text"), some.column("other"), size) >= threshold - 1e-9
+                    at = pa.array(np.flatnonzero(good))
+                    yield pa.RecordBatch.from_arrays([some.column("a").take(at), some.column("b").take(at)], ["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text", "other").mapInArrow(alike, "a bigint, b bigint")
+
+
+def linked_pairs(column: pa.Array, own: np.ndarray, aside: np.ndarray | None, size: int, threshold: float):
+    """Places of all pairs of lines, of other ``own`` (and ``aside``), that reach the threshold: what they
+    share is a matrix product over the runs that more than one line has."""
+    n = len(column)
+    sets, bits = _run_sets(column, size)
+    row = (sets >> np.uint64(64 - bits)).astype(np.int64)
+    total = np.bincount(row, minlength=n).astype(np.float64)
+    keys, _, place = numbered(sets << np.uint64(bits))
+    often = np.bincount(place, minlength=len(keys)) > 1
+    keep = often[place]
+    row, place = row[keep], (np.cumsum(often) - 1)[place[keep]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    both = np.zeros((n, n), np.float32)
+    step = min(max(256, (4 << 20) // max(1, n)), max(1, int(often.sum())))
+    for first in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(place, [first, first + step])
+        some = np.zeros((n, step), np.float32)
+        some[row[a:b], place[a:b] - first] = 1
+        both += some @ some.T
+    i, j = np.nonzero(np.triu(both * (1 + threshold) >= threshold * (total[:, None] + total[None, :]) - 1e-9, 1))
+    apart = own[i] != own[j]
+    if aside is not None:
+        apart &= aside[i] != aside[j]
+    return i[apart], j[apart]
+
+
+def _in_blocks(distinct: DataFrame, buckets: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links within ``buckets(bucket, id, own)``, some for all.
+
+    A bucket is cut into blocks of bounded rows and bytes, and every pair of blocks is one piece of work, so
+    a line moves once per block and no pair of lines is written out but the links: of these one per line.
+    """
+    texts = _lines_of(distinct, buckets.select("id").distinct())
+    sizes = (
+        buckets.join(texts.select("id", F.octet_length("line").alias("bytes")), "id")
+        .groupBy("bucket")
+        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    )
+    pieces = (
+        buckets.join(sizes, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "own")
+    )
 
-    def alike(x, y):
-        shared = F.size(F.array_intersect(x, y))
-        return cells.once(shared, lambda n: n >= threshold * (F.size(x) + F.size(y) - n) - 1e-9)
+    def compare(batches):
+        for part in groups(batches, ["bucket", "left", "right"]):
+            ids, own, block = (np.asarray(part.column(n), np.int64) for n in ("id", "own", "block"))
+            # A pair within one block is looked at where that block meets itself.
+            aside = block if part.column("left")[0].as_py() != part.column("right")[0].as_py() else None
+            i, j = linked_pairs(part.column("line"), own, aside, size, threshold)
+            if len(i):
+                least = least_reached(ids, i, j)
+                some = np.flatnonzero(least != ids)
+                yield pa.RecordBatch.from_arrays([pa.array(least[some]), pa.array(ids[some])], ["a", "b"])
 
-    linked = cells.once(
-        _run_set(F.col("a_line"), size), lambda x: cells.once(_run_set(F.col("b_line"), size), lambda y: alike(x, y))
+    return (
+        pieces.join(texts, "id")
+        .repartition("bucket", "left", "right")
+        .sortWithinPartitions("bucket", "left", "right")
+        .mapInArrow(compare, "a bigint, b bigint")
+        .distinct()
     )
-    return both.where(linked).select("a", "b")
 
 
 def _linked(distinct: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``(node, component)`` of the lines that runs of ``size`` link."""
+    """``(node, component)`` of the lines that are linked."""
     signatures = _signatures(distinct, size)
-    return linked_groups(_members(signatures), lambda pairs: _verified(distinct, signatures, pairs, size, threshold))
+    names = [f"b{k}" for k in range(BANDS)]
+    parts = [names[k : k + AT_ONCE] for k in range(0, BANDS, AT_ONCE)]
+    members = [signatures.select(F.explode(F.array(*part)).alias("bucket"), "id") for part in parts]
+    return linked_groups(
+        members,
+        lambda pairs: _verified(distinct, pairs, size, threshold),
+        lambda buckets: _in_blocks(distinct, buckets, size, threshold),
+    )
 
 
-def line_groups(
-    docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, short_size: int | None = None
-) -> DataFrame:
+def line_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, text_hash, line_no, first_doc_id, first_line_no, kept)``, one row per line.
 
     Lines are cut at ``\\n`` and compared without white space around them; lines of white space alone
-    are in no group and not returned. A line shorter than a run equals only itself. With ``short_size``
-    two lines of at most ``SHORT`` units are also linked by their runs of that size. The first line of a
+    are in no group and not returned. A line shorter than a run equals only itself. The first line of a
     group, by doc_id and then place, is kept; null ids come last. Rows that repeat doc_id and text keep
     the same lines. Null text has no lines. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     distinct = _distinct_lines(docs)
-    groups = _linked(distinct, size, threshold)
-    if short_size:
-        short = distinct.where(F.octet_length(F.encode("line", "UTF-16BE")) <= 2 * SHORT)
-        both = groups.unionByName(_linked(short, short_size, threshold))
-        groups = components(both.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    linked = cut(
-        distinct.select("id", "k1", "k2", "first").join(groups.withColumnRenamed("node", "id"), "id")
-    )
+    found = _linked(distinct, size, threshold).withColumnRenamed("node", "id")
+    linked = cut(distinct.select("id", "k1", "k2", "first").join(found, "id"))
     firsts = linked.groupBy("component").agg(F.min("first").alias("first_of"))
     moved = linked.join(firsts, "component").select("k1", "k2", "first_of")
     every = lines(docs).select("k1", "k2", *_PLACE)
@@ -190,16 +262,14 @@ def line_groups(
     )
 
 
-def without_repeats(
-    docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, short_size: int | None = SHORT_SHINGLE
-) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of ``text``; all rows stay.
 
     Texts that lose nothing keep every byte. ``n_chars``, if there, is that of the new text.
     """
     columns = docs.columns
-    groups = line_groups(docs, size, threshold, short_size).where("NOT kept")
-    gone = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+    repeats = line_groups(docs, size, threshold).where("NOT kept")
+    gone = repeats.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.collect_set("line_no").alias("_gone")
     )
     row = docs.select(
@@ -223,4 +293,4 @@ def without_repeats(
 
 @query("op6_line_dedup")
 def op6(spark, folder):
-    return line_groups(table(spark, folder, "documents"), short_size=SHORT_SHINGLE)
+    return line_groups(table(spark, folder, "documents"))

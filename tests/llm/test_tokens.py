@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 import zlib
@@ -7,11 +8,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from listwright.llm import packing, pieces
+from listwright.llm import boundaries, byte_bpe, packing, pieces
 from listwright.llm.text import Memo, text_column
 from listwright.llm.tokens import encoder
 
@@ -145,3 +147,77 @@ def test_round_trip_of_documents(spark, docs):
     assert pieces.encode(docs([])).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [])], "text int, ids array<int>")
     assert {(r.ids is None, r.text) for r in pieces.decode(odd).collect()} == {(True, None), (False, "")}
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return byte_bpe.Ranks(byte_bpe.ranks_path(byte_bpe.RANKS))
+
+
+@pytest.fixture(scope="module")
+def library(ranks):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.rank, special_tokens={})
+
+
+# Contractions whole and cut, white space of all kinds, marks, numbers that are no digits, letters newer than Python's.
+MARKS = ["'", "s", "t", "re", "ve", "r", "l", "ll", "d", "m", "'S", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000",
+         "a", "B", "é", "中", "1", "２", "½", "!", "😀", "\u0301", "\ua7cd", "<|endoftext|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(MARKS), max_size=50).map("".join), st.text(max_size=20)), max_size=6))
+def test_byte_bpe_is_the_librarys(ranks, library, texts):
+    flat, offsets = ranks.encode(*text_column(pa.array(texts, pa.string())), Memo(np.int32, 10))
+    starts = ranks.byte_starts(flat, offsets)
+    for i, text in enumerate(texts):
+        ids = flat[offsets[i] : offsets[i + 1]].tolist()
+        assert ids == library.encode_ordinary(text or "")
+        at = np.cumsum([0, *[len(library.decode_single_token_bytes(t)) for t in ids]])
+        assert starts[offsets[i] : offsets[i + 1]].tolist() == at[:-1].tolist()
+    back, ends = ranks.decode(flat, offsets)
+    assert [back[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])] == [t or "" for t in texts]
+
+
+def test_long_pieces_are_merged_alike(ranks, library):
+    texts = ["w" * 300, "ab" * 5000, "!" * 1000, " " * 1000 + "x", "thequickbrownfox" * 40, "é" * 33, "x" * 32, "'" * 70 + "s"]
+    flat, offsets = ranks.encode(*text_column(pa.array(texts)), Memo(np.int32, 10))
+    assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_scan_is_the_automaton():
+    rng = np.random.default_rng(4)
+    symbols = rng.integers(0, boundaries.SYMBOLS, 5000)
+    state, want = boundaries.DONE, []
+    for symbol in symbols.tolist():
+        want.append(state)
+        state = boundaries._step(state, symbol)[0]
+    got = boundaries.scan(boundaries._GENERATORS[symbols])
+    assert boundaries._MAPS[got, boundaries.DONE].tolist() == want
+    # Products are associative.
+    a, b, c = rng.integers(0, len(boundaries._MAPS), (3, 200))
+    times = boundaries._PRODUCTS
+    assert (times[times[a, b], c] == times[a, times[b, c]]).all()
+
+
+def test_byte_bpe_of_documents(spark, docs, library):
+    rows = [(1, "Don't  stop\n"), (2, None), (3, ""), (None, "we've 12½"), (1, "Don't  stop\n"), (4, "é " * 50_000), (5, "q" * 200_000)]
+    encoded = byte_bpe.encode(docs(rows))
+    assert encoded.columns == ["doc_id", "mark", "row", "n_chars", "spans", "ids", "starts"]
+    got = Counter((r.doc_id, tuple(r.ids), bytes(r.bytes).decode()) for r in byte_bpe.decode(encoded).collect())
+    assert got == Counter((i, tuple(library.encode_ordinary(t or "")), t or "") for i, t in rows)
+    assert byte_bpe.encode(docs([])).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, [])], "bytes int, ids array<int>")
+    assert {(r.ids is None, r.bytes) for r in byte_bpe.decode(odd).collect()} == {(True, None), (False, b"")}
+
+
+def test_op12_query(spark, library):
+    from listwright.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = QUERIES["op12_byte_bpe"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
