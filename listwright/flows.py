@@ -15,7 +15,7 @@ from listwright.operators.ranking import sorted_numbers
 from listwright.operators.release import change_counts, release_triples
 from listwright.operators.themes import ThemeTables
 from listwright.operators.triples import Term, orphan_filter, rows_to_triples
-from listwright.sources.csvs import csv_union_with_source
+from listwright.sources.csvs import csv_shape_check, csv_union_with_source, header_counts, read_lines
 from listwright.sources.releases import expand_curie, release_load, release_write
 from listwright.sources.storage import cut
 
@@ -32,6 +32,8 @@ class Lists:
     shape_rules: Sequence[shapes.ShapeRule] = ()
     reference_col: str | None = None
     strict_compat: bool = False
+    # Whether also lines with too few cells stop a run, instead of being filled up.
+    strict_columns: bool = False
 
 
 def split_cells(rows: DataFrame, strict_compat: bool = False, keep: Sequence[str] = ("_id", "__source", "row")) -> DataFrame:
@@ -75,9 +77,13 @@ def curate(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """CSV lists -> checked, inferred and stamped release under ``base_dir``.
 
-    Returns ``(triples, change counts, shape violations)``. Undeclared prefixes, dangling
-    references and shape violations of own subjects stop the run before anything is written.
+    Returns ``(triples, change counts, shape violations)``. Lines with more cells than their header,
+    undeclared prefixes, dangling references and shape violations of own subjects stop the run before
+    anything is written. Lines with too few cells are filled up, unless ``strict_columns`` is set.
     """
+    lines = read_lines(spark, paths)
+    issues = csv_shape_check(lines, header_counts(lines))
+    _stop(issues if lists.strict_columns else issues.where("type = 'extra'"), "lines do not fit their header")
     rows = csv_union_with_source(spark, paths)
     split = cut(split_cells(rows.withColumn("row", F.monotonically_increasing_id()), lists.strict_compat))
     used = checks.cells_of(split.withColumn("_id", F.array("_id")), "row")

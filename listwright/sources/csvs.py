@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,34 +25,53 @@ def _plain_path(c):
 
 
 def _given_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``(_path, _given, _source)``: the given paths in full, and the names rows are tagged with."""
+    """``(_path, _source)``: the given paths in full, and the names rows are tagged with."""
     jvm = spark.sparkContext._jvm
     rows = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        rows.append((re.sub("^[A-Za-z0-9+.-]+:/*", "/", files.makeQualified(path).toString()), p, _name(p)))
-    return table_of(spark, rows, "_path string, _given string, _source string")
+        rows.append((re.sub("^[A-Za-z0-9+.-]+:/*", "/", files.makeQualified(path).toString()), _name(p)))
+    return table_of(spark, rows, "_path string, _source string")
 
 
 def _parent(c):
     return F.regexp_replace(c, "/[^/]*$", "")
 
 
-def _headers(spark: SparkSession, paths: Sequence[str], given: DataFrame) -> dict[str, str]:
-    """First line of every given path, which may be a file or a folder of parts, in one job: a short
-    row per path reaches the driver, whatever the file sizes."""
-    lines = spark.read.text(list(paths)).select(
-        _plain_path(F.col("_metadata.file_path")).alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
-    named = first.select("file", "header", F.explode(F.array("file", _parent(F.col("file")))).alias("_path")).join(given, "_path")
-    found = named.groupBy("_given").agg(F.min_by("header", "file").alias("header")).collect()
-    headers = {r["_given"]: r["header"] for r in found}
-    return {p: headers[p] for p in paths if p in headers}
+# Files opened at once to look at their first lines.
+_OPENED = 16
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a file, or of the first part by name in a folder that has one. No more than the file's
+    beginning is read, by the file system that also Spark reads it with, unpacked if need be."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    files = given.getFileSystem(conf)
+    parts = [given]
+    if files.getFileStatus(given).isDirectory():
+        inside = [s.getPath() for s in files.listStatus(given) if s.isFile()]
+        parts = sorted((p for p in inside if p.getName()[0] not in "._"), key=lambda p: p.toString())
+    for part in parts:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(part)
+        stream = files.open(part)
+        try:
+            text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+            line = jvm.java.io.BufferedReader(text).readLine()
+        finally:
+            stream.close()
+        if line is not None:
+            return line
+    return None
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line of every given path, which may be a file or a folder of parts; no Spark job and no more
+    bytes for long files than for short ones. Empty files have none."""
+    with ThreadPoolExecutor(_OPENED) as pool:
+        found = pool.map(lambda p: _first_line(spark, p), paths)
+        return {p: line for p, line in zip(paths, found) if line is not None}
 
 
 def csv_union_with_source(
@@ -60,7 +80,7 @@ def csv_union_with_source(
     """All rows of all files as text columns, empty cells null, tagged with ``__source``."""
     groups = defaultdict(list)
     given = _given_paths(spark, paths)
-    for path, header in _headers(spark, paths, given).items():
+    for path, header in _headers(spark, paths).items():
         groups[header].append(path)
     frames = []
     for same_header in groups.values():
@@ -76,7 +96,7 @@ def csv_union_with_source(
         # A row's file is a given path, or lies in one.
         name = F.coalesce("_source", "_above", F.lit("unknown")).alias("__source")
         above = given.select(F.col("_path").alias("_folder"), F.col("_source").alias("_above"))
-        tagged = tagged.join(given.drop("_given"), "_path", "left").join(above, "_folder", "left")
+        tagged = tagged.join(given, "_path", "left").join(above, "_folder", "left")
         frames.append(tagged.select(*[F.col(f"`{c}`") for c in raw.columns], name))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

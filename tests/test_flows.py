@@ -1,6 +1,7 @@
 """Whole runs on small lists."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,18 @@ def test_curate_stops(spark, tmp_path, text, message):
     assert not (tmp_path / "out").exists()
 
 
+def test_curate_fills_short_lines_and_refuses_long_ones(spark, tmp_path):
+    head = "_id,_type,prefLabel,broader\n"
+    short, long = write(tmp_path, "short.csv", head + "c:a,skos:Concept,A\n"), write(tmp_path, "long.csv", head + "c:b,skos:Concept,B,c:b,what\n")
+    with pytest.raises(ViolationsFound, match="header.*long.csv"):
+        flows.curate(spark, [short, long], LISTS, str(tmp_path / "out"), "1", "2025")
+    lists = replace(LISTS, shape_rules=())
+    triples, _, _ = flows.curate(spark, [short], lists, str(tmp_path / "out"), "1", "2025")
+    assert "A" in {r["object"] for r in triples.collect()}
+    with pytest.raises(ViolationsFound, match="header.*missing"):
+        flows.curate(spark, [short], replace(lists, strict_columns=True), str(tmp_path / "out"), "2", "2025")
+
+
 def test_derive_rules(spark):
     rows = [
         ("th:air", "Air", "s:thema", None, None, None, ["s:base"], None, None, None, None, 0),

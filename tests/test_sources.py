@@ -1,5 +1,6 @@
 """Files in and out."""
 
+import gzip
 import json
 
 import pytest
@@ -22,6 +23,24 @@ def test_csv_files_with_their_own_headers(spark, tmp_path):
     assert found == {("x:1", 'one, "1"', None, "a.csv"), (None, None, None, "a.csv"), ("x:2", None, None, "a.csv"), ("x:3", None, "x:1", "b.csv"), ("x:4", "four", None, "c.csv")}
 
 
+def test_headers_cost_no_more_for_long_files(spark, tmp_path):
+    """Packed files, folders with an empty first part, line ends of all kinds, and no job for any of it."""
+    (tmp_path / "long.csv").write_text("a,é\r\n" + "1,2\n" * 200_000, encoding="utf8")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt", encoding="utf8") as file:
+        file.write("a,p\n3,4\n")
+    (tmp_path / "empty.csv").write_text("")
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for name, text in (("_SUCCESS", "x"), (".hidden", "y"), ("part-0", ""), ("part-1", "a,c\n5,6\n")):
+        (folder / name).write_text(text)
+    paths = [str(tmp_path / n) for n in ("long.csv", "packed.csv.gz", "empty.csv", "parts")]
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert csvs._headers(spark, paths) == dict(zip((paths[0], paths[1], paths[3]), ("a,é", "a,p", "a,c")))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    rows = csvs.csv_union_with_source(spark, paths)
+    assert rows.count() == 200_002 and {tuple(r) for r in rows.where("p IS NOT NULL OR c IS NOT NULL").select("a", "p", "c").collect()} == {("3", "4", None), ("5", None, "6")}
+
+
 def test_lines_are_numbered_across_blocks(spark, tmp_path):
     for name, n in (("a.txt", 500), ("b.txt", 3)):
         (tmp_path / name).write_text("".join(f"{name} line {i}\n" for i in range(1, n + 1)))
