@@ -1,11 +1,11 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against all earlier documents.
+"""Duplicate passages by an index of all windows of earlier documents.
 
-A document is factored against a reference: all documents of smaller id. The reference is indexed
+No document is factored: the dealt relative Lempel-Ziv parse was exchanged for the look-up of every
+window (see the README). The reference of a document is all documents of smaller id, indexed
 in blocks. Every window of 13 words has one seed, the run of 5 words in it with the least hash; a
 block is what shares a seed, and holds each of its windows with the first document that has it. A
-window depends on its words alone, so equal windows always meet in one block. A factor is a longest
-run of consecutive windows found in the index. Windows across the border of two factors are looked
-up like all others, so a word is a duplicate exactly if one of its windows occurs earlier.
+window depends on its words alone, so equal windows always meet in one block, and a word is a
+duplicate exactly if one of its windows occurs earlier.
 
 One row goes to a block per seed that a document has (about every fifth word), with hashes of the
 up to nine windows that share it: 64 bits of the seed and 48 of each window tell windows apart.
