@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
 from listwright.operators.grouping import SHORT, by_size
-from listwright.sources.storage import cut, grow, table_of
+from listwright.sources.storage import cut, fresh, grow, table_of
 
 SPO = ("subject", "predicate", "object")
 
@@ -211,44 +211,32 @@ def _short_components(edges: DataFrame, g: str) -> DataFrame:
 
 
 def _long_components(edges: DataFrame, g: str) -> DataFrame:
-    """Every round links each node to the least neighbour it can see (large star, then small
-    star), so a long chain folds in about log(n) rounds."""
+    """Randomised contraction: in each round every node follows the node of least hash that it can see, itself
+    included, and the graph of the nodes that are followed goes on. About half of the nodes go in a round,
+    whatever the shape, so all rounds together cost a few times the first. The ways are then followed back."""
     pairs = edges.select(g, F.col("a").alias("u"), F.col("b").alias("v"))
-    nodes = pairs.select(g, F.col("u").alias("node")).unionByName(
-        pairs.select(g, F.col("v").alias("node"))
-    ).distinct()
-
-    def both_ways(e: DataFrame) -> DataFrame:
-        return e.unionByName(e.select(g, F.col("v").alias("u"), F.col("u").alias("v")))
-
-    def star(e: DataFrame, keep) -> DataFrame:
-        least = e.groupBy(g, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        hooked = e.where(keep).join(least, [g, "u"]).select(g, F.col("v").alias("u"), F.col("m").alias("v"))
-        return hooked, least
-
-    def print_of(e: DataFrame):
-        """Equal edges have equal prints; different prints prove a change without a join."""
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(g, "u", "v").cast("decimal(38,0)"))).first()
-
-    state = cut(pairs.where("u <> v").distinct())
-    seen = print_of(state)
-    while True:
-        large, _ = star(both_ways(state), F.col("v") > F.col("u"))
-        large = large.where("u <> v")
-        down = large.select(g, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small, least = star(down, F.col("v") < F.col("u"))
-        to_least = least.select(g, "u", F.col("m").alias("v"))
-        folded = cut(small.unionByName(to_least).where("u <> v").distinct())
-        now = print_of(folded)
-        unchanged = now == seen and folded.join(state, [g, "u", "v"], "left_anti").isEmpty()
-        seen = now
-        state = folded
-        if unchanged:
-            break
-    roots = state.select(g, F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(roots, [g, "node"], "left").select(
-        g, "node", F.coalesce("component", "node").alias("component")
-    )
+    state = cut(pairs.unionByName(pairs.select(g, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    everyone = state.select(g, "u").distinct()
+    state = state.where("u <> v")
+    ways = []
+    while not state.isEmpty():
+        number = F.lit(len(ways))
+        seen = F.least(F.struct(F.xxhash64(number, "v"), "v"), F.struct(F.xxhash64(number, "u").alias("col1"), F.col("u").alias("v")))
+        way = cut(state.groupBy(g, "u").agg(F.min(seen)["v"].alias("to")))
+        ways.append(way)
+        ends = [way.select(g, F.col("u").alias(end), F.col("to").alias(f"_{end}")) for end in ("u", "v")]
+        moved = state.join(ends[0], [g, "u"]).join(ends[1], [g, "v"]).where("_u <> _v")
+        state = fresh(moved.select(g, F.col("_u").alias("u"), F.col("_v").alias("v")).distinct())
+    if not ways:
+        return everyone.select(g, F.col("u").alias("node"), F.col("u").alias("component"))
+    last = ways.pop()
+    for number, way in enumerate(reversed(ways)):
+        further = last.select(g, F.col("u").alias("to"), F.col("to").alias("_far"))
+        last = way.join(further, [g, "to"], "left").select(g, "u", F.coalesce("_far", "to").alias("to"))
+        last = last if (number + 1) % 4 else cut(last)  # plans stay short
+    found = cut(everyone.join(last, [g, "u"], "left").select(g, "u", F.coalesce("to", "u").alias("to")))
+    least = found.groupBy(g, "to").agg(F.min("u").alias("component"))
+    return found.join(least, [g, "to"]).select(g, F.col("u").alias("node"), "component")
 
 
 def scheme_links(tops: DataFrame, members: DataFrame, see_also: DataFrame, schemes: DataFrame) -> DataFrame:

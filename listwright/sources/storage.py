@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` written and read again. A checkpoint keeps what the planner knows of its rows; in loops that rename
+    and compare columns these conditions multiply with every round, until planning takes longer than the work."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of frames nobody refers to any more.
 
