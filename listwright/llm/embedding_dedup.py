@@ -189,15 +189,17 @@ def _linked(tables: Tables):
 
 
 def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row per input row.
+    """``(vec_id, n_links, component_id, kept)``, one row per vec_id.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and vectors of unlike
-    length, do not link. Rows that repeat a vec_id are one vector whose rows do not link with each other.
-    A null vec_id links with nothing; its component_id is null and it is kept. Other columns are ignored.
+    length, do not link. Rows that repeat a vec_id are one vector, the least of theirs that is not null.
+    A null vec_id links with nothing; its component_id is null, it is kept, and each such row is returned.
+    Other columns are ignored.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "embedding")
-    known = vectors.where("vec_id IS NOT NULL").withColumn("vec_id", F.col("vec_id").cast("bigint"))
+    vectors = vectors.withColumn("vec_id", F.col("vec_id").cast("bigint"))
+    known = cut(vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     tables = Tables(known.count(), threshold, recall)
     kind = vectors.schema["embedding"].dataType.simpleString()
     met = known.mapInArrow(_cells(tables), f"cell bigint, number int, vec_id bigint, embedding {kind}")
@@ -221,7 +223,8 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: floa
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
     named = counts.join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumnRenamed("vec_id", "_id")
     component = F.coalesce("component", "vec_id")
-    return vectors.select("vec_id").join(named, F.col("vec_id") == F.col("_id"), "left").select(
+    ids = known.select("vec_id").unionByName(vectors.where("vec_id IS NULL").select("vec_id"))
+    return ids.join(named, F.col("vec_id") == F.col("_id"), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         component.alias("component_id"),

@@ -1,9 +1,9 @@
 """Near-duplicate documents by consistent weighted sampling of TF-IDF shingles.
 
 Shingles are runs of five words, weighted by how often the document has them and by how few documents
-have them, counted exactly over the whole corpus. Only shingles that reach a bound of documents have a weight
-of their own, 2**20 at most; all others weigh what a shingle of one document weighs. Improved consistent weighted sampling draws, with the same random numbers for the same shingle
-everywhere, samples that two documents share with the probability of their weighted Jaccard similarity.
+have them, counted exactly over the whole corpus: from one for a shingle of every document up to two for one
+that at most a thousandth of them has. A weight depends on the share of documents alone, whatever their number.
+Improved consistent weighted sampling draws, with the same random numbers for the same shingle everywhere, samples that two documents share with the probability of their weighted Jaccard similarity.
 Four samples make a band; documents that share a band are candidates. Those whose samples agree too
 rarely for the threshold (by four standard deviations) are left out before any text is moved, and the
 others are links when the weighted Jaccard similarity of their whole texts reaches the threshold.
@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm.components import linked_groups
@@ -27,8 +27,8 @@ from listwright.sources.storage import cut, free, scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
-# Most shingles with a weight of their own.
-OWN_WEIGHTS = 1 << 20
+# A shingle weighs most when no greater share of the documents has it.
+RARE_SHARE = 1e-3
 # Hashes that a task counts before it hands them on.
 COUNTED = 4 << 20
 # A pair at the threshold shares one of 12 bands of 4 with probability 0.998.
@@ -37,7 +37,7 @@ BANDS, ROWS = 12, 4
 SENT_IDS = 500_000
 # Most rows, and total weight (about the number of shingles), of a block of a large bucket.
 BLOCK_ROWS, BLOCK_WEIGHT = 512, 600_000
-_STEPS = 4096  # quantiles of each random number
+_STEPS = 4096  # draws of each random number, of which a hash takes one
 
 
 class Sampler:
@@ -152,26 +152,24 @@ def _document_counts(batches):
         yield counted(held)
 
 
-def fit_weights(docs: DataFrame, most: int = OWN_WEIGHTS) -> Sampler:
-    """Inverse document frequencies over all documents, as a share of the greatest, and one.
+def fit_weights(docs: DataFrame, rare_share: float = RARE_SHARE) -> Sampler:
+    """Inverse document frequencies over all documents: ``1 + ln(share) / ln(rare_share)``, two at most.
 
-    A shingle's documents are counted exactly. Of T shingles of all documents at most T / b are in b
-    documents or more, so with b = T / ``most`` no more than ``most`` are sent to the tasks; a shingle of
-    fewer documents weighs like one of a single document.
+    ``share`` is that of the documents that have a shingle, counted exactly, so a corpus repeated any number
+    of times has the same weights. Only shingles of a greater share than ``rare_share`` are sent to the tasks;
+    of these there are fewer than the mean number of shingles a document over ``rare_share``.
     """
     spark = docs.sparkSession
+    total = docs.count()
     path = scratch(spark, "counts")
     counts = docs.select("text").mapInArrow(_document_counts, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    seen = Observation()
-    counts.observe(seen, F.sum("n").alias("every")).where("n > 1").write.parquet(path)
+    counts.where(F.col("n") > max(1.0, rare_share * total)).write.parquet(path)
     free(spark)
-    bound = max(2, math.ceil((seen.get["every"] or 0) / most))
-    found = spark.read.parquet(path).where(F.col("n") >= bound).toArrow()
+    found = spark.read.parquet(path).toArrow()
     often, n = (found.column(c).to_numpy() for c in ("shingle", "n"))
     order = np.argsort(often.view(np.uint64))
-    total = docs.count()
-    # Between 1 and 2: what a crowd of near copies shares must not weigh next to nothing.
-    idf = lambda n: 1 + np.log((1 + total) / (1 + n)) / np.log(2 + total)
+    # Not less than one: what a crowd of near copies shares must not weigh next to nothing.
+    idf = lambda n: 1 + np.minimum(1, np.log(n / max(1, total)) / np.log(rare_share))
     return Sampler(often.view(np.uint64)[order], idf(n[order]), float(idf(1)))
 
 
@@ -184,7 +182,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sampler = spark.sparkContext.broadcast(fit_weights(docs))  # at most OWN_WEIGHTS numbers
+    sampler = spark.sparkContext.broadcast(fit_weights(docs))  # bounded by RARE_SHARE
 
     def signatures(batches):
         for batch in batches:

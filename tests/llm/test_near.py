@@ -60,12 +60,14 @@ def test_near_documents_against_brute_force(docs):
     table = docs(rows)
     got = near_dedup.near_groups(table).collect()
     sampler = near_dedup.fit_weights(table)
+    weights = plain_weights([t for _, t in rows])
     real = [(i, t or "") for i, t in rows if i is not None]
     pairs = [(a, b) for k, a in enumerate(real) for b in real[:k]]
     alike = near_dedup.similarities(sampler, pa.array([a[1] for a, _ in pairs]), pa.array([b[1] for _, b in pairs]))
-    # The similarities themselves, computed plainly for some pairs.
-    for (a, b), found in list(zip(pairs, alike))[::97]:
-        assert abs(found - plain_similarity(sampler, a[1], b[1])) < 1e-5
+    # The similarities themselves, weights and all, computed plainly.
+    times = {t: Counter(word_runs(t)) for _, t in real}
+    for (a, b), found in zip(pairs, alike):
+        assert abs(found - plain_similarity(weights, times[a[1]], times[b[1]])) < 1e-5
     want = groups_of([i for i, _ in real], [(a[0], b[0]) for (a, b), s in zip(pairs, alike) if s >= 0.8])
     found = {(r.doc_id, r.component_id, r.kept) for r in got}
     assert found == {(i, want[i], want[i] == i) for i, _ in real} | {(None, None, True)}
@@ -73,29 +75,43 @@ def test_near_documents_against_brute_force(docs):
     assert near_dedup.near_groups(docs([])).count() == 0
 
 
-def test_weights_are_of_the_shingles_own_counts(docs):
-    """Also with more shingles than any table of buckets holds apart."""
-    rows = [(i, " ".join(f"d{i}w{k}" for k in range(400)) + (" one two three four five" if i % 3 == 0 else "")) for i in range(900)]
-    sampler = near_dedup.fit_weights(docs(rows))
-    want = lambda n: 1 + np.log(901 / (1 + n)) / np.log(902)
+def test_weights_are_of_the_shares_of_documents(docs):
+    """Also with more shingles than any table of buckets holds apart, and alike in a corpus of any size."""
+    texts = [" ".join(f"d{i}w{k}" for k in range(400)) + (" one two three four five" if i % 3 == 0 else "") for i in range(900)]
+    sampler = near_dedup.fit_weights(docs(list(enumerate(texts))))
     for text, n in (("d5w1 d5w2 d5w3 d5w4 d5w5 d5w6 d5w7", 1), ("one two three four five", 300)):
         weight = sampler.weighted(*near_dedup.text_column(pa.array([text])))[2]
-        assert np.allclose(weight, want(n), atol=1e-5)
-    few = near_dedup.fit_weights(docs(rows), most=2000)
-    assert len(few.often) == 2 and np.isclose(few.rare, want(1))
+        assert np.allclose(weight, 1 + np.log(900 / n) / np.log(1000), atol=1e-5)
+    some = [" ".join(f"d{i % 5}w{k}" for k in range(i, i + 40)) for i in range(20)]
+    column = pa.array(some)
+    one, many = (near_dedup.fit_weights(docs(list(enumerate(some * times)))) for times in (1, 60))
+    assert np.allclose(*(s.weighted(*near_dedup.text_column(column))[2] for s in (one, many)))
 
 
-def plain_similarity(sampler, a, b):
-    weights = []
-    for text in (a, b):
-        row, found, weight, _ = sampler.weighted(*near_dedup.text_column(pa.array([text])))
-        words = text.split()
-        n = len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else 0
-        assert len(found) == n
-        weights.append(dict(zip(found.tolist(), weight.tolist())))
-    x, y = weights
-    most = sum(max(x.get(k, 0), y.get(k, 0)) for k in x.keys() | y.keys())
-    return sum(min(x[k], y[k]) for k in x.keys() & y.keys()) / most if most else 0.0
+def test_documents_at_the_threshold_are_found(docs):
+    """Pairs of documents at a similarity of 0.803, and pairs at 0.797, of which none is a link."""
+    rows = []
+    for i in range(1600):
+        text = " ".join(f"p{i}w{k}" for k in range(204))
+        rows += [(2 * i, text), (2 * i + 1, text + "".join(f" q{i}w{k}" for k in range(49 if i < 1500 else 51)))]
+    gone = [r.doc_id for r in near_dedup.near_groups(docs(rows)).where("NOT kept").collect()]
+    assert all(i % 2 for i in gone) and max(gone) < 3000
+    assert len(gone) >= 0.99 * 1500
+
+
+def word_runs(text):
+    words = text.split()
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def plain_weights(texts):
+    counts = Counter(run for text in texts for run in set(word_runs(text or "")))
+    return {run: 1 + min(1, np.log(len(texts) / n) / np.log(1000)) for run, n in counts.items()}
+
+
+def plain_similarity(weights, x, y):
+    most = sum(weights[k] * max(x[k], y[k]) for k in x.keys() | y.keys())
+    return sum(weights[k] * min(x[k], y[k]) for k in x.keys() & y.keys()) / most if most else 0.0
 
 
 def runs(line):
@@ -207,9 +223,11 @@ def test_vectors_against_brute_force(spark):
     near = np.repeat(centres[:20], 6, axis=0) + rng.normal(size=(120, 16)) * 0.12
     hot = centres[30] + rng.normal(size=(300, 16)) * 0.05
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([centres, near, hot]))]
-    odd = [(9000, None), (9001, []), (9002, [0.0] * 16), (9003, [None, *[1.0] * 15]), (9004, [float("nan")] * 16), (9005, [float("inf")] * 16), (9006, [1.0, 2.0]), (9007, [2.0, 4.0]), (None, rows[0][1])]
+    odd = [(9000, None), (9001, []), (9002, [0.0] * 16), (9003, [None, *[1.0] * 15]), (9004, [float("nan")] * 16), (9005, [float("inf")] * 16), (9006, [1.0, 2.0]), (9007, [2.0, 4.0]), (9007, [2.0, 4.0]), (9006, None), (9006, [5.0, 1.0]), (None, rows[0][1])]
     table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows + odd], "vec_id bigint, embedding array<double>, label int, cell string")
-    got = {r.vec_id: r for r in embedding_dedup.vector_groups(table, block=64).collect()}
+    every = embedding_dedup.vector_groups(table, block=64).collect()
+    got = {r.vec_id: r for r in every}
+    assert len(got) == len(every)
     unit = np.array([v for _, v in rows])
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     linked = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()
