@@ -12,6 +12,7 @@ from listwright.operators.triples import merge_nodes
 from listwright.plans.registry import query
 from listwright.sources import csvs, ntriples
 from listwright.sources.exports import table_export
+from listwright.sources.lists import read_json_list
 from listwright.sources.nodes import node_json_read
 from listwright.sources.releases import iri_repair_legacy
 from listwright.sources.storage import scratch
@@ -217,6 +218,25 @@ def json_read(spark, t):
     return node_json_read(documents(t), "json", "doc").withColumn("pos", F.array_join(F.col("pos").cast("array<string>"), "."))
 
 
+@query(
+    "json_list_read",
+    DOCUMENTS + """SELECT c_custkey // 100000 AS list, row_number() OVER (PARTITION BY c_custkey // 100000 ORDER BY c_custkey) AS item_no,
+      '{"@context":{"a":"b"},"graph":[{"@id":"customer:' || c_custkey || '","label":"' || c_name || '","nation":' || nation_json
+        || ',"tags":' || tags_json || '}]}' AS item FROM e""",
+)
+def json_lists(spark, t):
+    """Written as lists of up to 100,000 documents, a file each."""
+    path = scratch(spark, "lists")
+    docs = documents(t).withColumn("list", F.floor(F.col("doc") / 100_000))
+    ends = docs.groupBy("list").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    line = F.concat(F.when(F.col("doc") == F.col("first"), "[").otherwise(""), "json", F.when(F.col("doc") == F.col("last"), "]").otherwise(","))
+    docs.join(ends, "list").select("list", "doc", line.alias("value")).repartition("list").sortWithinPartitions("list", "doc").drop(
+        "doc"
+    ).write.partitionBy("list").text(path)
+    number = F.regexp_extract("file", r"/list=(\d+)/", 1).cast("bigint")
+    return read_json_list(spark, path).select(number.alias("list"), "item_no", "item")
+
+
 @query(
     "merge_nodes",
     DOCUMENTS + "SELECT DISTINCT id, key, value FROM props WHERE kind = 'value'",

@@ -10,6 +10,7 @@ from listwright.functions import vocab
 from listwright.operators import triples as T
 from listwright.sources import csvs, ntriples
 from listwright.sources.exports import table_export
+from listwright.sources.lists import read_json_list
 from listwright.sources.nodes import node_json_read
 from listwright.sources.releases import expand_curie
 
@@ -154,3 +155,32 @@ def test_names_of_many_and_odd_files(spark, tmp_path):
     want = {(str(i), p.rsplit("/", 1)[1]) for i, p in enumerate(paths)}
     assert got == want | {("p1", "parts.csv"), ("p2", "parts.csv")}
     assert {r["c"] for r in rows if r["__source"] == "parts.csv"} == {"y"}
+
+
+ITEMS = [
+    {"id": "a", "tags": ["x,y", "[", "}", 'q"],', "\\", '\\"'], "in": {"k": [1, {"id": "b"}]}}, "plain, text", "", 7, None, [], {}, [[1, 2], [3]],
+    {"id": "c", "label": '\\\\"],[{' * 5}, "ünï,😀", {"long": ",".join("0123456789" * 30)},
+]
+
+
+@pytest.mark.parametrize("block", ["37", "300", "100000"])
+def test_a_list_is_cut_at_its_items(spark, tmp_path, block):
+    """Whatever the blocks; also written over several lines, empty lists and files, and files without a list."""
+    texts = {
+        "one.json": json.dumps(ITEMS), "wide.json": json.dumps(ITEMS * 4, indent=3, ensure_ascii=False), "none.json": " [ ] \n", "empty.json": "",
+        "object.json": '{"a": [1, 2], "b": "c,d"}\n', "single.json": '[{"a":1}]',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        rows = read_json_list(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["file"], r["item_no"])):
+        found.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["item_no"], json.loads(r["item"])))
+    whole = lambda items: list(enumerate(items, 1))
+    assert found == {
+        "one.json": whole(ITEMS), "wide.json": whole(ITEMS * 4), "object.json": whole([{"a": [1, 2], "b": "c,d"}]), "single.json": whole([{"a": 1}]),
+    }
