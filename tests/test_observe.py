@@ -126,6 +126,52 @@ def test_latest_values_on_a_stream(spark, tmp_path):
     assert {tuple(r) for r in state.current_values(spark.table("latest")).collect()} == LATEST
 
 
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_form_state_is_cleared_by_switches_and_time(spark, tmp_path):
+    hour = lambda h, n=0: f"2024-01-01 {h:02}:{n:02}:00"
+    batches = [
+        [("a", f"f{i}", str(i), hour(1, i), i) for i in range(30)] + [("b", "x", "1", hour(1), 100), ("b", "x", "0", hour(0, 59), 101), (None, "x", "1", hour(1), 102)],
+        # The switch clears thirty fields; one event precedes it, one field is set again after it.
+        [("a", "switch", "s", hour(2), 200), ("a", "f1", "old", hour(1, 59), 201), ("a", "f2", "new", hour(2, 1), 202)],
+        [("a", "f2", "late", hour(2), 203), ("a", "f3", None, hour(2, 2), 204), ("c", "y", "1", hour(9), 205)],
+        # By then a and b are forgotten; a later event of a begins anew.
+        [("c", "y", "2", hour(12), 300)],
+        [("a", "f9", "9", hour(13), 400)],
+    ]
+    shape = "submission string, field string, value string, ts string, event_id long"
+    (tmp_path / "in").mkdir()
+    cast = spark.createDataFrame([], shape).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(cast.schema).parquet(str(tmp_path / "in"))
+    values, sizes = {}, []
+
+    def keep(batch, _):
+        for r in batch.collect():
+            values.pop((r.submission, r.field), None)
+            if not r.gone:
+                values[r.submission, r.field] = r.value
+
+    before = spark.conf.get(ROCKS[0])
+    spark.conf.set(*ROCKS)
+    try:
+        changes = state.form_changes(stream, "switch", "1 hour", 4 * 3600 * 1000)
+        q = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).start()
+        for i, rows in enumerate(batches):
+            df = spark.createDataFrame(rows, shape).withColumn("ts", F.col("ts").cast("timestamp"))
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q.processAllAvailable()
+            sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+            if i == 1:
+                assert values == {("a", "f2"): "new", ("b", "x"): "1"}
+        q.stop()
+    finally:
+        spark.conf.set(ROCKS[0], before)
+    assert values == {("a", "f2"): "new", ("a", "f3"): None, ("b", "x"): "1", ("c", "y"): "2", ("a", "f9"): "9"}
+    # Rows of state: thirty fields go with the switch, then both submissions with their time.
+    assert sizes == [33, 5, 2, 2, 4]
+
+
 STEPS = [(1, "theme", "x", 1, 1), (1, "a", "v", 2, 2), (1, "theme", "y", 3, 3), (1, "b", "", 4, 4), (1, "a", "v", 5, 5), (2, "a", "v", 1, 6), (1, "b", "w", 6, 7)]
 
 
