@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("release", "cells", "ingest", "triples", "references", "checks", "infer", "rules", "ordering", "templates", "observe", "forms")
+_MODULES = ("release", "cells", "ingest", "triples", "references", "checks", "infer", "rules", "ordering", "templates", "observe", "forms", "options")
 
 
 def load():
