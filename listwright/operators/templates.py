@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
-from listwright.sources.storage import cut
+from listwright.sources.storage import cut, dealt
 
 # Holds what a reference of a definition leads to; read like the first block of allOf.
 OPENED = "$open"
@@ -114,7 +114,7 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
     Objects are opened, lists of objects too (their leaves carry the list's path); null and
     untyped members are skipped. One pass per nesting level over all definitions at once.
     """
-    start = defs.select(F.col(def_col).alias("def"), F.col(json_col).alias("json"))
+    start = dealt(defs.select(F.col(def_col).alias("def"), F.col(json_col).alias("json")), "def", "json")
     level = with_effective(start, "json", "e", root=True).select(
         "def", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_array"),
         F.array().cast("array<int>").alias("pos"), "e",

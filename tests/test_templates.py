@@ -2,8 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
 
 from listwright.operators import templates
+from listwright.sources.storage import dealt
 
 
 def leaves(spark, *defs):
@@ -118,3 +120,15 @@ def test_options_block_by_block(spark):
 def test_most_complete_row_first_of_equals(spark):
     df = spark.createDataFrame([("p", 0, "a", None), ("p", 1, "b", "x"), ("p", 2, "c", "y")], "path string, pos int, title string, description string")
     assert templates.dedupe_most_complete(df, ["path"], ["title", "description"], "pos").first()["title"] == "b"
+
+
+def test_texts_of_one_partition_are_parsed_in_several_tasks(spark):
+    text = '{"required":["a"],"properties":{"a":{"type":"string"},"b":{"type":"object","properties":{"c":{"type":"number"}}}}}'
+    defs = spark.createDataFrame([(i, text) for i in range(200)], "def int, json string").coalesce(1)
+    leaves = templates.flatten_schema_paths(defs, "def", "json")
+    sizes = leaves.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 400 and max(sizes) < 200
+    # The parsing is not moved below the shuffle that deals the texts out.
+    parsed = dealt(defs, "def", "json").where(F.from_json("json", "required array<string>")["required"].isNotNull())
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("json") < plan.index("Repartition") and "json" not in plan[plan.index("Repartition"):].replace("json#", "")
