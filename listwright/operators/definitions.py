@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from listwright.functions import vocab
 from listwright.operators.infer import transitive_closure
 from listwright.operators.templates import OPENED, count_options, with_effective
-from listwright.sources.storage import cut
+from listwright.sources.storage import cut, dealt
 
 # A reference and its value; inside a string the quotes would have backslashes before them.
 _REF = r'(?<!\\)"\$ref"\s*:\s*"([^"\\]*)"'
@@ -54,11 +54,12 @@ def _path(pointer: Column) -> Column:
 
 def _absolute(defs: DataFrame, def_col: str, json_col: str) -> DataFrame:
     """``(_row, _name, _text, _given)``: a row number, the document's name, its text with all references naming
-    their document, and the row as it was given."""
+    their document, and the other columns as they were given."""
+    defs = dealt(defs, def_col, json_col)
     name = _name(F.col(def_col).cast("string"))
     local = F.regexp_replace(F.col(json_col), r'(?<!\\)"\$ref"\s*:\s*"#', f'"\\$ref":"{_HERE}#')
     text = F.replace(local, F.lit(_HERE), name)
-    given = F.struct(*[F.col(f"`{c}`") for c in defs.columns])
+    given = F.struct(*[F.col(f"`{c}`") for c in defs.columns if c != json_col])
     return cut(defs.select(F.monotonically_increasing_id().alias("_row"), name.alias("_name"), text.alias("_text"), given.alias("_given")))
 
 
@@ -66,8 +67,9 @@ def _nodes(documents: DataFrame) -> DataFrame:
     """``(node, text, cyclic)`` of every place that is referred to; a missing one has no text."""
     asked = documents.select(F.explode(_refs(F.col("_text"))).alias("ref")).select(_node(F.col("ref")).alias("node")).distinct()
     split = asked.select("node", F.substring_index("node", "#", 1).alias("_name"), F.substring_index("node", "#", -1).alias("pointer"))
-    # Of documents with one name the first by text counts.
-    named = documents.groupBy("_name").agg(F.min("_text").alias("_text"))
+    # Of documents with one name the first by text counts; texts that nothing refers to are not sorted.
+    wanted = documents.join(split.select("_name").distinct(), "_name", "left_semi")
+    named = wanted.groupBy("_name").agg(F.min("_text").alias("_text"))
     found = split.join(named, "_name", "left")
     inside = F.call_function("get_json_object", F.col("_text"), _path(F.col("pointer")))
     nodes = cut(found.select("node", F.when(F.col("pointer") == "", F.col("_text")).otherwise(inside).alias("text")))
@@ -86,15 +88,17 @@ def _opened(rows: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame
     part = F.coalesce(
         F.concat(F.lit(f'"{OPENED}":['), "_new", F.lit("]")), F.concat(F.lit('"$ref":"'), "_ref", F.lit('"'))
     )
-    # A row's references come back together: they are parts of its text.
-    parts = refs.join(known, "_to", "left").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_at", part.alias("_part")))).alias("_parts"),
+    # A row's references come back together: they are parts of its text. Texts are packed well on disk and not
+    # in memory, so the number of partitions is not left to their bytes.
+    found = dealt(refs.join(known, "_to", "left").select(key, "_at", "_new", part.alias("_part")), key)
+    parts = found.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_at", "_part"))).alias("_parts"),
         F.bool_or(F.col("_new").isNotNull()).alias("_changed"),
     )
     between = F.zip_with(
         F.split(F.col(text), _REF, -1), F.concat("_parts._part", F.array(F.lit(""))), lambda a, b: F.concat(a, b)
     )
-    both = rows.drop("_changed").join(parts, key, "left")
+    both = dealt(rows.drop("_changed"), key).join(parts, key, "left")
     whole = F.when(F.col("_changed"), F.array_join(between, "")).otherwise(F.col(text))
     return both.withColumns({text: whole, "_changed": F.coalesce("_changed", F.lit(False))}).drop("_parts")
 

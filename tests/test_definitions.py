@@ -101,3 +101,16 @@ def test_templates_from_published_definitions(spark):
         "/own": ("own", "text", False, None, None), "/list/i": ("i", "date", False, None, "/list"), "/name": ("Name", "readonly", True, "fixed", None),
         "/when": ("when", "date", False, None, None), "/size/u": ("u", "text", True, None, None), "/new": ("new", "dropdown", False, None, None),
     }
+
+
+def test_only_documents_that_are_referred_to_are_compared_by_text(spark):
+    docs = [(f"d{i}", '{"$ref":"base.json#/a"}') for i in range(50)] + [("x/base.json", '{"a":{"type":"string"}}'), ("y/base.json", '{"a":{"type":"number"}}')]
+    defs = spark.createDataFrame(docs, "def string, json string").coalesce(1)
+    documents = definitions._absolute(defs, "def", "json")
+    assert documents.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
+    # The given text is not carried beside the changed one.
+    assert "json" not in documents.schema["_given"].dataType.names
+    nodes = definitions._nodes(documents).collect()
+    assert [(r["node"], r["text"]) for r in nodes] == [("base.json#/a", '{"type":"number"}')]
+    opened = {r["def"]: r["json"] for r in definitions.resolve_references(defs, "def", "json").collect()}
+    assert len(opened) == 52 and set(opened) == {d for d, _ in docs} and '"type":"number"' in opened["d7"]
