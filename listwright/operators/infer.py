@@ -267,7 +267,9 @@ def scheme_reachability(themes: DataFrame, links: DataFrame) -> DataFrame:
         "theme", "scheme", F.lit(0).alias("depth"), F.array().cast("array<array<bigint>>").alias("path")
     )
     found = frontier = cut(start)
-    step = links.select("scheme", F.col("pos").alias("_pos"), "target")
+    # Merged in all rounds: by the bytes of the files that links and found schemes come from, Spark would take them for
+    # few and send them through the driver to every task, round after round.
+    step = links.select("scheme", F.col("pos").alias("_pos"), "target").hint("merge")
     depth = 0
     while True:
         depth += 1
@@ -277,7 +279,7 @@ def scheme_reachability(themes: DataFrame, links: DataFrame) -> DataFrame:
             .agg(F.min(F.concat("path", F.array("_pos"))).alias("path"))
         )
         frontier = cut(
-            seen.join(found, ["theme", "scheme"], "left_anti").select(
+            seen.join(found.hint("merge"), ["theme", "scheme"], "left_anti").select(
                 "theme", "scheme", F.lit(depth).alias("depth"), "path"
             )
         )

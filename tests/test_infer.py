@@ -121,3 +121,24 @@ def test_rules_with_any_predicate(spark):
     rule = infer.Rule((("?p", "same", "?q"), ("?x", "?p", "?y")), (("?x", "?q", "?y"),))
     found = {tuple(r) for r in infer.apply_rules(graph, [rule]).collect()}
     assert {("a", "q", "b"), ("a", "r", "b")} <= found
+
+
+def test_links_and_found_schemes_are_never_broadcast(spark):
+    from listwright.operators import definitions
+
+    links = spark.createDataFrame([(i // 2, [i], i) for i in range(1, 200)], "scheme long, pos array<long>, target long")
+    themes = spark.createDataFrame([("a", 1), ("b", 2)], "theme string, scheme long")
+    planned = []
+    checkpoint = type(links).checkpoint
+
+    def noted(df, eager=True):
+        planned.append(df._jdf.queryExecution().sparkPlan().toString())
+        return checkpoint(df, eager)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(links), "checkpoint", noted)
+        found = infer.scheme_reachability(themes, links)
+    assert found.where("theme = 'a'").count() == 199 and not [p for p in planned if "Broadcast" in p]
+    docs = spark.createDataFrame([(f"d{i}", '{"$ref":"none.json#/x"}') for i in range(30)], "def string, json string")
+    problems = definitions.reference_problems(docs, "def", "json")
+    assert problems.count() == 30 and "BuildRight" in problems._jdf.queryExecution().sparkPlan().toString()
