@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from listwright.functions import vocab
 from listwright.operators.infer import transitive_closure
 from listwright.operators.templates import OPENED, count_options, with_effective
-from listwright.sources.storage import cut, dealt
+from listwright.sources.storage import cut, dealt, small
 
 # A reference and its value; inside a string the quotes would have backslashes before them.
 _REF = r'(?<!\\)"\$ref"\s*:\s*"([^"\\]*)"'
@@ -98,7 +98,7 @@ def _opened(rows: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame
     between = F.zip_with(
         F.split(F.col(text), _REF, -1), F.concat("_parts._part", F.array(F.lit(""))), lambda a, b: F.concat(a, b)
     )
-    both = dealt(rows.drop("_changed"), key).join(parts, key, "left")
+    both = dealt(rows.drop("_changed"), key).hint("merge").join(parts, key, "left")
     whole = F.when(F.col("_changed"), F.array_join(between, "")).otherwise(F.col(text))
     return both.withColumns({text: whole, "_changed": F.coalesce("_changed", F.lit(False))}).drop("_parts")
 
@@ -134,7 +134,9 @@ def reference_problems(defs: DataFrame, def_col: str, json_col: str) -> DataFram
     used = documents.select(F.col(f"_given.`{def_col}`").alias("def"), F.explode(_refs(F.col("_text"))).alias("ref"))
     closed = _nodes(documents).where("text IS NULL OR cyclic")
     problem = F.when(F.col("text").isNull(), F.lit("missing")).otherwise(F.lit("cyclic"))
-    return used.select("def", _node(F.col("ref")).alias("node")).distinct().join(closed, "node").select("def", "node", problem.alias("problem"))
+    # Never the references to every task: Spark takes them for few, by the bytes of the files they come from.
+    used = used.select("def", _node(F.col("ref")).alias("node")).distinct().hint("merge")
+    return used.join(small(closed), "node").select("def", "node", problem.alias("problem"))
 
 
 def _condition_blocks(defs: DataFrame, def_col: str, json_col: str) -> DataFrame:

@@ -314,7 +314,7 @@ def theme_group_columns(columns: DataFrame) -> DataFrame:
     titles = columns.groupBy("theme", cells.tail(F.col("path")).alias("top")).agg(
         F.min_by("title", "pos").alias("_title")
     )
-    named = keyed.join(titles, ["theme", "top"], "left")
+    named = keyed.hint("merge").join(titles, ["theme", "top"], "left")
     sheet = F.when(F.col("top").isNull(), F.col("theme")).otherwise(
         F.coalesce(F.nullif("_title", F.lit("")), "top")
     )

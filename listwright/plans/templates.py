@@ -65,7 +65,7 @@ def columns(spark, t):
         CASE WHEN parent_array IS NOT NULL THEN '/lines' END AS parent_path, path FROM c""",
 )
 def grouped(spark, t):
-    named = leaves(t).join(t.part, F.col("def") == F.col("p_partkey")).withColumn(
+    named = leaves(t).hint("merge").join(t.part, F.col("def") == F.col("p_partkey")).withColumn(
         "theme", F.concat("p_name", F.lit(" / "), "p_partkey")
     )
     return templates.theme_group_columns(named).drop("pos")
