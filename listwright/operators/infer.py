@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
 from listwright.operators.grouping import SHORT, by_size
-from listwright.sources.storage import cut, fresh, grow, table_of
+from listwright.sources.storage import cut, dealt, fresh, grow, table_of
 
 SPO = ("subject", "predicate", "object")
 
@@ -214,7 +214,8 @@ def _long_components(edges: DataFrame, g: str) -> DataFrame:
     """Randomised contraction: in each round every node follows the node of least hash that it can see, itself
     included, and the graph of the nodes that are followed goes on. About half of the nodes go in a round,
     whatever the shape, so all rounds together cost a few times the first. The ways are then followed back."""
-    pairs = edges.select(g, F.col("a").alias("u"), F.col("b").alias("v"))
+    # A number of partitions of its own: ends are packed well on disk and not in memory.
+    pairs = dealt(edges.select(g, F.col("a").alias("u"), F.col("b").alias("v")), g, "u", "v")
     state = cut(pairs.unionByName(pairs.select(g, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     everyone = state.select(g, "u").distinct()
     state = state.where("u <> v")

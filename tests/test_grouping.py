@@ -1,8 +1,9 @@
 """Joins whose result is far larger than their tables."""
 
+from listwright.operators import grouping, rules
 from listwright.operators import references as refs
-from listwright.operators import rules
-from listwright.operators.grouping import paired
+from listwright.operators.grouping import by_size, paired
+from listwright.sources.storage import small
 
 
 def test_pairs_of_a_frequent_key_are_dealt_over_tasks(spark):
@@ -35,3 +36,15 @@ def test_measurable_concepts_in_several_schemes_count_once(spark):
     found = [tuple(r) for r in rules.measurable_concepts(chain, concepts, {"p": "https://x/"}, pairs=50).collect()]
     want = {(f"t{t}", f"https://x/{i}") for t in range(20) for i in range(30)}
     assert len(found) == len(want) and set(found) == want
+
+
+def test_many_long_groups_are_merged_and_few_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(g, i) for g in range(60) for i in range(3 if g % 2 else 1)], "g int, i int")
+    plan = lambda found: found._jdf.queryExecution().sparkPlan().toString()
+    few, many = by_size(df, ["g"], short=2)
+    assert few.count() == 30 and many.count() == 90
+    assert "BroadcastHashJoin" in plan(few) and "BroadcastHashJoin" in plan(many)
+    monkeypatch.setattr(grouping, "small", lambda groups: small(groups, 5))
+    few, many = by_size(df, ["g"], short=2)
+    assert few.count() == 30 and many.count() == 90
+    assert "Broadcast" not in plan(few) and "Broadcast" not in plan(many)

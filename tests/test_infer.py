@@ -142,3 +142,13 @@ def test_links_and_found_schemes_are_never_broadcast(spark):
     docs = spark.createDataFrame([(f"d{i}", '{"$ref":"none.json#/x"}') for i in range(30)], "def string, json string")
     problems = definitions.reference_problems(docs, "def", "json")
     assert problems.count() == 30 and "BuildRight" in problems._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_edges_of_long_sets_leave_the_partition_they_came_in(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, f"n{i}", f"n{i + 1}") for i in range(300)], "g int, a string, b string").coalesce(1)
+    taken = []
+    dealt = infer.dealt
+    monkeypatch.setattr(infer, "dealt", lambda df, *by: taken.append(dealt(df, *by)) or taken[-1])
+    found = infer.related_components(edges, "g", short=0)
+    assert {r["component"] for r in found.collect()} == {"n0"}
+    assert taken[0].rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
