@@ -23,39 +23,45 @@ from listwright.sources.storage import cut
 
 
 def _kahn_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(*keys, id, cyclic, sort_key)`` for ``rows (*keys, id, pos, pred)``; pred null for roots."""
-    state = cut(
-        rows.select(*keys, "id", "pos", F.array(F.col("pos").cast("long")).alias("sort_key"), F.col("pred").alias("jump"))
+    """``(*keys, id, cyclic, sort_key)`` of section 1 of ``rows (*keys, id, pos, section, pred)``; pred null for roots.
+
+    A row of another section ends the ways that lead to it and adds nothing to their keys, so nobody has to look
+    for such rows first. A round writes only the rows that are still on their way.
+    """
+    inner = F.col("section") == 1
+    own = F.array(F.col("pos").cast("long"))
+    state = rows.select(
+        *keys, "id", "pos", "section", F.when(inner, own).otherwise(F.array().cast("array<bigint>")).alias("sort_key"),
+        F.when(inner, F.col("pred")).alias("jump"), F.lit(False).alias("cyclic"),
     )
-    waiting = state.where("jump IS NOT NULL").count()
+    done, moving = state.where("jump IS NULL"), state.where("jump IS NOT NULL")
+    waiting = moving.count()
     while waiting:
-        ahead = state.select(
-            *keys, F.col("id").alias("jump"), F.col("sort_key").alias("_up"), F.col("jump").alias("_next")
+        ahead = done.unionByName(moving).select(
+            *keys, F.col("id").alias("jump"), F.col("sort_key").alias("_up"), F.col("jump").alias("_next"),
+            F.col("cyclic").alias("_cyclic"),
         )
-        moved = (
-            state.where("jump IS NOT NULL")
-            .join(ahead, [*keys, "jump"])
-            .select(
-                *keys, "id", "pos",
+        back = F.col("_cyclic") | F.coalesce(F.col("_next") == F.col("id"), F.lit(False))
+        moved = cut(
+            moving.join(ahead.hint("merge"), [*keys, "jump"]).select(
+                *keys, "id", "pos", "section",
                 F.concat(F.filter("_up", lambda x: x > F.get("sort_key", F.lit(0))), "sort_key").alias("sort_key"),
-                F.col("_next").alias("jump"),
+                F.when(~back, F.col("_next")).alias("jump"), back.alias("cyclic"),
             )
         )
-        state = cut(state.where("jump IS NULL").unionByName(moved))
-        still = state.where("jump IS NOT NULL").count()
+        done, moving = done.unionByName(moved.where("jump IS NULL")), moved.where("jump IS NOT NULL")
+        still = moving.count()
         if still == waiting:
             break
         waiting = still
-    cyclic = F.col("jump").isNotNull()
-    own = F.array(F.col("pos").cast("long"))
-    return state.select(
-        *keys, "id", cyclic.alias("cyclic"), F.when(cyclic, own).otherwise(F.col("sort_key")).alias("sort_key")
-    )
+    # What still moves after a round in which nothing ended is on circles or leads to one.
+    found = done.where(inner).unionByName(moving.withColumn("cyclic", F.lit(True)))
+    return found.select(*keys, "id", "cyclic", F.when(F.col("cyclic"), own).otherwise(F.col("sort_key")).alias("sort_key"))
 
 
 def _place(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Numbers ``rows (*keys, id, pos, pred, section)``: section, then key; cycles close section 1."""
-    ordered = _kahn_keys(rows.where("section = 1"), keys)
+    """Numbers ``rows (*keys, id, pos, section, pred)``: section, then key; cycles close section 1."""
+    ordered = _kahn_keys(rows, keys)
     loose = rows.where("section <> 1").select(
         *keys, "id", "section", F.lit(False).alias("cyclic"), F.array(F.col("pos").cast("long")).alias("sort_key")
     )
@@ -161,24 +167,19 @@ def order_siblings(df: DataFrame, by: Sequence[str], out: str = "ord", short: in
     ``df (*by, id, pos, after, first)``, ids unique per group.
     """
     keys = list(by)
-    few, many = by_size(df, keys, short)
+    few, many = by_size(cut(df), keys, short)
     placed = _short_siblings(few, keys, out)
     return placed if many is None else placed.unionByName(_long_siblings(many, keys, out))
 
 
 def _long_siblings(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    base = df.select(*keys, "id", "pos", "after", F.coalesce("first", F.lit(False)).alias("first"))
-    targets = base.select(*keys, F.col("id").alias("after"), F.col("first").alias("_tfirst"), F.col("after").alias("_tafter"))
-    hit = base.join(targets.withColumn("_hit", F.lit(True)), [*keys, "after"], "left")
-    sectioned = hit.select(
-        *keys, "id", "pos", "after",
-        F.when(F.col("first"), 0).when(F.col("_hit"), 1).otherwise(2).alias("section"),
+    base = cut(df.select(*keys, "id", "pos", "after", F.coalesce("first", F.lit(False)).alias("first")))
+    known = base.select(*keys, F.col("id").alias("after"), F.lit(True).alias("_hit")).hint("merge")
+    sectioned = base.join(known, [*keys, "after"], "left").select(
+        *keys, "id", "pos", F.when(F.col("first"), 0).when(F.col("_hit"), 1).otherwise(2).alias("section"),
+        F.col("after").alias("pred"),
     )
-    inside = sectioned.where("section = 1").select(*keys, F.col("id").alias("after"), F.lit(True).alias("_inside"))
-    rows = sectioned.join(inside, [*keys, "after"], "left").select(
-        *keys, "id", "pos", "section", F.when(F.col("_inside"), F.col("after")).alias("pred")
-    )
-    return _place(rows, keys, out)
+    return _place(cut(sectioned), keys, out)
 
 
 def order_columns(df: DataFrame, by: Sequence[str], out: str = "ord", short: int = SHORT) -> DataFrame:
@@ -187,7 +188,7 @@ def order_columns(df: DataFrame, by: Sequence[str], out: str = "ord", short: int
     ``df (*by, path, title, pos, after, first)``; ``after`` names a path, a bare name or a title.
     """
     keys = list(by)
-    few, many = by_size(df, keys, short)
+    few, many = by_size(cut(df), keys, short)
     placed = _short_columns(few, keys, out)
     if many is not None:
         placed = placed.unionByName(_long_columns(many, keys, out))
@@ -195,31 +196,34 @@ def order_columns(df: DataFrame, by: Sequence[str], out: str = "ord", short: int
 
 
 def _long_columns(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    base = df.select(*keys, F.col("path").alias("id"), "title", "pos", "after", F.coalesce("first", F.lit(False)).alias("first"))
+    base = cut(df.select(*keys, F.col("path").alias("id"), "title", "pos", "after", F.coalesce("first", F.lit(False)).alias("first")))
     names = F.array(
         F.struct(F.col("id").alias("name"), F.lit(3).alias("rank")),
         F.struct(cells.tail(F.col("id")).alias("name"), F.lit(2).alias("rank")),
         F.struct(F.col("title").alias("name"), F.lit(1).alias("rank")),
     )
+    refs = base.where("after IS NOT NULL")
+    # Only names that some row asks for are compared with one another.
     named = (
-        base.select(*keys, "id", "pos", F.inline(names))
-        .groupBy(*keys, F.col("name").alias("after"))
+        base.select(*keys, "id", "pos", F.inline(names)).withColumnRenamed("name", "after")
+        .join(refs.select(*keys, "after").hint("merge"), [*keys, "after"], "left_semi")
+        .groupBy(*keys, "after")
         .agg(F.max_by("id", F.struct("rank", "pos")).alias("target"))
     )
-    resolved = base.join(named, [*keys, "after"], "left")
+    refs = cut(refs.join(named.hint("merge"), [*keys, "after"], "left").select(*keys, "id", "pos", "first", "target"))
+    resolved = refs.unionByName(
+        base.where("after IS NULL").select(*keys, "id", "pos", "first", F.lit(None).cast("string").alias("target"))
+    )
     referenced = (
-        resolved.where("target IS NOT NULL AND target <> id")
-        .select(*keys, F.col("target").alias("id")).distinct().withColumn("_ref", F.lit(True))
+        refs.where("target IS NOT NULL AND target <> id")
+        .select(*keys, F.col("target").alias("id")).distinct().withColumn("_ref", F.lit(True)).hint("merge")
     )
     sectioned = resolved.join(referenced, [*keys, "id"], "left").select(
-        *keys, "id", "pos", "target",
+        *keys, "id", "pos",
         F.when(F.col("first"), 0).when(F.col("target").isNotNull() | F.col("_ref"), 1).otherwise(2).alias("section"),
+        F.col("target").alias("pred"),
     )
-    inside = sectioned.where("section = 1").select(*keys, F.col("id").alias("target"), F.lit(True).alias("_inside"))
-    rows = sectioned.join(inside, [*keys, "target"], "left").select(
-        *keys, "id", "pos", "section", F.when(F.col("_inside"), F.col("target")).alias("pred")
-    )
-    return _place(rows, keys, out)
+    return _place(cut(sectioned), keys, out)
 
 
 def condition_last(df: DataFrame, by: Sequence[str], out: str = "ord", short: int = SHORT) -> DataFrame:
@@ -229,9 +233,10 @@ def condition_last(df: DataFrame, by: Sequence[str], out: str = "ord", short: in
     read them by ``(dependent, ord)``.
     """
     keys = list(by)
-    triggers = (
-        df.where("trigger IS NOT NULL AND value IS NOT NULL").select(*keys, "trigger").distinct()
-        .withColumn("_dep", F.lit(True))
-    )
-    split = df.join(triggers, [*keys, "trigger"], "left").withColumn("dependent", F.coalesce("_dep", F.lit(False)))
+    triggers = df.where("trigger IS NOT NULL AND value IS NOT NULL").select(*keys, "trigger").distinct()
+    # Only a row whose own value is missing has to look for another one with its trigger.
+    is_open = F.col("trigger").isNotNull() & F.col("value").isNull()
+    told = df.where(~is_open).withColumn("dependent", F.col("trigger").isNotNull())
+    asked = df.where(is_open).join(triggers.withColumn("dependent", F.lit(True)).hint("merge"), [*keys, "trigger"], "left")
+    split = told.unionByName(asked.withColumn("dependent", F.coalesce("dependent", F.lit(False))).select(told.columns))
     return order_siblings(split, [*keys, "dependent"], out, short)

@@ -96,3 +96,42 @@ def test_condition_last(spark):
     df = spark.createDataFrame(rows, "g int, pos long, id string, after string, first boolean, trigger string, value string")
     found = ordering.condition_last(df, ["g"]).orderBy("dependent", "ord").collect()
     assert [r["id"] for r in found] == ["c", "b", "d", "a"]
+
+
+@pytest.mark.parametrize("short", [0, 64])
+def test_ways_into_circles_come_last(spark, short):
+    """Circles of one, two and three rows, ways that lead to them, and a missing value whose trigger another row has."""
+    after = {"a": "a", "b": "c", "c": "b", "d": "e", "e": "f", "f": "d", "g": "d", "h": "i", "i": "j", "j": None, "k": "b", "l": "k"}
+    rows = [(20 - n, i, a, False) for n, (i, a) in enumerate(after.items())]
+    df = spark.createDataFrame([(1, *r) for r in rows], "g int, pos long, id string, after string, first boolean")
+    found = ordering.order_siblings(df, ["g"], short=short).orderBy("ord").collect()
+    assert [r["id"] for r in found] == queue_order(rows)
+
+
+def test_rows_are_numbered_without_computing_them_again(spark):
+    """The rows to order are computed once, however many steps read them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    columns = "g int, pos long, id string, path string, title string, after string, first boolean"
+    rows = [(g, n, f"i{n}", f"i{n}", f"t{n}", f"i{n + 1}", False) for g in range(3) for n in range(4)]
+    df = spark.createDataFrame(rows, columns).mapInArrow(count, columns)
+    for order in (ordering.order_siblings, ordering.order_columns):
+        before = seen.value
+        assert order(df.select(*[c for c in df.columns if c != ("path" if order is ordering.order_siblings else "id")]), ["g"], short=0).count() == 12
+        assert seen.value - before == 12
+
+
+def test_condition_last_finds_a_trigger_by_another_rows_value(spark):
+    rows = [(1, 0, "a", "t", None), (1, 1, "b", "t", "v"), (1, 2, "c", "u", None), (1, 3, "d", None, "v"), (2, 0, "a", "t", None)]
+    df = spark.createDataFrame(rows, "g int, pos long, id string, trigger string, value string").selectExpr(
+        "*", "CAST(NULL AS STRING) AS after", "false AS first"
+    )
+    for short in (0, 64):
+        found = ordering.condition_last(df, ["g"], short=short).collect()
+        assert {(r["g"], r["id"]) for r in found if r["dependent"]} == {(1, "a"), (1, "b")}
+        assert len(found) == 5
