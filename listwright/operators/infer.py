@@ -127,23 +127,89 @@ def _fire(rule: Rule, sources: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, heads)
 
 
+def _chain(rule: Rule, rules: Sequence[Rule]) -> tuple[str, str] | None:
+    """``(p, q)`` of a rule ``x p y, y q z -> x p z`` that is the only such one for p, where no rule derives q."""
+    def ends(r: Rule) -> tuple[str, str] | None:
+        if len(r.body) != 2 or len(r.head) != 1:
+            return None
+        (x, p, y), (y2, q, z) = r.body
+        apart = len({x, y, z}) == 3 and all(v.startswith("?") for v in (x, y, z))
+        fixed = not p.startswith("?") and not q.startswith("?") and p != q
+        return (p, q) if apart and fixed and y == y2 and r.head[0] == (x, p, z) else None
+
+    found = ends(rule)
+    heads = {h[1] for r in rules for h in r.head}
+    if found is None or found[1] in heads or any(h.startswith("?") for h in heads):
+        return None
+    return found if sum(1 for r in rules if (ends(r) or ("",))[0] == found[0]) == 1 else None
+
+
+def _along(pairs: DataFrame, hops: DataFrame) -> DataFrame:
+    """``pairs (subject, object)`` and all that their objects lead to by ``hops``, of which each node has at most one.
+
+    Hops are put together in every round, so ways of n hops take about log2(n) rounds and no table of hops
+    grows. A hop back to its own node leads to nothing that is not found.
+    """
+    found = cut(pairs.distinct())
+    n = found.count()
+    while n:
+        hops = hops.where("subject <> object")
+        if hops.isEmpty():
+            break
+        step = hops.select(F.col("subject").alias("object"), F.col("object").alias("_far")).hint("merge")
+        further = found.join(step, "object").select("subject", F.col("_far").alias("object"))
+        found = cut(found.unionByName(further).distinct())
+        before, n = n, found.count()
+        if n == before:
+            break
+        hops = cut(hops.join(step, "object").select("subject", F.col("_far").alias("object")))
+    return found
+
+
+def _followed(delta: DataFrame, known: DataFrame | None, chains: dict[str, DataFrame]) -> DataFrame:
+    """``delta`` with all that its triples lead to along chains and that is not in ``known``."""
+    for p, hops in chains.items():
+        pairs = delta.where(F.col("predicate") == p).select("subject", "object")
+        if pairs.isEmpty():
+            continue
+        reached = _along(pairs, hops)
+        if known is not None:
+            old = known.where(F.col("predicate") == p).select("subject", "object")
+            reached = reached.join(old, ["subject", "object"], "left_anti")
+        made = reached.select("subject", F.lit(p).alias("predicate"), "object")
+        delta = delta.where(F.col("predicate").isNull() | (F.col("predicate") != p)).unionByName(made)
+    return cut(delta) if chains else delta
+
+
 def apply_rules(triples: DataFrame, rules: Sequence[Rule], max_iter: int | None = None) -> DataFrame:
     """All triples that follow from ``triples`` by the rules, the given ones included.
 
     A rule fires for a place in its body only when the last round gave triples with that place's
     predicate; places before it read what was known before that round, so nothing is derived twice.
     Only triples with a predicate that some rule derives are looked at to tell what is new.
+
+    A rule that follows a given predicate step by step, as in ``x above y, y wider z -> x above z``, is followed to its
+    end at once where each node has at most one ``wider``, unless rounds are counted (``max_iter``).
     """
-    known = delta = cut(triples.select(*SPO).distinct())
-    before = None
+    known = cut(triples.select(*SPO).distinct())
     asked = {p[1] for rule in rules for p in rule.body}
     given = {p[1] for rule in rules for p in rule.head}
+    chains, plain = {}, []
+    for rule in rules:
+        found = _chain(rule, rules) if max_iter is None else None
+        hops = None if found is None else known.where(F.col("predicate") == found[1]).select("subject", "object")
+        if hops is None or not hops.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            plain.append(rule)
+        else:
+            chains[found[0]] = hops
+    known = delta = _followed(known, None, chains)
+    before = None
     rounds = 0
     while max_iter is None or rounds < max_iter:
         fresh = _predicates(delta, asked)
         made = [
             _fire(rule, [delta if i == at else before if i < at else known for i in range(len(rule.body))])
-            for rule in rules
+            for rule in plain
             for at in range(len(rule.body))
             if (rule.body[at][1].startswith("?") or rule.body[at][1] in fresh) and (at == 0 or before is not None)
         ]
@@ -154,6 +220,7 @@ def apply_rules(triples: DataFrame, rules: Sequence[Rule], max_iter: int | None
         delta = cut(new.join(old, list(SPO), "left_anti"))
         if delta.isEmpty():
             break
+        delta = _followed(delta, known, chains)
         rounds += 1
         before, known = known, grow(known, delta, rounds)
     return known

@@ -152,3 +152,36 @@ def test_edges_of_long_sets_leave_the_partition_they_came_in(spark, monkeypatch)
     found = infer.related_components(edges, "g", short=0)
     assert {r["component"] for r in found.collect()} == {"n0"}
     assert taken[0].rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
+
+
+CHAIN = [
+    Rule((("?x", "up", "?y"),), (("?x", "over", "?y"),)),
+    Rule((("?x", "over", "?y"), ("?y", "up", "?z")), (("?x", "over", "?z"),)),
+    Rule((("?x", "over", "?y"), ("?y", "is", "?z")), (("?x", "over", "?z"), ("?z", "seen", "?x"))),
+]
+
+
+@pytest.mark.parametrize("extra", [[], [("n3", "up", "n90")]])
+def test_rules_that_follow_a_chain_give_what_single_rounds_give(spark, extra):
+    """A long way, circles of one, two and three, and a second rule for the same predicate; once with two ways from a node."""
+    rows = [(f"n{i}", "up", f"n{i + 1}") for i in range(6)] + [("n6", "up", "n6"), ("a", "up", "b"), ("b", "up", "a")]
+    rows += [("p", "up", "q"), ("q", "up", "r"), ("r", "up", "p"), ("w", "up", "p"), ("n5", "is", "w"), ("s", "over", "n4"), *extra]
+    df = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    want, size = set(rows), 0
+    while size != len(want):
+        size = len(want)
+        over = {(s, o) for s, p, o in want if p == "over"} | {(s, o) for s, p, o in want if p == "up"}
+        want |= {(s, "over", o) for s, o in over}
+        want |= {(x, "over", z) for x, y in over for s, p, z in rows if s == y and p in ("up", "is")}
+        want |= {(z, "seen", x) for x, y in over for s, p, z in rows if s == y and p == "is"}
+    got = [tuple(r) for r in infer.apply_rules(df, CHAIN).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_long_chain_takes_few_rounds_of_rules(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(infer, "cut", lambda df, keep=infer.cut: written.append(1) or keep(df))
+    rows = [(f"n{i}", "up", f"n{i + 1}") for i in range(16)]
+    df = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    assert infer.apply_rules(df, CHAIN[:2]).count() == 16 + 16 * 17 // 2
+    assert len(written) < 16
