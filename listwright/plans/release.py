@@ -11,7 +11,7 @@ from listwright.operators.rules import last_wins_dedupe
 from listwright.operators.triples import Term, rows_to_triples
 from listwright.plans.registry import query
 from listwright.sources.releases import release_load, release_write
-from listwright.sources.storage import scratch
+from listwright.sources.storage import dealt, scratch
 
 NOW = "2026-01-01T00:00:00Z"
 BEFORE = "2025-01-01T00:00:00Z"
@@ -177,7 +177,9 @@ GRAPH_SQL = SQL + f""", stamped AS (SELECT id, change, CASE change WHEN 'added'
 
 
 def graph(rows, terms):
-    return rows_to_triples(rows, terms, "id").drop("pos")
+    """Dealt by node first: the task that reads a small file would sort all its triples, and both releases' triples
+    then lie where their nodes are folded and compared."""
+    return rows_to_triples(dealt(rows, "id"), terms, "id").drop("pos")
 
 
 @query(

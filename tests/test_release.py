@@ -140,3 +140,13 @@ def test_unreadable_release_raises(spark, tmp_path):
     (tmp_path / "release=1" / "_SUCCESS").write_text("")
     with pytest.raises(Exception):
         release_load(spark, str(tmp_path)).collect()
+
+
+def test_nodes_are_dealt_out_before_their_triples_are_folded(spark):
+    """One shuffle of nodes per release, over as many tasks as are asked for; their triples are not moved again."""
+    from listwright.plans import load
+
+    diff = load()[0]["release_triples_diff"](spark, "/root/testdata/sf0.001")
+    assert diff.count() == 147
+    plan = diff._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
