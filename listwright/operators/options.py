@@ -34,7 +34,9 @@ def intern_lists(tops: DataFrame, prefixes, **sizes) -> tuple[DataFrame, DataFra
     full = expand_curie(tops.where("concept IS NOT NULL"), "concept", prefixes, "value").select(
         "scheme", F.col("pos").alias("_at"), "value", F.coalesce(F.nullif("label", F.lit("")), "value").alias("label")
     )
-    numbered = cut(row_numbers(full.distinct(), ["scheme"], ["_at", "value", "label"], "pos", **sizes).drop("_at"))
+    # Written once: to number rows they are counted, sampled and then moved.
+    full = cut(full.distinct())
+    numbered = cut(row_numbers(full, ["scheme"], ["_at", "value", "label"], "pos", **sizes).drop("_at"))
     marks = numbered.groupBy("scheme").agg(F.count(F.lit(1)).alias("n"), _mark(1).alias("one"), _mark(2).alias("two"))
     marks = cut(marks)
     least = marks.groupBy("n", "one", "two").agg(F.min("scheme").alias("list"))
@@ -61,7 +63,7 @@ def values_outside(values: DataFrame, lists: DataFrame, options: DataFrame) -> D
     pair of field and value is looked up once, so a frequent one costs no more than a rare one.
     """
     pairs = values.where("field IS NOT NULL AND value IS NOT NULL").select("field", "value").distinct()
-    offered = small(lists.select("field", "list").distinct())
+    offered = small(cut(lists.select("field", "list").distinct()))
     known = options.select("list", "value", F.lit(True).alias("_has")).distinct()
     outside = (
         pairs.join(offered, "field")

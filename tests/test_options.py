@@ -42,3 +42,18 @@ def test_values_outside_their_lists(spark, rows):
     assert options.values_outside(values, lists, known.limit(0)).count() == 5
     names, empty = options.intern_lists(spark.createDataFrame([], TOPS), {})
     assert names.isEmpty() and empty.isEmpty()
+
+
+def test_options_are_computed_once_before_they_are_numbered(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    columns = "scheme string, pos int, concept string, label string"
+    tops = spark.createDataFrame([(f"s{i % 5}", i, f"f:{i}", None) for i in range(20)], columns).mapInArrow(count, columns)
+    names, rows = options.intern_lists(tops, {"f": "https://x.org/"}, plain_rows=0)
+    assert names.count() == 5 and rows.count() == 20
+    assert seen.value == 20
