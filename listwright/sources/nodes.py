@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import cells
-from listwright.sources.storage import cut
+from listwright.sources.storage import cut, dealt
 
 _PERMISSIVE = {"mode": "PERMISSIVE"}
 
@@ -73,9 +73,10 @@ def node_json_read(df: DataFrame, json_col: str, pos_col: str) -> DataFrame:
 
     ``pos`` is the place in a depth-first walk, as an array that sorts like the walk. One
     pass over the documents per nesting level, ending when no object or array is left.
+    Documents are dealt out before they are parsed, so a small file does not become one large task.
     """
     text = F.col(json_col)
-    level = df.select(
+    level = dealt(df.select(pos_col, json_col), pos_col, json_col).select(
         F.array(F.col(pos_col).cast("long")).alias("pos"),
         text.alias("value"),
         F.when(F.ltrim(text).startswith("["), F.lit("array")).otherwise(F.lit("object")).alias("kind"),

@@ -184,3 +184,10 @@ def test_a_list_is_cut_at_its_items(spark, tmp_path, block):
     assert found == {
         "one.json": whole(ITEMS), "wide.json": whole(ITEMS * 4), "object.json": whole([{"a": [1, 2], "b": "c,d"}]), "single.json": whole([{"a": 1}]),
     }
+
+
+def test_documents_of_one_task_are_parsed_by_many(spark):
+    docs = spark.createDataFrame([(i, '{"id":"n%d","a":"%d"}' % (i, i)) for i in range(200)], "doc long, json string").coalesce(1)
+    found = node_json_read(docs, "json", "doc")
+    assert found.count() == 400
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
