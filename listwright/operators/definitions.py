@@ -142,22 +142,25 @@ def reference_problems(defs: DataFrame, def_col: str, json_col: str) -> DataFram
 def _condition_blocks(defs: DataFrame, def_col: str, json_col: str) -> DataFrame:
     """``(def, at, then)`` of all blocks with a condition, those inside others too; ``at`` orders them."""
     schema = f"`if` string, `then` string, `allOf` array<string>, `{OPENED}` array<string>"
+    found, marks = [], F.col("text").contains('"if"')
     level = defs.select(F.col(def_col).alias("def"), F.array().cast("array<int>").alias("at"), F.col(json_col).alias("text"))
-    found, composed = [], F.col("text").rlike(rf'"(allOf|\{OPENED})"')
+    level = level.where(marks).select("def", "at", F.from_json("text", schema).alias("d"))
     none = F.array().cast("array<string>")
+    composed = F.col("d.allOf").isNotNull() | F.col(f"d.{OPENED}").isNotNull()
     while True:
-        parsed = level.where(composed).select("def", "at", F.from_json("text", schema).alias("d"))
-        blocks = parsed.select(
+        blocks = level.select(
             "def", "at", F.posexplode(F.concat(F.coalesce(F.col(f"d.{OPENED}"), none), F.coalesce("d.allOf", none))).alias("nth", "text")
-        ).select("def", F.concat("at", F.array("nth")).alias("at"), "text", F.from_json("text", schema).alias("d"))
+        ).where(marks).select("def", F.concat("at", F.array("nth")).alias("at"), F.from_json("text", schema).alias("d"))
         blocks = cut(blocks.where(composed | F.col("d.if").isNotNull()))
         if blocks.isEmpty():
-            return reduce(DataFrame.unionByName, found) if found else level.limit(0).withColumnRenamed("text", "then")
+            return reduce(DataFrame.unionByName, found) if found else level.limit(0).select("def", "at", F.col("d.then").alias("then"))
         then = blocks.where("d.if IS NOT NULL AND d.then IS NOT NULL").select("def", "at", F.col("d.then").alias("then"))
         found.append(then)
         # Blocks inside the consequence come behind those beside it.
-        inner = then.select("def", F.concat("at", F.array(F.lit(1 << 30))).alias("at"), F.col("then").alias("text"))
-        level = blocks.select("def", "at", "text").unionByName(inner)
+        inner = then.where(F.col("then").contains('"if"')).select(
+            "def", F.concat("at", F.array(F.lit(1 << 30))).alias("at"), F.from_json("then", schema).alias("d")
+        )
+        level = blocks.where(composed).unionByName(inner)
 
 
 def conditional_blocks(defs: DataFrame, def_col: str, json_col: str) -> DataFrame:
@@ -172,7 +175,7 @@ def conditional_blocks(defs: DataFrame, def_col: str, json_col: str) -> DataFram
     """
     blocks = _condition_blocks(defs, def_col, json_col)
     members = blocks.select("def", "at", F.posexplode(F.from_json("then", "properties map<string,string>")["properties"]).alias("nth", "key", "text"))
-    members = cut(with_effective(members.where(F.regexp_replace("text", r"\s", "") != "{}"), "text", "e"))
+    members = with_effective(members.where(F.regexp_replace("text", r"\s", "") != "{}"), "text", "e")
     has_members, named = F.size("e.properties") > 0, F.size("e.required") > 0
     bare = ~has_members & F.col("e.items").isNull()
     skipped = (bare & F.col("key").isin(*vocab.ENVELOPE_FIELDS)) | (bare & F.coalesce(F.col("e.type") == "object", F.lit(False)))

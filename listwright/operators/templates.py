@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
-from listwright.sources.storage import cut, dealt
+from listwright.sources.storage import cut, dealt, fresh
 
 # Holds what a reference of a definition leads to; read like the first block of allOf.
 OPENED = "$open"
+# Levels of blocks inside blocks that are opened in one pass; deeper definitions take further rounds.
+_LEVELS = 4
 _DEFINITION = (
     f"`{OPENED}` array<string>, "
     "type string, title string, description string, format string, const string, enum array<string>, "
@@ -42,25 +44,45 @@ def with_effective(df: DataFrame, text: str, out: str, root: bool = False) -> Da
     Of a member that is described more than once the last description counts and earlier ones fill its
     gaps; in a ``root`` definition its own description counts before those of its blocks.
 
-    The text is parsed once; the steps are columns of their own so that no step is repeated.
+    The result is written once, with a mark at definitions of more than ``_LEVELS`` levels of blocks; only these
+    are taken up again, a round per level. The steps are columns of their own so that no step is repeated.
     """
-    def marked(d: Column) -> Column:
-        return F.struct(d.alias("d"), _is_composed(d).alias("closed"))
+    blocks = _blocks(df, text)
+    for _ in range(_LEVELS):
+        blocks = blocks.withColumn("_blocks", F.flatten(F.transform("_blocks", _opened)))
+    closed = F.coalesce(F.exists("_blocks", lambda b: b["closed"]), F.lit(False))
+    made = fresh(_merged(blocks.withColumn("_closed", closed), out, root))
+    if not made.agg(F.bool_or("_closed")).first()[0]:
+        return made.drop("_closed")
+    blocks = _blocks(made.where("_closed").drop("_closed", out), text)
+    while not blocks.where(closed).isEmpty():
+        blocks = cut(blocks.withColumn("_blocks", F.flatten(F.transform("_blocks", _opened))))
+    return made.where("NOT _closed").drop("_closed").unionByName(_merged(blocks, out, root))
+
+
+def _blocks(df: DataFrame, text: str) -> DataFrame:
+    """Adds the parsed definition, and as its only block so far if it is composed at all."""
+    parsed = df.withColumn("_own", _parsed(F.col(text)))
+    return parsed.withColumn("_blocks", F.when(_is_composed(F.col("_own")), F.array(_marked(F.col("_own")))))
+
+
+def _marked(d: Column) -> Column:
+    """A block and whether blocks of its own are still to be opened."""
+    return F.struct(d.alias("d"), _is_composed(d).alias("closed"))
 
-    def opened(b: Column) -> Column:
-        own = F.struct(b["d"].alias("d"), F.lit(False).alias("closed"))
-        blocks = F.transform(F.transform(_blocks_of(b["d"]), _parsed), marked)
-        return F.when(b["closed"], F.concat(F.array(own), blocks)).otherwise(F.array(b))
 
+def _opened(b: Column) -> Column:
+    """A block and the blocks it is composed of, own values before those of inner blocks."""
+    own = F.struct(b["d"].alias("d"), F.lit(False).alias("closed"))
+    blocks = F.transform(F.transform(_blocks_of(b["d"]), _parsed), _marked)
+    return F.when(b["closed"], F.concat(F.array(own), blocks)).otherwise(F.array(b))
+
+
+def _merged(blocks: DataFrame, out: str, root: bool) -> DataFrame:
+    """``out`` from the opened ``_blocks`` of the definition ``_own``, which it replaces."""
+    parsed = blocks.withColumn("_defs", F.transform("_blocks", lambda b: b["d"])).drop("_blocks")
     strings = F.array().cast("array<string>")
     entry = "array<struct<key:string,value:string>>"
-    parsed = df.withColumn("_own", _parsed(F.col(text)))
-    parsed = parsed.withColumn("_blocks", F.flatten(F.transform(F.array(marked(F.col("_own"))), opened)))
-    # Blocks of blocks, a round per level, own values before those of inner blocks.
-    closed = F.exists("_blocks", lambda b: b["closed"])
-    while not parsed.where(F.col(text).rlike(r'(?s)"(allOf|\$open)".*"(allOf|\$open)"') & closed).isEmpty():
-        parsed = cut(parsed.withColumn("_blocks", F.flatten(F.transform("_blocks", opened))))
-    parsed = parsed.withColumn("_defs", F.transform("_blocks", lambda b: b["d"])).drop("_blocks")
 
     def first(name: str) -> Column:
         values = F.transform("_defs", lambda d: d[name])
@@ -129,7 +151,7 @@ def flatten_schema_paths(defs: DataFrame, def_col: str, json_col: str, max_depth
             F.array_contains("required", F.col("m.key")).alias("is_required"), "parent_array",
             F.concat("pos", F.array("at")).alias("pos"), F.col("m.value").alias("source"),
         )
-        members = cut(with_effective(named, "source", "e")).where("e.type IS NOT NULL AND e.type <> 'null'")
+        members = with_effective(named, "source", "e").where("e.type IS NOT NULL AND e.type <> 'null'")
         with_items = ~is_object & F.col("e.items").isNotNull()
         # Only members that have items are parsed a level further.
         lists = with_effective(members.where(with_items).withColumn("_items", F.col("e.items")), "_items", "i").drop("_items")
@@ -282,7 +304,7 @@ def template_columns(leaves: DataFrame) -> DataFrame:
     """Leaves -> template columns with entry type and read-only value."""
     options = enum_of(F.col("source"), _member_levels(leaves, "source"))
     # A list of types counts as a number when it names one.
-    many = F.from_json("type", "array<string>")
+    many = F.when(F.col("type").contains("["), F.from_json("type", "array<string>"))
     kind = F.when(F.array_contains(many, "number"), F.lit("number")).when(
         F.array_contains(many, "boolean"), F.lit("boolean")
     ).otherwise(F.col("type"))

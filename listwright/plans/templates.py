@@ -133,7 +133,7 @@ def problems(spark, t):
 )
 def published_columns(spark, t):
     opened = cut(of_parts(published.resolve_references(documents(t), "def", "json")))
-    flat = templates.template_columns(cut(templates.flatten_schema_paths(opened, "def", "json")))
+    flat = templates.template_columns(templates.flatten_schema_paths(opened, "def", "json"))
     columns = flat.select("def", "path", "title", "ui_type", "required", "readonly_value")
     return templates.conditional_required_columns(columns, published.conditional_blocks(opened, "def", "json"))
 

@@ -132,3 +132,28 @@ def test_texts_of_one_partition_are_parsed_in_several_tasks(spark):
     parsed = dealt(defs, "def", "json").where(F.from_json("json", "required array<string>")["required"].isNotNull())
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("json") < plan.index("Repartition") and "json" not in plan[plan.index("Repartition"):].replace("json#", "")
+
+
+def composed(levels):
+    """A member of so many levels of blocks, of which the last one names the type."""
+    text = '{"type":"string","title":"deep"}'
+    for _ in range(levels):
+        text = f'{{"allOf":[{text}]}}'
+    return f'{{"properties":{{"a":{text}}}}}'
+
+
+def test_blocks_in_blocks_take_no_further_rounds(spark):
+    """Definitions of a few levels take as many jobs as plain ones; deeper ones are opened too, beside them."""
+
+    def jobs(*levels):
+        group = f"levels {levels}"
+        spark.sparkContext.setJobGroup(group, group)
+        defs = spark.createDataFrame([(k, composed(k)) for k in levels], "d int, j string")
+        got = sorted((r["def"], r.path, r.type, r.title) for r in templates.flatten_schema_paths(defs, "d", "j").collect())
+        spark.sparkContext.setJobGroup("rest", "rest")
+        assert got == [(k, "/a", "string", "deep") for k in levels]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    plain = jobs(0)
+    assert jobs(3) <= plain
+    assert jobs(1, 4, 5, 9) > plain
