@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = cut(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
+        free(star.sparkSession)
         now = _fingerprint(star)
         if now == seen:
             break
@@ -102,6 +103,7 @@ def _open(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their group, and the buckets that hold more than one group, with their sizes."""
     named = shared.select("bucket", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     named = cut(named.select("bucket", "id", F.coalesce("component", "id").alias("own")))
+    free(shared.sparkSession)
     sizes = named.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("groups")
     )
@@ -111,4 +113,6 @@ def _open(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _compared(pairs: DataFrame, other: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The links among pairs of ``id`` and ``other``, each looked at once."""
     once = pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
-    return cut(verify(cut(once)).select("a", "b"))
+    found = cut(verify(cut(once)).select("a", "b"))
+    free(pairs.sparkSession)
+    return found

@@ -33,6 +33,8 @@ AT_ONCE = 4
 SENT_IDS = 500_000
 # Most lines, and bytes of them, of a block of a large bucket.
 BLOCK_ROWS, BLOCK_BYTES = 512, 400_000
+# Bytes of lines hashed at once: the numbers of all draws stay in a core's cache, and a worker stays small.
+HASHED_BYTES = 256 << 10
 # An odd multiplier for every draw.
 _SEEDS = np.random.default_rng(6).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
@@ -99,7 +101,7 @@ def _signatures(distinct: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "line"):
+            for part in slices(batch, "line", HASHED_BYTES):
                 n = part.num_rows
                 made = bands(*runs(*text_column(part.column("line")), size), n).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, made.T.copy())], names)
@@ -144,8 +146,8 @@ def _verified(distinct: DataFrame, pairs: DataFrame, size: int, threshold: float
 
     def alike(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                for some in slices(part, "other"):
+            for part in slices(batch, "text", HASHED_BYTES):
+                for some in slices(part, "other", HASHED_BYTES):
                     good = similarities(some.column("text"), some.column("other"), size) >= threshold - 1e-9
                     at = pa.array(np.flatnonzero(good))
                     yield pa.RecordBatch.from_arrays([some.column("a").take(at), some.column("b").take(at)], ["a", "b"])

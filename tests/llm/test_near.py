@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -243,3 +244,25 @@ def test_vectors_against_brute_force(spark):
     assert (got[9006].n_links, got[9007].component_id) == (1, 9006)
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
     assert embedding_dedup.vector_groups(table.limit(0)).count() == 0
+
+
+def shuffles(spark):
+    """Shuffles that have files on this machine's disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+
+def test_rounds_leave_no_shuffles_behind(spark):
+    """A long chain takes many rounds, of which none keeps its files until the driver happens to collect garbage."""
+    before = shuffles(spark)
+    links = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a bigint, b bigint")
+    got = components(links)
+    assert got.where("component = 0").count() == 3001
+    least = len(shuffles(spark) - before)
+    for _ in range(20):  # files are removed by a thread of the driver
+        if least <= 12:
+            break
+        time.sleep(0.25)
+        least = min(least, len(shuffles(spark) - before))
+    assert least <= 12
