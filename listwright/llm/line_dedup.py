@@ -60,7 +60,7 @@ def _distinct_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch(spark, "lines")
     found = lines(docs).groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.first("line").alias("line"))
-    found.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    found.withColumn("id", F.monotonically_increasing_id()).write.parquet(path, compression="zstd")
     del found
     free(spark)
     return spark.read.parquet(path)
@@ -134,7 +134,7 @@ def _lines_of(distinct: DataFrame, ids: DataFrame) -> DataFrame:
     path = scratch(distinct.sparkSession, "compared")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
-    distinct.select("id", "line").join(ids, "id", "left_semi").write.parquet(path)
+    distinct.select("id", "line").join(ids, "id", "left_semi").write.parquet(path, compression="zstd")
     return distinct.sparkSession.read.parquet(path)
 
 
