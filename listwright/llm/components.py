@@ -67,8 +67,9 @@ def linked_groups(
     """
     shared = None
     for some in members if isinstance(members, list) else [members]:
+        some = some.repartition("bucket")  # dealt once, for the pivots and for what meets them
         least = some.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = cut(some.join(least.drop("n"), "bucket"))
+        met = cut(some.join(least.drop("n").hint("shuffle_hash"), "bucket"))
         shared = met if shared is None else shared.unionByName(met)
         free(some.sparkSession)
     links = _compared(shared.where("id != pivot"), "pivot", verify)
