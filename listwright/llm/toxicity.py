@@ -28,6 +28,7 @@ MAX_SAMPLE = 20_000
 BITS = 18
 FACTORS = 8
 EPOCHS = 16
+_COUNTED = 500  # texts whose terms are counted at once
 
 # A term is a run of letters; bytes of other scripts count as letters.
 _NO_LETTER = np.ones(256, bool)
@@ -156,14 +157,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Mac
     lists = sample.column("terms").combine_chunks()
     begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     bucket = lists.flatten().to_numpy()
-    toxic = np.bincount(bucket, np.repeat(label, np.diff(begin)), 1 << BITS)
-    every = np.bincount(bucket, minlength=1 << BITS)
+    toxic, every = np.zeros(1 << BITS), np.zeros(1 << BITS, np.int64)
+    for a in range(0, len(label), _COUNTED):  # some texts at a time: bincount makes wide copies
+        b = min(a + _COUNTED, len(label))
+        part = bucket[begin[a] : begin[b]]
+        toxic += np.bincount(part, np.repeat(label[a:b], np.diff(begin[a : b + 1])), 1 << BITS)
+        every += np.bincount(part, minlength=1 << BITS)
     terms = np.flatnonzero(every)
     # One text more of each label's share of every term.
     share = positive / n
     ratio = np.log((toxic[terms] + share) / (positive + 1)) - np.log((every - toxic)[terms] + 1 - share) + np.log(n - positive + 1)
     machine = Machine(terms, float(bias), ratio)
-    return machine.fit(begin, machine.number.astype(np.int32)[bucket], label)
+    feature = machine.number.astype(np.int32)[bucket]
+    del sample, lists, bucket
+    pa.default_memory_pool().release_unused()  # the driver has little room
+    return machine.fit(begin, feature, label)
 
 
 def scores(docs: DataFrame, machine: Machine) -> DataFrame:
