@@ -72,7 +72,7 @@ def linked_groups(
         met = cut(some.join(least.drop("n").hint("shuffle_hash"), "bucket"))
         shared = met if shared is None else shared.unionByName(met)
         free(some.sparkSession)
-    links = _compared(shared.where("id != pivot"), "pivot", verify)
+    links, tried = _compared(shared.where("id != pivot"), "pivot", verify)
     groups = components(links)
     crossing = None
     for number in range(ROUNDS + 1):
@@ -87,7 +87,7 @@ def linked_groups(
             small = named.join(open_.where(few).select("bucket"), "bucket", "left_semi")
             others = small.select("bucket", F.col("id").alias("other"), F.col("own").alias("of"))
             pairs = small.join(others, "bucket").where("own != of AND id < other")
-            found = links.unionByName(_compared(pairs, "other", verify))
+            found = links.unionByName(_compared(pairs, "other", verify, tried)[0])
             if in_blocks:
                 large = named.join(open_.where(~few).select("bucket"), "bucket", "left_semi")
                 found = found.unionByName(cut(in_blocks(large)))
@@ -96,7 +96,8 @@ def linked_groups(
         chosen = named.groupBy("bucket").agg(
             F.min_by(F.struct("id", "own"), F.xxhash64("id", F.lit(number))).alias("p")
         ).select("bucket", F.col("p.id").alias("pivot"), F.col("p.own").alias("of"))
-        links = cut(links.unionByName(_compared(named.join(chosen, "bucket").where("own != of"), "pivot", verify)))
+        more, now = _compared(named.join(chosen, "bucket").where("own != of"), "pivot", verify, tried)
+        links, tried = cut(links.unionByName(more)), tried.unionByName(now)
         groups = components(links)
 
 
@@ -111,9 +112,14 @@ def _open(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, cut(sizes.where("groups > 1"))
 
 
-def _compared(pairs: DataFrame, other: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The links among pairs of ``id`` and ``other``, each looked at once."""
+def _compared(
+    pairs: DataFrame, other: str, verify: Callable[[DataFrame], DataFrame], tried: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The links among pairs of ``id`` and ``other``, and the pairs looked at: each once, without those ``tried`` before."""
     once = pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
-    found = cut(verify(cut(once)).select("a", "b"))
+    if tried is not None:
+        once = once.join(tried, ["a", "b"], "left_anti")
+    once = cut(once)
+    found = cut(verify(once).select("a", "b"))
     free(pairs.sparkSession)
-    return found
+    return found, once

@@ -116,7 +116,9 @@ def _signatures(distinct: DataFrame, size: int) -> DataFrame:
         ),
     )[0]
     # Lines are dealt by id, so that all draws of one are made, and put together, in one task.
-    found = distinct.select("id", "line").repartition("id").select("id", drawn.alias("runs")).select("id", F.explode("runs").alias("run"))
+    found = distinct.select("id", "line").repartition("id").select("id", drawn.alias("runs"))
+    # Of a plain explode Spark infers that there is a run, and cuts all runs once more below the shuffle to know it.
+    found = found.select("id", F.explode_outer("runs").alias("run")).where("run IS NOT NULL")
     draws = _draws(found.select("id", (F.char_length("run") > size).alias("far"), F.xxhash64("run").alias("run")))
     rows = F.when(F.col("far"), FAR_ROWS).otherwise(ROWS)
     buckets = F.transform(
@@ -149,25 +151,36 @@ def similarities(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.nda
     return both / (all_ - both)
 
 
-def _lines_of(distinct: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, line)`` of the given ids, written once."""
+def _hashed_runs(text: str, size: int) -> F.Column:
+    """64-bit hashes of all runs of ``size`` code points of a text column, each of which has four bytes here."""
+    points = F.transform(
+        F.array(F.encode(text, "UTF-32")),
+        lambda b: F.when(
+            F.octet_length(b) >= 4 * size,
+            F.transform(F.sequence(F.lit(1), F.octet_length(b) - (4 * size - 1), F.lit(4)), lambda i: F.xxhash64(b.substr(i, F.lit(4 * size)))),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
+    return points[0]
+
+
+def _lines_of(distinct: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``(id, line, n)`` of the given ids with the number of their different runs, written once."""
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
-    return cut(distinct.select("id", "line").join(ids, "id", "left_semi"))
+    found = distinct.select("id", "line").join(ids, "id", "left_semi")
+    return cut(found.withColumn("n", F.size(F.array_distinct(_hashed_runs("line", size)))))
 
 
 def _verified(distinct: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose lines' runs have a Jaccard similarity of at least ``threshold``."""
-    texts = _lines_of(distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    a = texts.select(F.col("id").alias("a"), F.col("line").alias("text"))
-    b = texts.select(F.col("id").alias("b"), F.col("line").alias("other"))
-    sets = F.struct(F.array_distinct(_runs_of("text", size)).alias("x"), F.array_distinct(_runs_of("other", size)).alias("y"))
-    alike = F.transform(
-        F.array(sets),
-        lambda s: F.size(F.array_intersect(s["x"], s["y"])) * F.lit(1 + threshold)
-        >= (F.size(s["x"]) + F.size(s["y"])) * F.lit(threshold) - 1e-9,
-    )[0]
-    return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+    texts = _lines_of(distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
+    a = texts.select(F.col("id").alias("a"), F.col("line").alias("text"), F.col("n").alias("x"))
+    b = texts.select(F.col("id").alias("b"), F.col("line").alias("other"), F.col("n").alias("y"))
+    # Lines share no more runs than the one with fewer has, so most unlike lines need not be cut.
+    asked = (F.col("x") + F.col("y")) * F.lit(threshold) - 1e-9
+    possible = F.least("x", "y") * F.lit(1 + threshold) >= asked
+    both = F.size(F.array_intersect(_hashed_runs("text", size), _hashed_runs("other", size)))
+    return pairs.join(a, "a").join(b, "b").where(possible & (both * F.lit(1 + threshold) >= asked)).select("a", "b")
 
 
 def linked_pairs(column: pa.Array, own: np.ndarray, aside: np.ndarray | None, size: int, threshold: float):

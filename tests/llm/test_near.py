@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from listwright.llm import embedding_dedup, line_dedup, near_dedup
 from listwright.llm.components import components, linked_groups
+from listwright.sources.storage import free
 
 
 def groups_of(nodes, links):
@@ -288,3 +290,50 @@ def test_repeats_of_rows_without_an_id(docs):
     """A row without an id comes last, and its lines point to themselves where no other line is like them."""
     got = Counter(tuple(r) for r in line_dedup.line_groups(docs([(None, "alone here\nshared line"), (3, "shared line")])).drop("text_hash").collect())
     assert got == Counter([(None, 0, None, 0, True), (None, 1, 3, 0, False), (3, 0, 3, 0, True)])
+
+
+def test_no_pair_is_compared_twice(spark):
+    """Unlike members of small buckets meet the least one first, and all others at the end."""
+    members = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 3), (2, 9), (3, 3), (3, 9), (4, 0), (4, 5)], "bucket bigint, id bigint")
+    linked = spark.createDataFrame([(2, 4)], "a bigint, b bigint")
+    asked = []
+
+    def verify(pairs):
+        asked.extend(map(tuple, pairs.collect()))
+        return pairs.join(linked, ["a", "b"])
+
+    assert {r.node: r.component for r in linked_groups(members, verify).collect()} == {2: 2, 4: 2}
+    assert sorted(asked) == sorted([(a, b) for a in range(6) for b in range(a + 1, 6)] + [(3, 9)])
+
+
+def test_runs_are_cut_once(docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(line_dedup, "cut", lambda df: made.append(df) or df)
+    line_dedup._signatures(docs([]).selectExpr("doc_id AS id", "text AS line"), 5)
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan
+    assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_extract_all" in x]
+
+
+def test_hashed_runs_are_those_of_code_points(spark):
+    texts = ["abcdeabcdef", "äöü€😀xyz", "abcd", "", "aaaaaaaa", "a\nb\tc d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", line_dedup._hashed_runs("text", 5).alias("got"), F.transform(line_dedup._runs_of("text", 5), lambda x: F.xxhash64(F.encode(x, "UTF-32"))).alias("want")
+    )
+    for row in rows.collect():
+        assert row.got == row.want and len(row.got) == max(0, len(row.text) - 4)
+
+
+def test_files_are_let_go_at_once(spark, tmp_path):
+    free(spark)
+    time.sleep(1)
+    for k in range(3):
+        before = shuffles(spark)
+        found = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.min("id").alias("first"))
+        found.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/{k}")
+        new = shuffles(spark) - before
+        assert new
+        del found
+        free(spark)
+        time.sleep(1)
+        assert not new & shuffles(spark)
