@@ -48,3 +48,18 @@ def test_many_long_groups_are_merged_and_few_broadcast(spark, monkeypatch):
     few, many = by_size(df, ["g"], short=2)
     assert few.count() == 30 and many.count() == 90
     assert "Broadcast" not in plan(few) and "Broadcast" not in plan(many)
+
+
+def test_copies_do_not_grow_with_the_pairs(spark, monkeypatch):
+    """Copies of rows that meet in one task are of no use, however many pairs a key has."""
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("warm", i) for i in range(9)] + [("cold", 1)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(300)] + [("warm", i) for i in range(9)] + [("cold", 1)], "k string, b int")
+    placed, real = [], grouping.dealt
+    monkeypatch.setattr(grouping, "dealt", lambda df, *by: placed.append(df.count()) or real(df, *by))
+    for one, two in ((left, right), (right, left)):
+        placed.clear()
+        found = paired(one, two, "k", pairs=2)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, one.join(two, "k").collect()))
+        tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # As in a grid of even sides; before, each of the 40 rows was copied 6,000 times.
+        assert sum(placed) < 4 * (40 * 300 * tasks) ** 0.5 and sum(placed) > 400
