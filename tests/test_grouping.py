@@ -63,3 +63,13 @@ def test_copies_do_not_grow_with_the_pairs(spark, monkeypatch):
         tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         # As in a grid of even sides; before, each of the 40 rows was copied 6,000 times.
         assert sum(placed) < 4 * (40 * 300 * tasks) ** 0.5 and sum(placed) > 400
+
+
+def test_options_lead_the_join_with_their_fields(spark, monkeypatch):
+    sides, real = [], refs.paired
+    monkeypatch.setattr(refs, "paired", lambda *a, **b: sides.append(a[0].columns) or real(*a, **b))
+    fields = spark.createDataFrame([("f0", "list", 0), ("f1", "list", 1)], "field string, ref string, pos int")
+    tops = spark.createDataFrame([("list", 3, "p:1", "L")], "scheme string, pos int, concept string, label string")
+    found = refs.resolve_enum_values(fields, tops, {"p": "https://x/"})
+    assert sorted(map(tuple, found.collect())) == [("f0", 0, 3, "https://x/1", "L"), ("f1", 1, 3, "https://x/1", "L")]
+    assert "label" in sides[0]
