@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import cells, vocab
 from listwright.operators.grouping import SHORT, by_size
-from listwright.sources.storage import cut, dealt, fresh, grow, table_of
+from listwright.sources.storage import cut, dealt, free, fresh, grow, table_of
 
 SPO = ("subject", "predicate", "object")
 
@@ -281,30 +281,50 @@ def _long_components(edges: DataFrame, g: str) -> DataFrame:
     """Randomised contraction: in each round every node follows the node of least hash that it can see, itself
     included, and the graph of the nodes that are followed goes on. About half of the nodes go in a round,
     whatever the shape, so all rounds together cost a few times the first. The ways are then followed back."""
+    # An edge is kept once, from its lesser end, and packed: checkpoints hold rows as they are in memory.
+    turned = F.col("a") > F.col("b")
+    pairs = edges.select(g, F.when(turned, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("v"))
     # A number of partitions of its own: ends are packed well on disk and not in memory.
-    pairs = dealt(edges.select(g, F.col("a").alias("u"), F.col("b").alias("v")), g, "u", "v")
-    state = cut(pairs.unionByName(pairs.select(g, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    everyone = state.select(g, "u").distinct()
+    state = fresh(dealt(pairs, g, "u", "v").distinct())
+    everyone = _both_ways(state, g).select(g, "u").distinct()
     state = state.where("u <> v")
     ways = []
     while not state.isEmpty():
         number = F.lit(len(ways))
         seen = F.least(F.struct(F.xxhash64(number, "v"), "v"), F.struct(F.xxhash64(number, "u").alias("col1"), F.col("u").alias("v")))
-        way = cut(state.groupBy(g, "u").agg(F.min(seen)["v"].alias("to")))
+        # Nodes that follow themselves stay and need no row.
+        way = fresh(_both_ways(state, g).groupBy(g, "u").agg(F.min(seen)["v"].alias("to")).where("u <> to"))
+        free(way.sparkSession)
         ways.append(way)
-        ends = [way.select(g, F.col("u").alias(end), F.col("to").alias(f"_{end}")) for end in ("u", "v")]
-        moved = state.join(ends[0], [g, "u"]).join(ends[1], [g, "v"]).where("_u <> _v")
-        state = fresh(moved.select(g, F.col("_u").alias("u"), F.col("_v").alias("v")).distinct())
+        moved = state.hint("merge")
+        for end in ("u", "v"):
+            moved = moved.join(way.select(g, F.col("u").alias(end), F.col("to").alias(f"_{end}")), [g, end], "left").hint("merge")
+        moved = moved.select(g, F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")).where("u <> v")
+        state = fresh(moved.select(g, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        del moved
+        free(way.sparkSession)
     if not ways:
         return everyone.select(g, F.col("u").alias("node"), F.col("u").alias("component"))
     last = ways.pop()
-    for number, way in enumerate(reversed(ways)):
+    for way in reversed(ways):
         further = last.select(g, F.col("u").alias("to"), F.col("to").alias("_far"))
-        last = way.join(further, [g, "to"], "left").select(g, "u", F.coalesce("_far", "to").alias("to"))
-        last = last if (number + 1) % 4 else cut(last)  # plans stay short
-    found = cut(everyone.join(last, [g, "u"], "left").select(g, "u", F.coalesce("to", "u").alias("to")))
-    least = found.groupBy(g, "to").agg(F.min("u").alias("component"))
-    return found.join(least, [g, "to"]).select(g, F.col("u").alias("node"), "component")
+        moved = way.hint("merge").join(further, [g, "to"], "left").select(g, "u", F.coalesce("_far", "to").alias("to"))
+        later = last.hint("merge").join(way.select(g, "u"), [g, "u"], "left_anti")
+        last = fresh(moved.unionByName(later))
+        del moved, later, further
+        free(way.sparkSession)
+    last = last.where("u <> to")
+    # Only components whose node of all ways is not their least one are named anew.
+    names = fresh(last.groupBy(g, "to").agg(F.min("u").alias("component")).where("component < to"))
+    named = last.hint("merge").join(names, [g, "to"], "left").select(g, "u", F.coalesce("component", "to").alias("component"))
+    named = fresh(named.unionByName(names.select(g, F.col("to").alias("u"), "component")))
+    free(named.sparkSession)
+    found = everyone.where(F.col(g).isNotNull() & F.col("u").isNotNull()).hint("merge").join(named, [g, "u"], "left")
+    return found.select(g, F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
+
+
+def _both_ways(edges: DataFrame, g: str) -> DataFrame:
+    return edges.select(g, "u", "v").unionByName(edges.select(g, F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def scheme_links(tops: DataFrame, members: DataFrame, see_also: DataFrame, schemes: DataFrame) -> DataFrame:

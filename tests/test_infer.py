@@ -185,3 +185,16 @@ def test_a_long_chain_takes_few_rounds_of_rules(spark, monkeypatch):
     df = spark.createDataFrame(rows, "subject string, predicate string, object string")
     assert infer.apply_rules(df, CHAIN[:2]).count() == 16 + 16 * 17 // 2
     assert len(written) < 16
+
+
+def test_edges_of_long_components_are_kept_once(spark, monkeypatch):
+    """Whatever their direction; nodes that stay where they are have no row, and rows are packed on disk."""
+    kept, checkpoints, real = [], [], infer.fresh
+    monkeypatch.setattr(infer, "fresh", lambda df: kept.append(real(df)) or kept[-1])
+    monkeypatch.setattr(infer, "cut", lambda df: checkpoints.append(df) or df)
+    edges = [(g, f"n{i:02}", f"n{i * 7 % 50:02}") for g in (1, 2) for i in range(50)]
+    twice = edges + [(g, b, a) for g, a, b in edges] + edges[:9] + [(3, "alone", "alone"), (1, "n00", None)]
+    found = infer.related_components(spark.createDataFrame(twice, "g int, a string, b string"), "g", short=0)
+    assert sorted(map(tuple, found.collect())) == sorted(components_of([*edges, (3, "alone", "alone")]))
+    assert kept[0].count() == len({(g, *sorted((a, b))) for g, a, b in edges}) + 2
+    assert not checkpoints and kept[1].where("u = to").isEmpty() and kept[1].count() < 96
